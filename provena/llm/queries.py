@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring
+from . import lm_scoring, suffix_dedup
 from .common import fold, table
 
 
@@ -17,8 +17,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, model, keep=("doc_id", "held_out"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": op1_lm_scoring}
+    return {"op1_lm_scoring": op1_lm_scoring, "op4_suffix_dedup": op4_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

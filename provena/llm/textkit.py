@@ -74,8 +74,8 @@ class Words:
     text_at: each text's first byte, with one past the last newline at the end.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
-        raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower: bool = False):
+        raw = [t if isinstance(t, bytes) else b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = np.frombuffer(b"\n".join([*raw, b""]) or b"\n", np.uint8)
         if lower:
             self.data = _LOWER[self.data]
