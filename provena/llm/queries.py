@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, suffix_dedup
+from . import lm_scoring, near_dedup, phrase_dedup, suffix_dedup
 from .common import fold, table
 
 
@@ -21,8 +21,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": op1_lm_scoring, "op4_suffix_dedup": op4_suffix_dedup}
+    return {"op1_lm_scoring": op1_lm_scoring, "op4_suffix_dedup": op4_suffix_dedup, "op9_near_dedup": op9_near_dedup, "op10_phrase_dedup": op10_phrase_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
