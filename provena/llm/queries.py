@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, near_dedup, phrase_dedup, quality_rules, suffix_dedup, toxicity
+from . import language_id, lm_scoring, near_dedup, phrase_dedup, quality_rules, suffix_dedup, toxicity, warc
 from .common import fold, table
 
 
@@ -40,13 +40,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=("doc_id", "held_out"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold() == 0).alias("held_out"))
     return language_id.identify(docs, language_id.fit(docs.filter(~F.col("held_out"))), keep=("doc_id", "held_out"))
 
 
 #: In the order of the operators' numbers.
-QUERIES = (op1_lm_scoring, op4_suffix_dedup, op5_quality_rules, op6_toxicity, op8_language_id, op9_near_dedup, op10_phrase_dedup)
+QUERIES = (op1_lm_scoring, op4_suffix_dedup, op5_quality_rules, op6_toxicity, op7_warc, op8_language_id, op9_near_dedup, op10_phrase_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
