@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -38,8 +39,18 @@ def saved(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """df, written once to the shared folder and read back: lineage ends there and lost
     executors cost no recomputation."""
     path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now: Spark's cleaner removes them once the
+    driver has collected its garbage, by default every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def local_path(path: str) -> str | None:

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, map_bytes, seg_sum, shared_dir, write_bytes
+from .packing import pack as _pack
+from .packing import unpack as _unpack
 from .textkit import U64, Words, mix
 
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543211)
@@ -75,32 +77,6 @@ def summed(keys: np.ndarray, *values: np.ndarray):
     return (keys[head], *(np.add.reduceat(v[order], head) for v in values))
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Byte planes of a sorted column's differences, which compress well."""
-    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
-
-
-def unplanes(raw: memoryview, n: int, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel(), dtype=kind)
-
-
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """The first column sorted, the rest as byte planes."""
-    head = np.array([len(columns[0])], np.int64).tobytes() + planes(columns[0])
-    return head + b"".join(c.view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns[1:])
-
-
-def _unpack(raw: bytes, kinds: list[type]) -> list[np.ndarray]:
-    n, view, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), memoryview(raw), 8, []
-    for i, kind in enumerate(kinds):
-        size = np.dtype(kind).itemsize * n
-        part = view[at : at + size]
-        out.append(unplanes(part, n, kind) if not i else np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(-1, n).T).view(kind).ravel())
-        at += size
-    return out
-
-
 def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with over a third of HOT_SHARE of this task's tokens, and the token count (word 0).
 

@@ -28,7 +28,7 @@ from .common import chunks, runs, saved
 from .repeats import KEY, classes, covered, cut_pieces, distinct_texts, find_pieces, text_key, window_rows
 from .textkit import Words, rolling
 
-WINDOW, GRAM = 20, 6
+WINDOW, GRAM = 20, 4
 #: Bytes of a shard, and of words in one anchor's pieces from which they are counted by window.
 SHARD_BYTES, CROWDED_WORDS = 1 << 19, 400_000
 

@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, runs, saved, shared_dir
-from .textkit import Words, anchors, byte_values, prefix_sums, rolling, span_hash
+from .common import chunks, release, runs, saved, shared_dir
+from .packing import pack as _pack
+from .packing import unpack as _unpack
+from .textkit import Words, anchors, byte_values, mix, prefix_sums, rolling, span_hash
 
 KEY = ("k1", "k2")
 
@@ -43,7 +45,9 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     found = found.groupBy(*KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
     name = f"provena_texts_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found.write.option("path", shared_dir(spark, "texts")).bucketBy(parts, *KEY).sortBy(*KEY).saveAsTable(name)
+    found.write.option("path", shared_dir(spark, "texts")).option("compression", "zstd").bucketBy(parts, *KEY).sortBy(*KEY).saveAsTable(name)
+    del found
+    release(spark)
     return spark.table(name)
 
 
@@ -55,24 +59,81 @@ def symbols(texts: list[str | None], unit: str):
     return byte_values(words.data), words.text_at[:-1], np.diff(words.text_at) - 1
 
 
+#: Pieces that a task gathers before it sends them, and bytes of text to a bucket of anchors.
+FLUSH, BUCKET_BYTES = 1 << 19, 8 << 20
+COLUMNS = ("h", "g", *KEY, "first_id", "at", "n")
+
+
+def _columns(rows: list[np.ndarray], pick: np.ndarray) -> bytes:
+    return _pack([rows[0][pick].view(np.uint64), *(r[pick] for r in rows[1:])])
+
+
 def find_pieces(texts: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
-    """h (anchor), g (content), k1, k2, first_id, at, n of every piece: n starts from `at` on,
-    so n + length - 1 symbols."""
+    """h (anchor), g (content), k1, k2, first_id, at, n of the pieces whose anchor is found
+    twice or more: n starts from `at` on, so n + length - 1 symbols.
+
+    Tasks send packed columns, sorted by anchor, to buckets of anchors. An anchor that a task
+    meets twice is known to repeat: its pieces pass through salted buckets and only a mark
+    goes to the anchor's own, which so gets one row for each task at most.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
+
+    def bucket(x: np.ndarray) -> np.ndarray:
+        return (x.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+
+    def send(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order = np.argsort(rows[0].view(np.uint64), kind="stable")
+        rows = [r[order] for r in rows]
+        head = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))
+        times = np.diff(np.append(head, len(order)))
+        once = np.repeat(times == 1, times)
+        out: dict[int, list[bytes]] = {}
+
+        def put(slot: int, which: np.ndarray, to: np.ndarray, columns: list[np.ndarray]) -> None:
+            by = np.argsort(to, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
+                out.setdefault(int(to[part[0]]), [b""] * 3)[slot] = _columns(columns, which[part])
+
+        single, many, mark = np.flatnonzero(once), np.flatnonzero(~once), head[times > 1]
+        put(0, single, bucket(rows[0][single]), rows)
+        put(1, many, bucket(mix(rows[0][many] ^ rows[2][many])), rows)
+        put(2, mark, bucket(rows[0][mark]), rows[:1])
+        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in range(3))], names=["bucket", "single", "many", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have = [], 0
         for b in chunks(batches):
             values, starts, lengths = symbols(b.column(3).to_pylist(), unit)
             text, at, n, _, h = anchors(values, starts, lengths, length, gram)
             if len(text):
                 begin = starts[text] + at
                 g = span_hash(prefix_sums(values), begin, begin + n + length - 1)
-                take = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), *(b.column(i).take(take) for i in range(3)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["h", "g", *KEY, "first_id", "at", "n"],
-                )
-
-    rows = texts.select(*KEY, "first_id", "text").mapInArrow(run, "h long, g long, k1 long, k2 long, first_id long, at int, n int")
+                own = [b.column(i).to_numpy()[text] for i in range(3)]
+                held.append([h.view(np.int64), g.view(np.int64), *own, at.astype(np.int32), n.astype(np.int32)])
+                have += len(text)
+            if have > FLUSH:
+                yield send(held)
+                held, have = [], 0
+        if held:
+            yield send(held)
+
+    def meet(part: pa.Table) -> pa.Table:
+        kinds = [np.uint64] + [np.int64] * 4 + [np.int32] * 2
+        read = lambda name, kinds: [_unpack(x, kinds) for x in part.column(name).to_pylist() if x]
+        single, many, mark = read("single", kinds), read("many", kinds), read("mark", kinds[:1])
+        if single:
+            rows = [np.concatenate(x) for x in zip(*single, strict=True)]
+            marked = np.concatenate([m[0] for m in mark]) if mark else np.empty(0, np.uint64)
+            _, back, times = np.unique(np.concatenate([rows[0], marked, marked]), return_inverse=True, return_counts=True)
+            again = times[back[: len(rows[0])]] > 1
+            many.append([r[again] for r in rows])
+        rows = [np.concatenate(x) for x in zip(*many, strict=True)] if many else [np.empty(0, k) for k in kinds]
+        return pa.table({c: r.view(np.int64) if i == 0 else r for i, (c, r) in enumerate(zip(COLUMNS, rows, strict=True))})
+
+    sent = texts.select(*KEY, "first_id", "text").mapInArrow(run, "bucket int, single binary, many binary, mark binary")
+    rows = sent.groupBy("bucket").applyInArrow(meet, "h long, g long, k1 long, k2 long, first_id long, at int, n int")
     return saved(texts.sparkSession, rows, f"pieces-{unit}")
 
 

@@ -1,7 +1,7 @@
 """Exact substring deduplication on suffix arrays.
 
 Pieces of text that share an anchor (see repeats) are joined to shards of bounded
-size. Of each shard a suffix array is sorted by prefix doubling, and its
+size. Of each shard a suffix array is sorted by prefix tripling (or doubling), and its
 Burrows-Wheeler transform taken. Where neighbouring suffixes differ is then found by
 breadth-first backward extension: from the intervals of single symbols, level l
 extends every interval of a string of length l by each symbol before it, and an
@@ -30,7 +30,7 @@ from .repeats import KEY, classes, covered, cut_pieces, distinct_texts, find_pie
 
 MIN_BYTES, GRAM = 400, 48
 #: Bytes of a shard, and of one anchor's pieces from which they are counted by window.
-SHARD_BYTES, CROWDED_BYTES = 1 << 20, 4 << 20
+SHARD_BYTES, CROWDED_BYTES = 1 << 19, 4 << 20
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -52,11 +52,15 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, n))
     rank[order] = np.repeat(head, size)
-    width = 7
+    # a window up to an end mark has a rank of its own, so what lies beyond never decides
+    width, bits = 7, max(1, (n - 1).bit_length())
+    triple = 3 * bits < 64
     open_slots = np.flatnonzero(np.repeat(size > 1, size))
     while len(open_slots):
         at = order[open_slots]
-        pair = (rank[at] << np.int64(32)) | rank[at + width]
+        pair = (rank[at] << np.int64(bits)) | rank[at + width]
+        if triple:
+            pair = (pair << np.int64(bits)) | rank[np.minimum(at + 2 * width, n - 1)]
         by = np.argsort(pair)
         at, pair = at[by], pair[by]
         order[open_slots] = at
@@ -66,7 +70,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         size = np.diff(np.append(head, len(at)))
         rank[at] = np.repeat(open_slots[head], size)
         open_slots = open_slots[np.repeat(size > 1, size)]
-        width *= 2
+        width *= 3 if triple else 2
     return order
 
 
