@@ -9,9 +9,9 @@ Bands of `rows` values are bucket keys; with 40 bands of 6 values a pair of simi
 
 Links are confirmed on full sets. Within buckets the number of comparisons stays linear
 in practice without dropping any: first each document is compared with the least leader
-of its buckets; then, per bucket, the leaders of different components; and at last all
-pairs of a bucket that are still in different components, counted from those outside
-the bucket's largest one. Pairs already connected add nothing to components.
+of its buckets; then, per bucket, the leaders of different components; and at last what
+still meets in buckets without being connected is compared in blocks (see rest). Pairs
+already connected add nothing to components.
 
 Equal texts are one node. Rows with equal ids are one document. Null ids count as one
 document after all others, with a null component_id when they are alone.
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, saved
+from .common import chunks, runs, saved
 from .repeats import KEY, distinct_texts, text_key
 from .textkit import U64, Words, mix
 
 PERMUTATIONS, ROWS, PERCENT = 120, 6, 80
+#: Bytes of text in a block of the last comparison.
+BLOCK_BYTES = 2 << 20
 _MAX = (1 << 63) - 1
 
 
@@ -152,15 +154,73 @@ def links(texts: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFra
     tried = saved(spark, tried.unionByName(pairs), "tried")
     found = saved(spark, found.unionByName(confirmed(tried.join(found, ["a", "b"], "left_anti"), chosen, percent)), "links")
 
-    own = apart(found)
-    sizes = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-    inside = own.join(largest, "bucket")
-    x = inside.filter("label <> most").select("bucket", F.col("first_id").alias("x"), F.col("label").alias("lx"))
-    y = inside.select("bucket", F.col("first_id").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("major"))
-    pairs = x.join(y, "bucket").filter("lx <> ly and (major or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    return saved(spark, found.unionByName(confirmed(pairs, chosen, percent)), "links")
+    return saved(spark, found.unionByName(rest(apart(found), chosen, percent)), "links")
+
+
+def rest(own: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Links between members (first_id, label) of buckets that hold several components.
+
+    Components that meet in a bucket form a group. A group's texts go to blocks of bounded
+    size, and every two blocks of it meet once; small groups share a block of their own.
+    Inside, posting lists count the intersections of the texts outside a group's largest
+    component with all others: only links come out, not the pairs compared.
+    """
+    spark = own.sparkSession
+    least = own.groupBy("bucket").agg(F.min("label").alias("a"))
+    meet = own.join(least, "bucket").filter("a < label").select("a", F.col("label").alias("b")).distinct()
+    groups = components(meet).select(F.col("node").alias("label"), F.col("label").alias("grp"))
+    rows = own.select("first_id", "label").distinct().join(groups, "label").join(chosen, "first_id").select("grp", "label", "first_id", "text")
+    rows = saved(spark, rows, "rest")
+    sizes = rows.groupBy("grp").agg(F.sum(F.octet_length("text") + 64).alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    sizes = sizes.select("grp", F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("first_id"), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, "grp").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    small = F.col("blocks") == 1
+    shelf = F.pmod(F.xxhash64("grp"), F.lit(max(1, total // BLOCK_BYTES)))
+    dealt = dealt.select(F.when(small, -1).otherwise(F.col("grp")).alias("set"), F.when(small, shelf).otherwise(F.least("mine", "other")).alias("i"), F.when(small, -1).otherwise(F.greatest("mine", "other")).alias("j"), "grp", "label", "first_id", "text")
+    return dealt.groupBy("set", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+
+
+def _compare(percent: int):
+    def run(part: pa.Table) -> pa.Table:
+        grp, label, node = (part.column(c).to_numpy() for c in ("grp", "label", "first_id"))
+        values, bounds = shingles(part.column("text").to_pylist())
+        size = np.diff(bounds)
+        owner = np.repeat(np.arange(len(grp)), size)
+        values = mix(values + grp[owner].astype(U64) * U64(0x9E3779B97F4A7C15))
+        by = np.argsort(values, kind="stable")
+        head = np.flatnonzero(np.append(True, np.diff(values[by]) != 0)) if len(by) else by
+        posting, length = owner[by], np.diff(np.append(head, len(by)))
+        slot = np.empty(len(by), np.int64)
+        slot[by] = np.repeat(np.arange(len(head)), length)
+        pairs, times = np.unique(np.stack([grp, label]), axis=1, return_counts=True)
+        most: dict[int, tuple[int, int]] = {}
+        for g, l, n in zip(*pairs.tolist(), times.tolist(), strict=True):
+            most[g] = max(most.get(g, (0, 0)), (n, l))
+        major = np.array([most[g][1] for g in grp.tolist()]) == label
+        root = {x: x for x in set(label.tolist())}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        a, b = [], []
+        for x in np.flatnonzero(~major & (size > 0)):
+            slots = slot[bounds[x] : bounds[x + 1]]
+            both = np.bincount(posting[runs(head[slots], length[slots])], minlength=len(grp))
+            near = (100 * both >= percent * (size + size[x] - both)) & (both > 0) & (label != label[x])
+            for y in np.flatnonzero(near):
+                p, q = find(int(label[x])), find(int(label[y]))
+                if p != q:
+                    root[p] = q
+                    a.append(min(int(node[x]), int(node[y])))
+                    b.append(max(int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
