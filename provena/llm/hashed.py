@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import chunks
+from .common import chunks, saved
 from .textkit import U64, Words
 
 #: Features are frequencies times this, so that weights of some units can tell texts apart.
@@ -61,11 +61,32 @@ def linear(words: Words, weights: np.ndarray, orders: tuple[int, ...], bits: int
     return total * SCALE
 
 
-def sample(docs: DataFrame, label: Column, order: Column, most: int, orders: tuple[int, ...], bits: int, with_words: bool = False, lower: bool = True) -> list[tuple]:
-    """Up to `most` rows of each label value, the first by `order` (a hash), as (label, bins,
-    values) with the features of the whole text. The bound makes it safe to collect."""
-    rows = docs.select(label.alias("label"), order.alias("o"), F.coalesce("text", F.lit("")).alias("text")).filter("label is not null")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("o", F.xxhash64("text")))).filter(F.col("rank") <= most)
+#: Rows of a sample up to which its ids are broadcast; larger ones (very many labels) are joined.
+BROADCAST_ROWS = 100_000
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """label and text (null as empty) of up to `most` documents of each label value, the first
+    by a hash of their ids. docs: doc_id, text; labels: doc_id, label; null labels are none.
+
+    Only ids are ranked, and each task passes on `most` of a label at most; texts are read
+    once, for the chosen ids. A document that has several rows or labels counts once.
+    """
+    spark = docs.sparkSession
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = labels.select("doc_id", "label").filter("label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
+    ranked = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "label")
+    chosen = saved(spark, ranked, "sample")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("row")).select("row.label", "row.text")
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int, orders: tuple[int, ...], bits: int, with_words: bool = False, lower: bool = True) -> list[tuple]:
+    """(label, bins, values) with the features of the whole text of each training row. The bound
+    on rows makes it safe to collect."""
+    rows = training_rows(docs, labels, most)
     kind = rows.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +104,7 @@ def sample(docs: DataFrame, label: Column, order: Column, most: int, orders: tup
                 values.append(np.concatenate(weights).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols, pa.binary()), pa.array(values, pa.binary())], names=["label", "bins", "values"])
 
-    out = rows.repartition(F.col("rank")).select("label", "text").mapInArrow(run, f"label {kind}, bins binary, values binary").collect()
+    out = rows.mapInArrow(run, f"label {kind}, bins binary, values binary").collect()
     # a fixed order, whatever the partitions were
     return sorted(((r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in out), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
 

@@ -56,7 +56,7 @@ def codewords(n: int) -> np.ndarray:
 
 def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Learn from docs (doc_id, text, lang); rows without lang are no use."""
-    rows = hashed.sample(docs, F.col("lang"), F.xxhash64(F.col("doc_id")), most, ORDERS, BITS)
+    rows = hashed.sample(docs, docs.select("doc_id", F.col("lang").alias("label")), most, ORDERS, BITS)
     languages = sorted({r[0] for r in rows})
     code = codewords(len(languages))
     index = np.array([languages.index(r[0]) for r in rows], np.int64)

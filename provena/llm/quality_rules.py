@@ -70,9 +70,9 @@ def counts(words: Words) -> dict[str, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Learn from the rows of labels (doc_id, quality) that docs (doc_id, text) has."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)")
-    share = dict(known.groupBy("quality").count().collect())
-    rows = hashed.sample(docs.select("doc_id", "text").join(known, "doc_id"), F.col("quality"), F.xxhash64("doc_id"), most, ORDERS, BITS, with_words=True, lower=False)
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1)").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    share = dict(known.groupBy("label").count().collect())
+    rows = hashed.sample(docs, known, most, ORDERS, BITS, with_words=True, lower=False)
     y = np.array([r[0] for r in rows])
     if len(set(y.tolist())) < 2:
         return Model(np.zeros((1, 1), np.float32), 0.0, 1.0, 0.0, False)

@@ -15,13 +15,13 @@ share is the score of every row.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import hashed
 from .common import runs
@@ -203,15 +203,13 @@ def _lexicon(batch: Batch, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarray
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Learn from the rows of labels (doc_id, toxic) that docs (doc_id, text) has."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")))).filter(F.col("rank") <= most)
-    got = sorted((r for r in rows.select("toxic", "rank", "text").toLocalIterator()), key=lambda r: (r[1], r[0]))
-    share = dict(known.groupBy("toxic").count().collect())
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter("label in (0, 1)").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    share = dict(known.groupBy("label").count().collect())
+    got = sorted(hashed.training_rows(docs, known, most).collect(), key=lambda r: (zlib.crc32(r[1].encode()), r[1], r[0]))
     y = np.array([r[0] for r in got], np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1, U64), {}, constant=float(share.get(1, 0) / max(1, sum(share.values()))))
-    texts = [r[2] for r in got]
+    texts = [r[1] for r in got]
     aside = np.zeros(len(y), bool)
     for k in (0, 1):
         aside[np.flatnonzero(y == k)[::CALIBRATE]] = True
