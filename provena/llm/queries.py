@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, near_dedup, phrase_dedup, quality_rules, sentencepiece_codec, suffix_dedup, toxicity, warc
+from . import decontamination, language_id, lm_scoring, near_dedup, phrase_dedup, quality_rules, sentencepiece_codec, suffix_dedup, toxicity, warc
 from .common import fold, table
 
 
@@ -17,6 +17,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, model, keep=("doc_id", "held_out"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "parity", "round_trip")
@@ -55,7 +59,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: In the order of the operators' numbers.
-QUERIES = (op1_lm_scoring, op3_sentencepiece_codec, op4_suffix_dedup, op5_quality_rules, op6_toxicity, op7_warc, op8_language_id, op9_near_dedup, op10_phrase_dedup)
+QUERIES = (op1_lm_scoring, op2_decontamination, op3_sentencepiece_codec, op4_suffix_dedup, op5_quality_rules, op6_toxicity, op7_warc, op8_language_id, op9_near_dedup, op10_phrase_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
