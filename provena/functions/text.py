@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 from ..schema import UNIT_SCALE
 
@@ -45,13 +46,13 @@ def normalised_text(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\A\x{FEFF}", ""), r"\r\n?", "\n")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield s.map(html.unescape, na_action="ignore")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def base_value(number: pd.Series, unit: pd.Series) -> pd.Series:
     """A number's value in its base unit, rounded to three decimals as Python rounds."""
     return pd.Series([None if n is None else round(float(n.replace(",", "")) * UNIT_SCALE.get(u, (u, 1.0))[1], 3) for n, u in zip(number, unit, strict=True)], dtype="float64")
@@ -62,13 +63,13 @@ def base_unit(unit: Column) -> Column:
     return F.coalesce(F.element_at(known, unit), unit)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def float_text(values: pd.Series) -> pd.Series:
     """A number as Python prints it."""
     return values.map(lambda v: None if pd.isna(v) else str(float(v)))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def short_number(values: pd.Series) -> pd.Series:
     """A number with six significant digits and no closing zeros."""
     return values.map(lambda v: None if pd.isna(v) else f"{v:g}")
