@@ -26,6 +26,6 @@ def unpack(raw: bytes, kinds: list[type]) -> list[np.ndarray]:
     for i, kind in enumerate(kinds):
         size = np.dtype(kind).itemsize * n
         part = view[at : at + size]
-        out.append(unplanes(part, n, kind) if not i else np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(-1, n).T).view(kind).ravel())
+        out.append(unplanes(part, n, kind) if not i else np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel())
         at += size
     return out
