@@ -29,6 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import chunks, runs
 from .textkit import U64, Words, byte_values, mix, prefix_sums, rolling, span_hash
+from .toxicity import PUNCTUATION as _PUNCTUATION
 from .toxicity import word_spans
 
 WINDOW, SHORTEST, PLAIN = 13, 8, 6
@@ -47,31 +48,36 @@ _STOP[list(b".!?:")] = True
 
 
 class Canonical:
-    """Per word of a batch: its kind, its value (hash of the folded word), its canonical hash."""
+    """Per word of a batch (words of punctuation alone are left out): its kind, its value (hash
+    of the folded word), its canonical hash, and its place among all words of its text."""
 
     def __init__(self, texts: list[str | None]):
         words = Words(texts)
         data = words.data
         start, end = word_spans(words)
         value = span_hash(prefix_sums(byte_values(np.where(_UPPER[data], data + 32, data))), start, end)
-        self.first = words.first
         kind = np.full(len(value), LITERAL, np.int8)
+        keep = np.ones(len(value), bool)
         if len(value):
             head = data[start]
             # two-byte capitals of the Latin-1 block: 0xC3 0x80-0x9E
             second = data[np.minimum(start + 1, len(data) - 1)]
             capital = _UPPER[head] | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
             opens = np.zeros(len(value), bool)
-            opens[self.first[:-1][np.diff(self.first) > 0]] = True
+            opens[words.first[:-1][words.counts > 0]] = True
             opens[1:] |= _STOP[data[words.end[:-1] - 1]]
             newline = np.append(0, np.cumsum(data == 10))
             opens[1:] |= newline[words.start[1:]] > newline[words.end[:-1]]
-            # a signed or currency number starts with punctuation, which is dropped already
             kind[np.isin(value, UNIT_HASHES)] = UNIT
             kind[capital & ~opens] = NAME
+            # signs and currencies are punctuation, which is dropped already
             kind[_DIGIT[head]] = NUMBER
-        self.kind, self.value = kind, value
-        self.canon = np.where(kind == LITERAL, value, _SLOT[kind])
+            solid = np.append(0, np.cumsum(~_PUNCTUATION[data]))
+            keep = solid[words.end] > solid[words.start]
+        self.first = np.append(0, np.cumsum(keep))[words.first]
+        self.place = (np.arange(len(value)) - np.repeat(words.first[:-1], words.counts))[keep]
+        self.kind, self.value = kind[keep], value[keep]
+        self.canon = np.where(self.kind == LITERAL, self.value, _SLOT[self.kind])
 
 
 def _unit_values() -> np.ndarray:
@@ -131,7 +137,7 @@ class Index:
             at = np.repeat(mine[hit], count)
             good = self._consistent(c, at, starts[slot], size)
             text = np.searchsorted(c.first, at, "right") - 1
-            for t, i, a in zip(text[good].tolist(), items[slot][good].tolist(), (at - c.first[text])[good].tolist(), strict=True):
+            for t, i, a in zip(text[good].tolist(), items[slot][good].tolist(), c.place[at][good].tolist(), strict=True):
                 e = found.setdefault((t, i), [0, a])
                 e[0] += 1
                 e[1] = min(e[1], a)

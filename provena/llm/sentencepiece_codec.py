@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import chunks, seg_sum
 
 MARK = "▁"
+#: Not a character, so no text holds it.
+NEVER = "\U0010ffff"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "piece_bpe_32k.model"
@@ -125,7 +127,8 @@ def build(spec: Spec, whole: bool = True):
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if spec.kind == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in spec.pieces], spec.unknown, spec.byte_fallback)
+        # pieces that no text may match get names that it cannot have; see Codec.ids for bytes
+        model = models.Unigram([(p if t in (NORMAL, USER) else f"{NEVER}{i}", s) for i, (p, s, t) in enumerate(spec.pieces)], spec.unknown, False)
     else:
         vocab = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
         model = models.BPE(vocab, merges(spec), unk_token=spec.pieces[spec.unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
@@ -135,7 +138,7 @@ def build(spec: Spec, whole: bool = True):
         if spec.charsmap:
             steps.append(normalizers.Precompiled(spec.charsmap))
         if spec.squeeze:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         if spec.dummy_prefix:
             steps.append(normalizers.Prepend(MARK))
         steps.append(normalizers.Replace(" ", MARK))
@@ -154,9 +157,10 @@ class Codec:
     def __init__(self, data: bytes):
         self.data, self.spec = data, Spec(data)
         self.whole = build(self.spec)
-        self.words = build(self.spec, whole=False) if self.spec.splits else None
+        self.plain = build(self.spec, whole=False)
         self.normal = self.whole.normalizer
         self.bytes = [self._bytes(p, k) for p, _, k in self.spec.pieces]
+        self.byte_ids = {b[0]: i for i, (b, p) in enumerate(zip(self.bytes, self.spec.pieces, strict=True)) if p[2] == BYTE}
         self._original = None
         self.forget()
 
@@ -176,6 +180,25 @@ class Codec:
             self._original = sentencepiece.SentencePieceProcessor(model_proto=self.data)
         return self._original
 
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of normalised texts. A unigram model's unknown runs become byte pieces here."""
+        found = self.plain.encode_batch(texts, add_special_tokens=False)
+        if self.spec.kind != UNIGRAM or not self.spec.byte_fallback:
+            return [e.ids for e in found]
+        out = []
+        for text, e in zip(texts, found, strict=True):
+            ids = e.ids
+            if self.spec.unknown in ids:
+                ids = [k for i, (a, b) in zip(ids, e.offsets, strict=True) for k in ([self.byte_ids[x] for x in text[a:b].encode()] if i == self.spec.unknown else [i])]
+            out.append(ids)
+        return out
+
+    def normalised(self, text: str) -> str:
+        """A text as the model sees it: with markers for spaces, and one before all."""
+        if not self.spec.charsmap and not self.spec.squeeze:
+            return (MARK if text and self.spec.dummy_prefix else "") + text.replace(" ", MARK)
+        return self.normal.normalize_str(text)
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the dummy prefix's space is dropped, broken UTF-8 replaced."""
         raw = b"".join(self.bytes[i] for i in ids)
@@ -187,14 +210,14 @@ class Codec:
         """All ids (int32), the text bounds, and per text: parity with the original library,
         and whether it decodes to itself."""
         texts = [t or "" for t in texts]
-        if self.words is None:
-            found = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+        ready = [self.normalised(t) for t in texts]
+        if not self.spec.splits:
+            found = self.ids(ready)
             bounds = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
             same = np.array([a == b for a, b in zip(found, self.original.encode(texts, num_threads=1), strict=True)], bool)
             back = np.array([self.decode(x) == t for x, t in zip(found, texts, strict=True)], bool)
             return np.array([i for x in found for i in x], np.int32), bounds, same, back
         plain = not self.spec.charsmap and not self.spec.squeeze
-        ready = [MARK + t.replace(" ", MARK) if t else "" for t in texts] if plain else [self.normal.normalize_str(t) for t in texts]
         tokens, counts = [], []
         number, known = self.number, len(self.number)
         if known > CACHE_WORDS:
@@ -224,7 +247,7 @@ class Codec:
         """Encode new words (without their first marker), check them and keep the results."""
         if not words:
             return
-        ids = [e.ids for e in self.words.encode_batch_fast([MARK + w for w in words], add_special_tokens=False)]
+        ids = self.ids([MARK + w for w in words])
         mark = self.original.piece_to_id(MARK)
         theirs = self.original.encode(words, num_threads=1)
         same = [a == (b if w else [mark]) for a, b, w in zip(ids, theirs, words, strict=True)]

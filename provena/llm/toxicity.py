@@ -32,22 +32,22 @@ LEXICON, WORD_DIM, CHAR_BITS, CHAR_DIM = 4096, 8, 12, 4
 #: Bound of the sample, rows of each label; one in CALIBRATE of them calibrates.
 TRAIN_ROWS, CALIBRATE = 1000, 4
 ROUNDS, STEPS, BATCH, RATE = 2, 150, 128, 0.01
-_PUNCTUATION = np.zeros(256, bool)
-_PUNCTUATION[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 
 
 def word_spans(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the words without punctuation at their edges (whole if all is punctuation)."""
     start, end = words.start.copy(), words.end.copy()
-    solid = np.append(0, np.cumsum(~_PUNCTUATION[words.data]))
+    solid = np.append(0, np.cumsum(~PUNCTUATION[words.data]))
     bare = solid[end] > solid[start]
     for _ in range(64):
-        go = bare & _PUNCTUATION[words.data[start]]
+        go = bare & PUNCTUATION[words.data[start]]
         if not go.any():
             break
         start[go] += 1
     for _ in range(64):
-        go = bare & _PUNCTUATION[words.data[end - 1]]
+        go = bare & PUNCTUATION[words.data[end - 1]]
         if not go.any():
             break
         end[go] -= 1
