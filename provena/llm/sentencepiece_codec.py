@@ -138,10 +138,12 @@ def build(spec: Spec, whole: bool = True):
         if spec.charsmap:
             steps.append(normalizers.Precompiled(spec.charsmap))
         if spec.squeeze:
-            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         if spec.dummy_prefix:
             steps.append(normalizers.Prepend(MARK))
         steps.append(normalizers.Replace(" ", MARK))
+        if spec.squeeze:
+            steps.append(normalizers.Replace(Regex(rf"{MARK}+\z"), ""))
         t.normalizer = normalizers.Sequence(steps)
         if spec.splits:
             t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
