@@ -63,19 +63,25 @@ def linear(words: Words, weights: np.ndarray, orders: tuple[int, ...], bits: int
 
 #: Rows of a sample up to which its ids are broadcast; larger ones (very many labels) are joined.
 BROADCAST_ROWS = 100_000
+OVERSAMPLE = 8
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """label and text (null as empty) of up to `most` documents of each label value, the first
     by a hash of their ids. docs: doc_id, text; labels: doc_id, label; null labels are none.
 
-    Only ids are ranked, and each task passes on `most` of a label at most; texts are read
-    once, for the chosen ids. A document that has several rows or labels counts once.
+    Only ids are ranked, and of a label's ids only those whose hash is under a share that
+    passes about OVERSAMPLE times as many as wanted; the lowest are all among them, however
+    many a label has. Texts are read once, for the chosen ids. A document that has several
+    rows or labels counts once.
     """
     spark = docs.sparkSession
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = labels.select("doc_id", "label").filter("label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    ranked = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "label")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    known = labels.select("doc_id", "label", place.alias("place")).filter("label is not null and doc_id is not null")
+    share = known.groupBy("label").agg((F.lit(float((1 << 40) * OVERSAMPLE * most)) / F.count(F.lit(1))).alias("cut"))
+    low = known.join(share, "label").filter("place < cut").groupBy("doc_id", "place").agg(F.min("label").alias("label"))
+    order = Window.partitionBy("label").orderBy("place", "doc_id")
+    ranked = low.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "label")
     chosen = saved(spark, ranked, "sample")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
