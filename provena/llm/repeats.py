@@ -80,7 +80,8 @@ def find_pieces(texts: DataFrame, unit: str, length: int, gram: int) -> DataFram
     bits = max(0, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
 
     def bucket(x: np.ndarray) -> np.ndarray:
-        return (x.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+        # mixed once more: anchors are the smallest of many hashes, so their leading bits are low
+        return (mix(x.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
 
     def send(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         rows = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -98,7 +99,7 @@ def find_pieces(texts: DataFrame, unit: str, length: int, gram: int) -> DataFram
 
         single, many, mark = np.flatnonzero(once), np.flatnonzero(~once), head[times > 1]
         put(0, single, bucket(rows[0][single]), rows)
-        put(1, many, bucket(mix(rows[0][many] ^ rows[2][many])), rows)
+        put(1, many, bucket(rows[0][many] ^ rows[2][many]), rows)
         put(2, mark, bucket(rows[0][mark]), rows[:1])
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in range(3))], names=["bucket", "single", "many", "mark"])
 
