@@ -154,3 +154,27 @@ def settle(numbered: DataFrame, signatures: dict[int, tuple[str, str]], answer:
                 messages.append(f"{r['file']}:{r['line']}  {what}")
     out.messages = tuple(messages)
     return out
+
+
+def render(numbered: DataFrame, total: int, size: int = CONFLICT_PAGE) -> str:
+    """A page of conflicts as text: numbered values, then the choices `not a conflict` and `leave it`."""
+    if not total:
+        return "No conflicts."
+    out, last, choice = [f"{total} conflict(s), the first {min(total, size)}:"], None, 0
+
+    def close() -> None:
+        if last is not None:
+            out.append(f"     {choice + 1}) not a conflict     {choice + 2}) leave it")
+
+    for r in numbered.orderBy("index", "choice").collect():
+        if r["index"] != last:
+            close()
+            last = r["index"]
+            out.append(f"{last}. {r['name']}")
+        choice = r["choice"]
+        more = f" and {len(r['sources']) - 2} more" if len(r["sources"]) > 2 else ""
+        out.append(f"     {choice}) {r['number']:g} {r['unit']}  <-  {', '.join(r['sources'][:2])}{more}")
+    close()
+    if total > size:
+        out.append(f"The other {total - size} follow when these are settled.")
+    return "\n".join(out)
