@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_bytes, seg_sum, shared_dir, write_bytes
+from .common import chunks, map_bytes, saved, seg_sum, shared_dir, write_bytes
 from .packing import pack as _pack
 from .packing import unpack as _unpack
 from .textkit import U64, Words, mix
@@ -220,9 +220,10 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     docs = docs.select(F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / SHARD_BYTES)))))
-    heavy = docs.mapInArrow(_heavy, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = heavy.filter("word = 0").select("n")
-    hot_rows = heavy.filter("word <> 0").join(F.broadcast(total.withColumnRenamed("n", "total")), F.lit(True)).filter(F.col("n") >= F.col("total") * (HOT_SHARE / 2)).select("word").collect()
+    heavy = saved(spark, docs.mapInArrow(_heavy, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "heavy")
+    total = heavy.filter("word = 0").agg(F.sum("n")).first()[0] or 0
+    # under 2 / HOT_SHARE words can have that many tokens
+    hot_rows = heavy.filter("word <> 0").filter(F.col("n") >= total * (HOT_SHARE / 2)).select("word").collect()
     hot = np.sort(np.array([r[0] for r in hot_rows], np.int64).view(U64))
     path = shared_dir(spark, "lm")
     counted = docs.mapInArrow(_count(hot, bits), "shard int, data binary")
