@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import stem, title_key
 from ..schema import HTML_SUFFIXES
+from ..sources.shared import written
 from . import html, markdown
 
 
@@ -40,21 +42,22 @@ class Pieces:
 
 
 def parse(notes: DataFrame) -> Pieces:
-    """Documents, and the pieces of each, tagged with its doc_id, path and order."""
+    """Documents, and the pieces of each, tagged with its doc_id, path and order. Markdown is
+    parsed once, to a table of arrays that the three kinds of pieces are read from."""
     rows = notes.select(F.struct(F.col("src_ord").alias("s"), document_order(F.col("rel_path")).alias("p")).alias("ord"), F.col("rel_path").alias("path"), "text")
     rows = rows.withColumn("name", stem(F.col("path"))).withColumn("key", title_key(F.col("name"))).withColumn("doc_id", document_id(F.col("key")))
     is_html = F.lit(False)
     for ending in HTML_SUFFIXES:
         is_html = is_html | F.col("path").endswith(ending)
     tagged = rows.select("doc_id", "path", "ord", "text")
-    md, web = tagged.filter(~is_html), tagged.filter(is_html)
-    both = lambda f, g, cols: f(md).select(*cols).unionByName(g(web).select(*cols))
+    md, web = written(markdown.parsed(tagged.filter(~is_html)), "parsed"), tagged.filter(is_html)
+    both = lambda f, g, cols: markdown.rows_of(md, f).select(*cols).unionByName(g(web).select(*cols))
     base = ["doc_id", "path", "ord", "idx", "line"]
     return Pieces(
         rows.select("doc_id", "path", "ord", "name", "key"),
-        both(markdown.sections, html.sections, [*base, "title"]),
-        both(markdown.statements, html.statements, [*base, "statement"]),
-        both(markdown.links, html.links, [*base, "target", "relation"]),
+        both("sections", html.sections, [*base, "title"]),
+        both("statements", html.statements, [*base, "statement"]),
+        both("links", html.links, [*base, "target", "relation"]),
     )
 
 
@@ -88,9 +91,8 @@ def nodes(pieces: Pieces) -> DataFrame:
 
 def suppress_mentions(links: DataFrame) -> DataFrame:
     """Drop mentions between two nodes that another relation links the same way."""
-    named = links.filter("relation <> 'mentions'").select("source", "target").distinct()
-    kept = links.filter("relation = 'mentions'").join(named, ["source", "target"], "left_anti")
-    return links.filter("relation <> 'mentions'").unionByName(kept)
+    named = F.max(F.col("relation") != "mentions").over(Window.partitionBy("source", "target"))
+    return links.withColumn("named", named).filter((F.col("relation") != "mentions") | ~F.col("named")).drop("named")
 
 
 def all_links(pieces: Pieces) -> DataFrame:

@@ -45,22 +45,15 @@ def with_lines(docs: DataFrame) -> DataFrame:
     return docs.withColumn("ls", _lines(F.coalesce("text", F.lit("")))).drop("text")
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """key columns, idx (from 0), line, title of every heading."""
+def _sections() -> Column:
     found = F.filter("ls", lambda x: _is_heading(x["raw"]))
-    titles = F.transform(found, lambda x: F.struct(x["line"].alias("line"), F.regexp_extract(x["raw"], HEADING, 2).alias("title")))
-    rows = with_lines(docs)
-    keys = [c for c in rows.columns if c != "ls"]
-    return rows.select(*keys, F.posexplode(titles).alias("idx", "s")).select(*keys, "idx", "s.line", "s.title")
+    return F.transform(found, lambda x: F.struct(x["line"].alias("line"), F.regexp_extract(x["raw"], HEADING, 2).alias("title")))
 
 
-def statements(docs: DataFrame) -> DataFrame:
-    """key columns, idx (from 0), line, statement: each line with content that is no heading."""
+def _statements() -> Column:
     body = F.filter("ls", lambda x: ~_is_heading(x["raw"]))
     lines = F.transform(body, lambda x: F.struct(x["line"].alias("line"), _content(x["raw"]).alias("statement")))
-    rows = with_lines(docs)
-    keys = [c for c in rows.columns if c != "ls"]
-    return rows.select(*keys, F.posexplode(F.filter(lines, lambda x: x["statement"] != "")).alias("idx", "s")).select(*keys, "idx", "s.line", "s.statement")
+    return F.filter(lines, lambda x: x["statement"] != "")
 
 
 def canonical_relation(word: Column) -> Column:
@@ -68,19 +61,43 @@ def canonical_relation(word: Column) -> Column:
     return F.coalesce(F.element_at(known, word), word)
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """key columns, idx (from 0), line, target, relation (null for a mention) of every link."""
-
+def _links() -> Column:
     def of(x: Column) -> Column:
         raw, line = x["raw"], x["line"]
         named = F.array(F.struct(line.alias("line"), strip(F.regexp_extract(raw, RELATION, 2)).alias("target"), canonical_relation(F.regexp_extract(raw, RELATION, 1)).alias("relation")))
         loose = F.transform(F.regexp_extract_all(raw, F.lit(TARGET), F.lit(1)), lambda t: F.struct(line.alias("line"), strip(t).alias("target"), F.lit(None).cast("string").alias("relation")))
         return F.when(raw.rlike(RELATION), named).otherwise(loose)
 
+    held = F.filter("ls", lambda x: x["raw"].contains("[[") & ~_is_heading(x["raw"]))
+    return F.flatten(F.transform(held, of))
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """key columns with the arrays sections, statements and links: every line is read once."""
     rows = with_lines(docs)
     keys = [c for c in rows.columns if c != "ls"]
-    held = F.filter("ls", lambda x: x["raw"].contains("[[") & ~_is_heading(x["raw"]))
-    return rows.select(*keys, F.posexplode(F.flatten(F.transform(held, of))).alias("idx", "s")).select(*keys, "idx", "s.line", "s.target", "s.relation")
+    return rows.select(*keys, _sections().alias("sections"), _statements().alias("statements"), _links().alias("links"))
+
+
+def rows_of(table: DataFrame, piece: str) -> DataFrame:
+    """One array of parsed() as rows: key columns, idx (from 0) and the piece's fields."""
+    keys = [c for c in table.columns if c not in ("sections", "statements", "links")]
+    return table.select(*keys, F.posexplode(piece).alias("idx", "s")).select(*keys, "idx", "s.*")
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """key columns, idx (from 0), line, title of every heading."""
+    return rows_of(parsed(docs), "sections")
+
+
+def statements(docs: DataFrame) -> DataFrame:
+    """key columns, idx (from 0), line, statement: each line with content that is no heading."""
+    return rows_of(parsed(docs), "statements")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """key columns, idx (from 0), line, target, relation (null for a mention) of every link."""
+    return rows_of(parsed(docs), "links")
 
 
 def attributed(docs: DataFrame) -> DataFrame:
