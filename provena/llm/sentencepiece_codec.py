@@ -184,9 +184,9 @@ class Codec:
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of normalised texts. A unigram model's unknown runs become byte pieces here."""
-        found = self.plain.encode_batch(texts, add_special_tokens=False)
         if self.spec.kind != UNIGRAM or not self.spec.byte_fallback:
-            return [e.ids for e in found]
+            return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.plain.encode_batch(texts, add_special_tokens=False)  # with offsets
         out = []
         for text, e in zip(texts, found, strict=True):
             ids = e.ids
