@@ -2,7 +2,12 @@
 
 Text is made canonical word by word: A-Z folded and ASCII punctuation at the edges dropped;
 numbers become a number slot, words with a capital that do not open a sentence or line a
-name slot, and words of a unit list a unit slot. Windows of `window` canonical words of
+name slot, and words of a unit list a unit slot. A capital that opens a sentence or line
+has two readings, the one of the word without it and a name: item windows are kept in every
+combination of them, document windows looked up with all openings read the first way and
+with all read as names. So neither another name nor other text before an item hides it; what
+is not seen is a window where a document makes a small word of the item an opening and has
+another name at another opening. Windows of `window` canonical words of
 benchmark items are looked up among those of all documents (items shorter than a window
 count whole, from `shortest` words on). A window where a benchmark item has too few plain
 words to tell is extended until it has `plain` of them, or is left out.
@@ -28,13 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import chunks, runs
-from .textkit import U64, Words, byte_values, mix, prefix_sums, rolling, span_hash
+from .textkit import U64, Words, byte_values, mix, powers, prefix_sums, rolling, rolling_sums, span_hash
 from .toxicity import PUNCTUATION as _PUNCTUATION
 from .toxicity import word_spans
 
 WINDOW, SHORTEST, PLAIN = 13, 8, 6
 #: Words of the benchmark in one block, a few dozen bytes each in every worker.
 BLOCK_WORDS = 2_000_000
+#: Openings in the words that a window is looked up by; where it has more, its first words up
+#: to there are looked up and all of it is confirmed.
+OPENINGS = 8
+#: Pairs of windows in hand at once.
+PAIRS = 1 << 20
 # Words that are units.
 UNITS = "mm cm m km in inch inches ft feet foot yd yard yards mi mile miles mg g kg lb lbs oz ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents kb mb gb tb w kw v hz khz mhz ghz percent degrees".split()
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
@@ -49,7 +59,8 @@ _STOP[list(b".!?:")] = True
 
 class Canonical:
     """Per word of a batch (words of punctuation alone are left out): its kind, its value (hash
-    of the folded word), its canonical hash, and its place among all words of its text."""
+    of the folded word), its canonical hash, its place among all words of its text, whether it
+    is a capital that opens a sentence or line, and kind and canonical hash with those as names."""
 
     def __init__(self, texts: list[str | None]):
         words = Words(texts)
@@ -58,6 +69,7 @@ class Canonical:
         value = span_hash(prefix_sums(byte_values(np.where(_UPPER[data], data + 32, data))), start, end)
         kind = np.full(len(value), LITERAL, np.int8)
         keep = np.ones(len(value), bool)
+        opening = np.zeros(len(value), bool)
         if len(value):
             head = data[start]
             # two-byte capitals of the Latin-1 block: 0xC3 0x80-0x9E
@@ -70,14 +82,17 @@ class Canonical:
             opens[1:] |= newline[words.start[1:]] > newline[words.end[:-1]]
             kind[np.isin(value, UNIT_HASHES)] = UNIT
             kind[capital & ~opens] = NAME
+            opening = capital & opens
             # signs and currencies are punctuation, which is dropped already
             kind[_DIGIT[head]] = NUMBER
             solid = np.append(0, np.cumsum(~_PUNCTUATION[data]))
             keep = solid[words.end] > solid[words.start]
         self.first = np.append(0, np.cumsum(keep))[words.first]
         self.place = (np.arange(len(value)) - np.repeat(words.first[:-1], words.counts))[keep]
-        self.kind, self.value = kind[keep], value[keep]
+        self.kind, self.value, self.opening = kind[keep], value[keep], opening[keep]
         self.canon = np.where(self.kind == LITERAL, self.value, _SLOT[self.kind])
+        self.named = np.where(self.opening, NAME, self.kind)
+        self.canon_named = np.where(self.opening, _SLOT[NAME], self.canon)
 
 
 def _unit_values() -> np.ndarray:
@@ -88,70 +103,110 @@ def _unit_values() -> np.ndarray:
 UNIT_HASHES = _unit_values()
 
 
+def _before(mask: np.ndarray) -> np.ndarray:
+    """How many are set before each place, and in all at the end."""
+    return np.append(0, np.cumsum(mask))
+
+
+class Table:
+    """Item windows by the hash of their first words, with a quick test for hashes it lacks."""
+
+    def __init__(self, keys: np.ndarray, starts: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts = keys[order], starts[order].astype(np.int32)
+        self.shift = U64(64 - min(22, max(12, (8 * len(keys)).bit_length())))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[keys >> self.shift] = True
+
+    def pairs(self, have: np.ndarray, mine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in mine and item starts of equal hash, in pieces of about PAIRS."""
+        at = np.flatnonzero(self.seen[have >> self.shift])
+        lo = np.searchsorted(self.keys, have[at])
+        count = np.searchsorted(self.keys, have[at], "right") - lo
+        at, lo, count = at[count > 0], lo[count > 0], count[count > 0]
+        piece = np.cumsum(count) // PAIRS
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1), len(at)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield np.repeat(mine[at[a:b]], count[a:b]), self.starts[runs(lo[a:b], count[a:b])].astype(np.int64)
+
+
 class Index:
-    """Windows of benchmark items, sorted by hash, beside the items' words."""
+    """Windows of benchmark items by hash, beside the items' words."""
 
     def __init__(self, ids: list, texts: list[str | None], window: int, shortest: int, plain: int):
         c = Canonical(texts)
-        self.ids, self.kind, self.value = ids, c.kind, c.value
+        self.ids, self.first, self.kind, self.value, self.opening, self.plain = ids, c.first, c.kind, c.value, c.opening, plain
         n = np.diff(c.first)
-        starts, items, lengths = [], [], []
-        literal = np.append(0, np.cumsum(c.kind == LITERAL))
-        for i in range(len(n)):
-            if n[i] < shortest:
-                continue
-            size = min(window, int(n[i]))
-            for a in range(int(c.first[i]), int(c.first[i + 1]) - size + 1):
-                # extend a window that is mostly slots, in steps, so that few lengths occur
-                length = size
-                while literal[a + length] - literal[a] < plain and a + length + 4 <= c.first[i + 1] and length < 2 * window:
-                    length += 4
-                if literal[a + length] - literal[a] >= plain:
-                    starts.append(a)
-                    items.append(i)
-                    lengths.append(length)
-        starts, items, lengths = (np.array(x, np.int64) for x in (starts, items, lengths))
+        fits = np.where(n >= shortest, n - np.minimum(window, n) + 1, 0)
+        start = runs(c.first[:-1], fits)
+        end = np.repeat(c.first[1:], fits)
+        length = np.repeat(np.minimum(window, n), fits)
+        most, least = _before(c.kind == LITERAL), _before((c.kind == LITERAL) & ~c.opening)
+        starts, lengths = [], []
+        while len(start):
+            # extend a window that is mostly slots, in steps, so that few lengths occur;
+            # one that is so only with its openings as names counts at each length
+            enough = most[start + length] - most[start] >= plain
+            starts.append(start[enough])
+            lengths.append(length[enough])
+            more = (least[start + length] - least[start] < plain) & (start + length + 4 <= end) & (length < 2 * window)
+            start, end, length = start[more], end[more], length[more] + 4
+        start, size = (np.concatenate([np.empty(0, np.int64), *x]) for x in (starts, lengths))
+        openings = _before(c.opening)
+        width = np.minimum(size, np.searchsorted(openings, openings[start] + OPENINGS, "right") - 1 - start)
         self.tables = {}
-        for size in sorted(set(lengths.tolist())):
-            pick = lengths == size
-            key = rolling(c.canon, size)[starts[pick]]
-            order = np.argsort(key, kind="stable")
-            self.tables[size] = (key[order], starts[pick][order], items[pick][order])
+        for w, z in sorted(set(zip(width.tolist(), size.tolist(), strict=True))):
+            mine = start[(width == w) & (size == z)]
+            self.tables[w, z] = Table(*self._readings(c, mine, w, most[mine + z] - most[mine]))
+
+    def _readings(self, c: Canonical, start: np.ndarray, width: int, literals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first words with each opening read both ways, and the starts, but for
+        readings that leave too few plain words."""
+        total = rolling_sums(c.canon, width)[start]
+        for i, weight in enumerate(powers(width)):
+            at = np.flatnonzero(c.opening[start + i])
+            less = literals[at] - (c.kind[start[at] + i] == LITERAL)
+            at, less = at[less >= self.plain], less[less >= self.plain]
+            word = start[at] + i
+            total = np.append(total, total[at] + (c.canon_named[word] - c.canon[word]) * weight)
+            start, literals = np.append(start, start[at]), np.append(literals, less)
+        return mix(total), start
 
     def match(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, confirmed windows, first word) for each contaminated text and item."""
         c = Canonical(texts)
+        n = np.diff(c.first)
+        openings = _before(c.opening)
+        pairs = [np.empty(0, np.int64)]
+        for (width, size), table in self.tables.items():
+            mine = runs(c.first[:-1], np.maximum(n - size + 1, 0))
+            for canon, kind in ((c.canon, c.kind), (c.canon_named, c.named)):
+                for at, start in table.pairs(rolling(canon, width)[mine], mine):
+                    good = self._consistent(kind, c.value, at, start, size)
+                    pairs.append(at[good] * len(self.value) + start[good])
+                # without an opening both readings are the same
+                mine = mine[openings[mine + size] > openings[mine]]
+        at, start = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.value)))
+        text, item = (np.searchsorted(f, x, "right") - 1 for f, x in ((c.first, at), (self.first, start)))
         found: dict[tuple[int, int], list[int]] = {}
-        for size, (keys, starts, items) in self.tables.items():
-            mine = runs(c.first[:-1], np.maximum(np.diff(c.first) - size + 1, 0))
-            if not len(mine) or not len(keys):
-                continue
-            have = rolling(c.canon, size)[mine]
-            lo = np.searchsorted(keys, have)
-            hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == have)
-            if not len(hit):
-                continue
-            hi = np.searchsorted(keys, have[hit], "right")
-            count = hi - lo[hit]
-            slot = runs(lo[hit], count)
-            at = np.repeat(mine[hit], count)
-            good = self._consistent(c, at, starts[slot], size)
-            text = np.searchsorted(c.first, at, "right") - 1
-            for t, i, a in zip(text[good].tolist(), items[slot][good].tolist(), c.place[at][good].tolist(), strict=True):
-                e = found.setdefault((t, i), [0, a])
-                e[0] += 1
-                e[1] = min(e[1], a)
+        for t, i, a in zip(text.tolist(), item.tolist(), c.place[at].tolist(), strict=True):
+            e = found.setdefault((t, i), [0, a])
+            e[0] += 1
+            e[1] = min(e[1], a)
         return [(t, i, n, a) for (t, i), (n, a) in found.items()]
 
-    def _consistent(self, c: Canonical, at: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-        """Whether plain words agree and slot values map one to one, for each pair of windows."""
+    def _consistent(self, kind: np.ndarray, value: np.ndarray, at: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        """Whether enough plain words agree and slot values map one to one, for each pair of
+        windows; an opening of the item is a name where the text has one."""
         good = np.ones(len(at), bool)
         step = max(1, (1 << 20) // (size * size))
         for a in range(0, len(at), step):
             x = at[a : a + step, None] + np.arange(size)
             y = start[a : a + step, None] + np.arange(size)
-            u, v, k = c.value[x], self.value[y], self.kind[y]
-            ok = (c.kind[x] == k).all(1) & ((u == v) | (k != LITERAL)).all(1)
+            u, v = value[x], self.value[y]
+            k = np.where(self.opening[y] & (kind[x] == NAME), NAME, self.kind[y])
+            ok = (kind[x] == k).all(1) & ((u == v) | (k != LITERAL)).all(1) & ((k == LITERAL).sum(1) >= self.plain)
             slots = (k[:, :, None] != LITERAL) & (k[:, :, None] == k[:, None, :])
             clash = ((u[:, :, None] == u[:, None, :]) != (v[:, :, None] == v[:, None, :])) & slots
             good[a : a + step] = ok & ~clash.any((1, 2))

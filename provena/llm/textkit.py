@@ -57,13 +57,23 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
 
 
-def rolling(values: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every window of width values; empty when there are fewer."""
+def powers(n: int) -> np.ndarray:
+    """The weights of a window's first n values in rolling_sums."""
+    return _grown("b", _BASE, n)
+
+
+def rolling_sums(values: np.ndarray, width: int) -> np.ndarray:
+    """Weighted sum of every window of width values, before mixing; empty when there are fewer."""
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, U64)
     sums = prefix_sums(values)
-    return mix((sums[width:] - sums[:n]) * _grown("i", _INVERSE, n))
+    return (sums[width:] - sums[:n]) * _grown("i", _INVERSE, n)
+
+
+def rolling(values: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every window of width values; empty when there are fewer."""
+    return mix(rolling_sums(values, width))
 
 
 class Words:

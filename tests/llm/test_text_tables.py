@@ -37,6 +37,38 @@ def test_decontamination(spark):
     assert found - {(4, 1)} == {(0, 0), (1, 0), (3, 5), (10, 1)}
 
 
+APPLES = "Anna has 5 red apples in her bag. Ben gives her 3 more apples today. Carla takes 2 of them away. Dora then eats 1 of the apples that are left over"
+
+
+def index(*items):
+    return decontamination.Index(list(range(len(items))), list(items), decontamination.WINDOW, decontamination.SHORTEST, decontamination.PLAIN)
+
+
+def test_names_that_open_sentences():
+    renamed = APPLES
+    for a, b in [("Anna", "Erik"), ("Ben", "Fay"), ("Carla", "Gus"), ("Dora", "Hal"), ("5", "8"), ("3", "4")]:
+        renamed = renamed.replace(a, b)
+    n = len(APPLES.split()) - 12
+    one = index(APPLES)
+    assert one.match([APPLES]) == [(0, 0, n, 0)] and one.match([renamed]) == [(0, 0, n, 0)]
+    assert one.match(["It says " + renamed[0].lower() + renamed[1:]])  # no name at the start
+    short = "Anna has 5 red apples in her bag. Ben gives her 3"
+    assert index(short).match([short.replace("Ben", "Eve")]) and not index(short).match([short.replace("Ben", "Anna")])  # two names, not one
+    assert index("At dawn Anna buys 12 apples . Ben gives them all to his old friend").match(["so at dawn Ida buys 9 apples . Joe gives them all to his old friend"])
+
+
+def test_text_before_an_item_does_not_hide_it():
+    for item in ("Name the river that runs through the old town near us", "In the year of the flood who was king over us", "Every single morning the quick brown fox jumps over two lazy dogs"):
+        for before in ("", "Question ", "Question: ", "the end. "):
+            assert index(item).match([before + item]), (before, item)
+
+
+def test_many_openings():
+    item = "\n".join("Alpha Beta gamma Delta epsilon Zeta eta Theta iota Kappa lambda Mu nu Xi omicron Pi rho".split())
+    one = index(item)
+    assert one.match([item]) and one.match([item.lower()]) and one.match([item.replace("Beta", "beta").replace("Mu", "Omega")])
+
+
 def test_decontamination_in_blocks_and_hard_rows(spark):
     docs = frame(spark, [*hard_rows(), (77, ITEMS[1][1])])
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
