@@ -9,8 +9,12 @@ with all read as names. So neither another name nor other text before an item hi
 is not seen is a window where a document makes a small word of the item an opening and has
 another name at another opening. Windows of `window` canonical words of
 benchmark items are looked up among those of all documents (items shorter than a window
-count whole, from `shortest` words on). A window where a benchmark item has too few plain
-words to tell is extended until it has `plain` of them, or is left out.
+count whole, as templates from `shortest` words on). A window where a benchmark item has too
+few plain words to tell is extended until it has `plain` of them. Where that fails (also
+with openings as names only), and in
+items under `shortest` words, the window is looked up by its folded words, slots included.
+Left out are items of one or two words and windows of nothing but numbers: they say too
+little to be an item's alone.
 
 A hit is confirmed slot by slot: plain words must be equal, and over the window each slot
 value of the item must stand for one value in the document and the other way round, so
@@ -38,6 +42,8 @@ from .toxicity import PUNCTUATION as _PUNCTUATION
 from .toxicity import word_spans
 
 WINDOW, SHORTEST, PLAIN = 13, 8, 6
+#: Words of the shortest item that is looked up at all.
+LEAST = 3
 #: Words of the benchmark in one block, a few dozen bytes each in every worker.
 BLOCK_WORDS = 2_000_000
 #: Openings in the words that a window is looked up by; where it has more, its first words up
@@ -138,20 +144,23 @@ class Index:
         c = Canonical(texts)
         self.ids, self.first, self.kind, self.value, self.opening, self.plain = ids, c.first, c.kind, c.value, c.opening, plain
         n = np.diff(c.first)
-        fits = np.where(n >= shortest, n - np.minimum(window, n) + 1, 0)
-        start = runs(c.first[:-1], fits)
-        end = np.repeat(c.first[1:], fits)
-        length = np.repeat(np.minimum(window, n), fits)
+        fits = np.where(n >= LEAST, n - np.minimum(window, n) + 1, 0)
+        every = runs(c.first[:-1], fits)
+        last = np.repeat(c.first[1:], fits)
+        sizes = np.repeat(np.minimum(window, n), fits)
         most, least = _before(c.kind == LITERAL), _before((c.kind == LITERAL) & ~c.opening)
+        long = np.repeat(n >= shortest, fits)
+        start, end, length = every[long], last[long], sizes[long]
         starts, lengths = [], []
         while len(start):
-            # extend a window that is mostly slots, in steps, so that few lengths occur;
-            # one that is so only with its openings as names counts at each length
+            # extend a window that is mostly slots, in steps, so that few lengths occur, and at
+            # last to the item's end; one that is so only with its openings as names counts at
+            # each length
             enough = most[start + length] - most[start] >= plain
             starts.append(start[enough])
             lengths.append(length[enough])
-            more = (least[start + length] - least[start] < plain) & (start + length + 4 <= end) & (length < 2 * window)
-            start, end, length = start[more], end[more], length[more] + 4
+            more = (least[start + length] - least[start] < plain) & (start + length < end) & (length < 2 * window)
+            start, end, length = start[more], end[more], np.minimum(length[more] + 4, (end - start)[more])
         start, size = (np.concatenate([np.empty(0, np.int64), *x]) for x in (starts, lengths))
         openings = _before(c.opening)
         width = np.minimum(size, np.searchsorted(openings, openings[start] + OPENINGS, "right") - 1 - start)
@@ -159,6 +168,10 @@ class Index:
         for w, z in sorted(set(zip(width.tolist(), size.tolist(), strict=True))):
             mine = start[(width == w) & (size == z)]
             self.tables[w, z] = Table(*self._readings(c, mine, w, most[mine + z] - most[mine]))
+        telling = _before(c.kind != NUMBER)
+        told = start[least[start + size] - least[start] >= plain]
+        exact = ~np.isin(every, told) & (telling[every + sizes] > telling[every])
+        self.exact = {z: Table(rolling(c.value, z)[every[at]], every[at]) for z in sorted(set(sizes[exact].tolist())) if len(at := np.flatnonzero(exact & (sizes == z)))}
 
     def _readings(self, c: Canonical, start: np.ndarray, width: int, literals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first words with each opening read both ways, and the starts, but for
@@ -187,6 +200,11 @@ class Index:
                     pairs.append(at[good] * len(self.value) + start[good])
                 # without an opening both readings are the same
                 mine = mine[openings[mine + size] > openings[mine]]
+        for size, table in self.exact.items():
+            mine = runs(c.first[:-1], np.maximum(n - size + 1, 0))
+            for at, start in table.pairs(rolling(c.value, size)[mine], mine):
+                good = np.logical_and.reduce([c.value[at + i] == self.value[start + i] for i in range(size)])
+                pairs.append(at[good] * len(self.value) + start[good])
         at, start = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.value)))
         text, item = (np.searchsorted(f, x, "right") - 1 for f, x in ((c.first, at), (self.first, start)))
         found: dict[tuple[int, int], list[int]] = {}

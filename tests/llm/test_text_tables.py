@@ -69,6 +69,20 @@ def test_many_openings():
     assert one.match([item]) and one.match([item.lower()]) and one.match([item.replace("Beta", "beta").replace("Mu", "Omega")])
 
 
+def test_items_without_enough_plain_words():
+    items = ["Who was the first president of France?", "Compute 12 3 45 6 78 9 10 11 12 13 14 15 16 and add 7", "Solve 1 2 3 and 4 5 6 or 7 8 9 then stop"]
+    for item in [*items, "Ann Ben Cat Dan Eve Fay Gus Hal Ida Joe Kim Lea Max"]:
+        one = index(item)
+        assert one.match([item]) and one.match(["so " + item + " it says"]) and one.match([item.lower()]), item
+        assert not one.match([item[:-2]]) or len(item.split()) > 13
+    assert not index(items[0]).match(["Who was the last president of France?"])
+    assert not index(items[1]).match([items[1].replace("45", "46").replace("78", "79").replace("10", "20").replace("14", "24")])  # exact only
+    edge = "Add 1 2 3 4 5 6 7 and then stop right here"  # five plain words where 'Add' is a name
+    assert index(edge).match(["so Add" + edge[3:]])
+    late = "add 1 2 3 4 and 5 6 or 7 8 then stop here"  # 14 words, enough plain ones only in all of it
+    assert index(late).match([late.replace("7", "77")])
+
+
 def test_decontamination_in_blocks_and_hard_rows(spark):
     docs = frame(spark, [*hard_rows(), (77, ITEMS[1][1])])
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
