@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import graph
-from ..schema import HTML_SUFFIXES, MARKDOWN_SUFFIXES
+from ..schema import HTML_SUFFIXES, MARKDOWN_SUFFIXES, WATCHED_NAMES
 from ..sources import map_store
 from ..sources.notes import read_notes
 from ..sources.shared import written
 
 
-def rebuild(spark: SparkSession, folders: list[str], path: str, watched: tuple[str, ...] = (), force: bool = False) -> bool:
+def rebuild(spark: SparkSession, folders: list[str], path: str, watched: tuple[str, ...] = WATCHED_NAMES, force: bool = False) -> bool:
     """Build the map at path if its documents changed; whether it was built."""
     store = map_store.MapStore(path)
     docs = read_notes(spark, folders)
@@ -31,12 +31,12 @@ def rebuild(spark: SparkSession, folders: list[str], path: str, watched: tuple[s
     return True
 
 
-def watch(spark: SparkSession, folders: list[str], path: str, checkpoint: str):
+def watch(spark: SparkSession, folders: list[str], path: str, checkpoint: str, watched: tuple[str, ...] = WATCHED_NAMES):
     """One streaming query over the folders' files that rebuilds the map and then ends."""
     endings = ",".join(s[1:] for s in MARKDOWN_SUFFIXES + HTML_SUFFIXES)
 
     def batch(_: DataFrame, __: int) -> None:
-        rebuild(spark, folders, path)
+        rebuild(spark, folders, path, watched)
 
     files = None
     for folder in folders:

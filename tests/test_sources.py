@@ -70,6 +70,20 @@ def test_watch_rebuilds_once(spark, tmp_path):
     assert not query.isActive and map_store.MapStore(str(tmp_path / "map")).read(spark)[0].filter("kind = 'document'").count() == 2
 
 
+def test_rebuild_and_watch_look_for_watched_names(spark, tmp_path, monkeypatch):
+    notes = tmp_path / "notes"
+    tree(notes, {"one.md": "bend radius is fixed at 200 mm", "two.md": "bend radius is fixed at 300 mm"})
+    path = str(tmp_path / "map")
+    refresh.rebuild(spark, [str(notes)], path)
+    text = open(map_store.MapStore(path).report_path).read()
+    assert "bend radius   (values" in text[text.index("[strong]") : text.index("[context]")]
+    seen = []
+    monkeypatch.setattr(refresh, "rebuild", lambda spark, folders, path, watched: seen.append(watched))
+    refresh.watch(spark, [str(notes)], path, str(tmp_path / "cp-a")).awaitTermination(120)
+    refresh.watch(spark, [str(notes)], path, str(tmp_path / "cp-b"), ("cap size",)).awaitTermination(120)
+    assert seen == [refresh.WATCHED_NAMES, ("cap size",)]
+
+
 def test_empty_folder(spark, tmp_path):
     p = graph.parse(read_notes(spark, [str(tmp_path)]).select("src_ord", "rel_path", "text"))
     assert graph.nodes(p).count() == 0 and graph.links(p).count() == 0
