@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 
 from provena.llm import decontamination, language_id, near_dedup, sentencepiece_codec, suffix_dedup
 from provena.llm.common import saved, table
+from provena.llm.repeats import KEY, text_key
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (DOCUMENT) with the key of each text."""
+    return docs.select(*DOCUMENT, *text_key(F.coalesce("text", F.lit(""))))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows of an id, which may be null, and a text in gone (doc_id, k1, k2)."""
+    rows, gone = keyed(docs).alias("d"), gone.alias("g")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.k1") == F.col("g.k1")) & (F.col("d.k2") == F.col("g.k2"))
+    return rows.join(gone, same, "left_anti").select(*DOCUMENT)
+
+
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and those whose language is ambiguous."""
     found = language_id.identify(docs, language_id.fit(docs), keep=DOCUMENT)
@@ -19,7 +32,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates keep the document of smallest id."""
+    """Of each group of near duplicates keep the document of smallest id. Rows of one id are
+    one document; rows of null id all stay."""
     gone = saved(spark, near_dedup.dedup(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-duplicates")
     return docs.select(*DOCUMENT).join(gone, "doc_id", "left_anti")
 
@@ -30,9 +44,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, also with other numbers, names or units."""
-    gone = saved(spark, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.select(*DOCUMENT).join(gone, "doc_id", "left_anti")
+    """Drop documents that hold a benchmark item, also with other numbers, names or units;
+    rows are dropped one by one, whatever their id."""
+    gone = saved(spark, decontamination.contaminated(keyed(docs), table(spark, sf_dir, "benchmark"), keep=("doc_id", *KEY)).select("doc_id", *KEY).distinct(), "leaks")
+    return without(docs, gone)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,17 @@ def test_stages_keep_columns_and_clean_rows(spark):
     assert all(t is not None for t in texts) and sum(t.strip().lower() == "one" for t in texts) == 1
 
 
+def test_leaks_are_dropped_row_by_row(spark):
+    leak = spark.read.parquet(f"{TABLES}/benchmark.parquet").first().text
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in "ab"]
+
+    def kept(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, TABLES).collect()), key=str)
+
+    assert kept(corpus_pipeline.drop_leaks, [(None, leak), (None, texts[0]), (7, leak), (7, texts[1])]) == [(7, texts[1]), (None, texts[0])]
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_take_empty_tables(spark, k):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
