@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds unpacked at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the session's checkpoint folder, which all nodes share.
 
-    Only a session without spark.checkpoint.dir (a local test) gets a temporary one.
+    A local session without spark.checkpoint.dir gets a temporary one; on a cluster, where no
+    such folder is shared, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         base = tempfile.mkdtemp(prefix="provena-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -98,6 +102,16 @@ def fold(column: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5, F.lit(-1))
 
 
+def trim() -> None:
+    """Give the memory that freed arrays left in this process back to the machine: idle workers
+    stay small, whatever they did before."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, which has no such call
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about `size` bytes of text each."""
     for batch in batches:
@@ -108,6 +122,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    trim()
 
 
 def runs(mask_start: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -50,14 +50,22 @@ def gram_bins(words: Words, orders: tuple[int, ...], bits: int, with_words: bool
     return out
 
 
+#: n-grams weighed at once: what is held does not grow with a text.
+STEP = 1 << 16
+
+
 def linear(words: Words, weights: np.ndarray, orders: tuple[int, ...], bits: int, with_words: bool = False) -> np.ndarray:
     """Sum over groups of the mean weight of a text's n-grams; weights: bins x outputs."""
     total = np.zeros((len(words.text_at) - 1, weights.shape[1]))
     for bins, bounds in gram_bins(words, orders, bits, with_words):
-        n = np.diff(bounds)
-        full = n > 0
-        if full.any():
-            total[full] += np.add.reduceat(weights[bins], bounds[:-1][full], axis=0) / n[full, None]
+        mean = 1 / np.maximum(np.diff(bounds), 1)
+        for a in range(0, len(bins), STEP):
+            z = min(len(bins), a + STEP)
+            first, last = np.searchsorted(bounds, a, "right") - 1, np.searchsorted(bounds, z, "left")
+            at = np.clip(bounds[first:last], a, z)
+            full = np.flatnonzero(np.append(at[1:], z) > at)
+            own = first + full
+            total[own] += np.add.reduceat(weights[bins[a:z]], at[full] - a, axis=0) * mean[own, None]
     return total * SCALE
 
 

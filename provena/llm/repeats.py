@@ -48,7 +48,10 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     found.write.option("path", shared_dir(spark, "texts")).option("compression", "zstd").bucketBy(parts, *KEY).sortBy(*KEY).saveAsTable(name)
     del found
     release(spark)
-    return spark.table(name)
+    out = spark.table(name)
+    # the files stay, and so does the bucketing that the resolved table knows; its name goes
+    spark.sql(f"drop table {name}")
+    return out
 
 
 def symbols(texts: list[str | None], unit: str):
@@ -60,7 +63,7 @@ def symbols(texts: list[str | None], unit: str):
 
 
 #: Pieces that a task gathers before it sends them, and bytes of text to a bucket of anchors.
-FLUSH, BUCKET_BYTES = 1 << 19, 8 << 20
+FLUSH, BUCKET_BYTES = 1 << 18, 8 << 20
 COLUMNS = ("h", "g", *KEY, "first_id", "at", "n")
 
 

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, runs, saved
+from .common import chunks, runs, saved, trim
 from .repeats import KEY, classes, covered, cut_pieces, distinct_texts, find_pieces, text_key, window_rows
 
 MIN_BYTES, GRAM = 400, 48
 #: Bytes of a shard, and of one anchor's pieces from which they are counted by window.
-SHARD_BYTES, CROWDED_BYTES = 1 << 19, 4 << 20
+SHARD_BYTES, CROWDED_BYTES = 1 << 19, 2 << 20
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -144,6 +144,7 @@ def _shard(length: int):
         starts = np.cumsum([0, *(len(d) + 1 for d in data[:-1])])
         owner = np.searchsorted(starts, begin, "right") - 1
         take = pa.array(owner)
+        trim()
         return pa.table({"h": part.column("h").take(take), "g": part.column("g").take(take), "off": pa.array((begin - starts[owner]).astype(np.int32)), "len": pa.array((end - begin).astype(np.int32))})
 
     return run
@@ -162,18 +163,22 @@ def repeats(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, crow
     by_shard = cut.filter(F.col("symbols") <= crowded).select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "g", "size", "data")
     parts = [alone, by_shard.groupBy("shard").applyInArrow(_shard(min_bytes), "h long, g long, off int, len int")]
     windows = window_rows(cut.filter(F.col("symbols") > crowded), "bytes", min_bytes)
-    again = windows.groupBy("w").agg(F.sum("size").alias("n")).filter("n > 1").select("w")
-    parts.append(windows.join(again, "w").select("h", "g", "off", F.lit(1).alias("len")))
+    again = windows.groupBy("h", "w").agg(F.sum("size").alias("n")).filter("n > 1").select("h", "w")
+    parts.append(windows.join(again, ["h", "w"]).select("h", "g", "off", F.lit(1).alias("len")))
     decided = saved(spark, parts[0].unionByName(parts[1]).unionByName(parts[2]), "decided")
     return pieces.join(decided, ["h", "g"]).select(*KEY, (F.col("at") + F.col("off")).alias("at"), F.col("len").alias("n"))
 
 
-def removed_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, with_text: bool = False, crowded: int = CROWDED_BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, with_text: bool = False, crowded: int = CROWDED_BYTES, over_words: int | None = None, sure_bytes: int = MIN_BYTES) -> DataFrame:
     """For each text key of docs (doc_id, text) that loses bytes: k1, k2, whole (all bytes go),
-    n_removed, n_spans, kept_sha256, spans, and with_text the bytes kept."""
+    n_removed, n_spans, kept_sha256, spans, and with_text the bytes kept. With over_words a
+    run of repeated bytes goes only if it has more words than that, or sure_bytes bytes."""
     texts = distinct_texts(docs)
     found = repeats(texts, min_bytes, gram, crowded).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("starts"))
     whole = (F.col("copies") > 1) & (F.octet_length("text") >= min_bytes)
+    if over_words is not None:
+        n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+        whole &= (F.octet_length("text") >= sure_bytes) | (n_words > over_words)
     rows = texts.filter(~whole).join(found, list(KEY)).select(*KEY, "starts", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +190,9 @@ def removed_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM,
             for i, text in enumerate(b.column(3).to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
                 begin, end = covered(at[bounds[i] : bounds[i + 1]], n[bounds[i] : bounds[i + 1]], min_bytes)
+                if over_words is not None:
+                    goes = np.array([y - x >= sure_bytes or len(raw[x:y].split()) > over_words for x, y in zip(begin, end, strict=True)], bool)
+                    begin, end = begin[goes], end[goes]
                 kept = b"".join(raw[x:y] for x, y in zip([0, *end], [*begin, len(raw)], strict=True))
                 out["removed"].append(len(raw) - len(kept))
                 out["spans"].append(len(begin))
@@ -212,8 +220,12 @@ def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, crowded
     return rows.join(found, list(KEY), "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("own_sha256", "sha256").alias("kept_sha256"), "spans")
 
 
-def dedup_texts(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
-    """docs with each text cut to the bytes kept; a character that loses a part goes whole."""
-    found = removed_spans(docs.select("doc_id", "text"), min_bytes, gram, with_text=True).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "kept")
-    keys = [k.alias(f"__{n}") for k, n in zip(text_key(F.coalesce("text", F.lit(""))), KEY, strict=True)]
-    return docs.select("*", *keys).join(found, ["__k1", "__k2"], "left").withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+def dedup_texts(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, over_words: int | None = None) -> DataFrame:
+    """docs with each text cut to the bytes kept; a character that loses a part goes whole.
+    over_words: as in removed_spans."""
+    found = removed_spans(docs.select("doc_id", "text"), min_bytes, gram, with_text=True, over_words=over_words).alias("found")
+    keys = F.struct(*text_key(F.coalesce("text", F.lit(""))))
+    rows = docs.select(F.struct("*").alias("row"), keys.alias("key")).alias("rows")
+    same = (F.col("rows.key.k1") == F.col("found.k1")) & (F.col("rows.key.k2") == F.col("found.k2"))
+    text = F.coalesce("found.kept", "rows.row.text").alias("text")
+    return rows.join(found, same, "left").select(*(text if c == "text" else F.col("rows.row")[c].alias(c) for c in docs.columns))

@@ -34,6 +34,21 @@ def test_suffix_dedup(spark, length, gram, crowded):
     assert Counter(map(tuple, got)) == suffix_brute(rows, length)
 
 
+def test_suffix_texts_take_clashing_names(spark):
+    rows = [(1, "a" + "x" * 50), (2, "b" + "x" * 50)]
+    df = spark.createDataFrame([(i, t, 7, 8, "k") for i, t in rows], "doc_id long, text string, kept int, `key` int, row string")
+    got = suffix_dedup.dedup_texts(df, 50, 8)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, "a", 7, 8, "k"), (2, "b", 7, 8, "k")]
+
+
+def test_distinct_texts_leave_no_table_name(spark):
+    texts = near_dedup.distinct_texts(frame(spark, [(1, "x"), (2, "x"), (3, "y")]))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("provena")]
+    assert sorted((r.text, r.copies, r.first_id) for r in texts.collect()) == [("x", 2, 1), ("y", 1, 3)]
+    plan = texts.groupBy("k1", "k2").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_suffix_texts_are_cut_on_characters(spark):
     rows = [(1, "aé" + "x" * 50), (2, "bè" + "x" * 50), (3, None), (4, "alone")]
     df = frame(spark, rows)
