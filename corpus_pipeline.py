@@ -11,6 +11,9 @@ from provena.llm.common import saved, table
 from provena.llm.repeats import KEY, text_key
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+#: Repeated passages are cut when they have over so many words, or 400 bytes; so many bytes are
+#: looked for, which 51 words have unless they are of under three letters on the average.
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 50, 200, 96
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -39,8 +42,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take long byte strings that occur more than once out of the texts."""
-    return suffix_dedup.dedup_texts(docs.select(*DOCUMENT)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+    """Take passages of over PASSAGE_WORDS words that occur more than once out of the texts, all
+    occurrences; shorter ones stay. Null texts stay null, n_chars follows the text."""
+    cut = suffix_dedup.dedup_texts(docs.select(*DOCUMENT), PASSAGE_BYTES, PASSAGE_GRAM, PASSAGE_WORDS)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
