@@ -9,13 +9,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import chain, conflicts, markdown, score, search, settle
-from .sources import config as config_file
 from .sources import map_store
+from .sources.config import Config
 from .sources.notes import diagnosis, read_notes
 from .streaming.refresh import rebuild
 
 
-def _page(store: map_store.MapStore, nodes, watched):
+def _page(store: map_store.MapStore, nodes, watched, shown: int | None):
     """Numbered values of the first open conflicts, (name, signature) by number, and how many there are."""
     held = store.suppressions(nodes.sparkSession)
     strong = conflicts.strong_observations(nodes, watched)
@@ -23,8 +23,9 @@ def _page(store: map_store.MapStore, nodes, watched):
     found = [conflicts.conflicts(rows, held) for rows in (strong, weak)]
     total = sum(f.filter("not suppressed").count() for f in found)
     paged = settle.page(*found)
-    numbered = settle.choices(paged, conflicts.values(strong).unionByName(conflicts.values(weak)))
-    return numbered, {r["index"]: (r["name"], r["signature"]) for r in paged.collect()}, total
+    names = [r["name"] for r in paged.collect()]  # a page at most
+    own = strong.unionByName(weak).filter(F.col("name").isin(names))
+    return settle.choices(paged, conflicts.values(own, shown)), {r["index"]: (r["name"], r["signature"]) for r in paged.collect()}, total
 
 
 def _lines(docs, by: str):
@@ -55,8 +56,8 @@ def main(args: list[str] | None = None) -> int:
     s.add_argument("--confirm", action="store_true", help="rewrite documents; otherwise only show what would change")
     a = p.parse_args(args)
 
-    c = config_file.load(a.config)
-    folders = (a.what == "build" and a.source) or c.source_dirs
+    c = Config.read(a.config)
+    folders = (a.what == "build" and a.source) or list(c.source_dirs)
     path = (a.what == "build" and a.out) or c.map_path
     if not folders or not path:
         print("Nothing configured: give source folders and a map path.")
@@ -92,18 +93,18 @@ def main(args: list[str] | None = None) -> int:
     elif a.what == "chain":
         print(chain.show(nodes, links, a.name))
     elif a.what == "conflicts":
-        numbered, _, total = _page(store, nodes, watched)
+        numbered, _, total = _page(store, nodes, watched, 2)
         print(settle.render(numbered, total))
     elif a.what == "settle":
-        numbered, marks, _ = _page(store, nodes, watched)
-        # the map has paths inside the folders; documents are rewritten where they are
-        file = lambda x: F.regexp_replace(x, ":[^:]*$", "")
-        rows = numbered.select("index", "name", "choice", "number", "unit", F.posexplode("sources").alias("i", "s")).withColumn("rel_path", file(F.col("s")))
-        rows = rows.join(docs.select("rel_path", "path"), "rel_path", "left").withColumn("s", F.concat(F.coalesce("path", "rel_path"), F.lit(":"), F.substring_index("s", ":", -1)))
-        sources = F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"])
-        numbered = rows.groupBy("index", "name", "choice", "number", "unit").agg(sources.alias("sources"))
-        done = settle.settle(numbered, marks, a.picks, _lines(docs, "path"), store.log_path, store.suppress, a.confirm)
-        print("\n".join([*done.messages, f"fixed {done.fixed} · marked not a conflict {done.suppressed} · left {done.left} · skipped {done.skipped}" + ("" if a.confirm else " (dry run)")]))
+        numbered, marks, _ = _page(store, nodes, watched, None)
+        # the map has paths inside the folders; documents are edited where they are
+        places = docs.select("rel_path", "path").distinct()
+        one = numbered.select("*", F.explode("sources").alias("source")).withColumn("rel_path", F.regexp_replace("source", ":[^:]*$", ""))
+        moved = F.concat(F.coalesce("path", "rel_path"), F.lit(":"), F.substring_index("source", ":", -1))
+        keys = ["index", "name", "choice", "number", "unit", "n_sources"]
+        numbered = one.join(places, "rel_path", "left").groupBy(*keys).agg(F.collect_list(moved).alias("sources"))
+        done = settle.settle(numbered, marks, a.picks, _lines(docs, "path"), lambda *parts: store.log(*parts), store.suppress, a.confirm)
+        print("\n".join([*done.messages, done.line() + ("" if a.confirm else " - nothing was written, add --confirm")]))
     notice = map_store.stale_notice(map_store.stale(docs, store.time()))
     if notice:
         print(notice)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import html
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,18 +37,6 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(name, r"(?s)\A(.+)\.[^.]*\z", "$1")
 
 
-def normalised_text(content: Column) -> Column:
-    """Bytes as text: no byte order mark, bad bytes replaced, every line end a newline."""
-    text = F.make_valid_utf8(content.cast("string"))
-    return F.regexp_replace(F.regexp_replace(text, r"\A\x{FEFF}", ""), r"\r\n?", "\n")
-
-
-@pandas_udf(StringType())
-def unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(html.unescape, na_action="ignore")
-
-
 @pandas_udf(DoubleType())
 def base_value(number: pd.Series, unit: pd.Series) -> pd.Series:
     """A number's value in its base unit, rounded to three decimals as Python rounds."""

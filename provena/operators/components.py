@@ -1,30 +1,44 @@
-"""Connected components of an undirected graph, by label spreading and pointer doubling."""
+"""Connected components of an undirected graph, by hooking trees and halving their paths."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
 
-def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component (its smallest id) of every distinct id. edges: a, b, both among ids.
+def labels(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """id, label (the smallest id of its component) of every id in edges (a, b).
 
-    Each round spreads the smallest label over links and then takes the label's own label,
-    so a chain of n nodes needs about log n rounds; every round is written to the shared
-    folder, which ends lineage and survives lost executors.
+    Each id has a parent of a smaller id, so parents form trees. In a round an id sees the
+    grandparents of its neighbours; the least it sees becomes its own parent, and also the
+    parent of its old parent (so whole trees are hooked, not single ids), and then every
+    parent is replaced by its parent. Path lengths halve, whatever the order of ids: a chain
+    of n takes about log2 n rounds. Every round is written with `keep`, which ends lineage.
+    Aggregations combine on the map side; a join on a large tree's root has one row a key on
+    its other side, and such a skewed join is one that Spark splits.
     """
-    ids = ids.select("id").distinct()
     links = edges.filter("a <> b").select("a", "b")
-    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "adjacency")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    both = keep(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "adjacency")
+    state = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("parent"))
+    above = state.select(F.col("id").alias("parent"), F.col("parent").alias("up"))
+    state = keep(state.join(above, "parent").select("id", "parent", "up"), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        spread = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        spread = written(spread.join(up, "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "old"), "labels")
-        labels = spread.select("id", "label")
-        if spread.filter("label <> old").isEmpty():
-            break
-    return ids.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+        near = both.join(state.select(F.col("id").alias("b"), "up"), "b").groupBy(F.col("a").alias("id")).agg(F.min("up").alias("near"))
+        seen = keep(state.join(near, "id").select("id", "parent", "up", F.least("up", "near").alias("best")), "seen")
+        hook = seen.groupBy(F.col("parent").alias("id")).agg(F.min("best").alias("hook"))
+        hooked = seen.join(hook, "id", "left").select("id", F.least("best", "hook").alias("now"), "parent", "up")
+        above = hooked.select(F.col("id").alias("now"), F.col("now").alias("above"))
+        moved = (F.col("now") != F.col("parent")) | (F.col("above") != F.col("up"))
+        state = keep(hooked.join(above, "now").select("id", F.col("now").alias("parent"), F.col("above").alias("up"), moved.alias("moved")), "labels")
+        if state.filter("moved").isEmpty():
+            return state.select("id", F.col("parent").alias("label"))
+
+
+def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component (its smallest id) of every distinct id. edges: a, b, both among ids."""
+    found = labels(edges)
+    return ids.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("label", "id").alias("component"))

@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import WS, base_unit, base_value, collapse, float_text
-from ..schema import CONTEXT_PREFIX, CONTEXT_WORDS, GENERIC_NAMES, NAME_LENGTH, NAME_WORDS, STOP_TAILS, UNIT_TAIL, UNITS, WATCH_BREAKERS, WATCH_WINDOW, WATCHED_NAMES
+from ..schema import CONTEXT_PREFIX, CONTEXT_WORDS, GENERIC_NAMES, NAME_LENGTH, NAME_WORD, NAME_WORDS, NUMBER, NUMBER_BEFORE, PAIR_NAME, PAIR_NUMBER, STOP_TAILS, UNIT_AFTER, UNIT_TAIL, UNITS, WATCH_BREAKERS, WATCH_WINDOW, WATCHED_NAMES
 
 _UNIT = "|".join(UNITS)
-_NUMBER = r"-?\p{Nd}{1,3}(?:,\p{Nd}{3})*(?:\.\p{Nd}+)?|-?\p{Nd}+(?:\.\p{Nd}+)?"
-VALUE = rf"(?<![\p{{Nd}}.\-–])({_NUMBER}){WS}*({_UNIT})(?![A-Za-z0-9])"
-PAIR = rf"([A-Za-z가-힣][A-Za-z0-9 _\-/()가-힣]{{1,38}}?){WS}*[:=]{WS}*(-?\p{{Nd}}+(?:\.\p{{Nd}}+)?){WS}*({_UNIT})(?![A-Za-z0-9])"
-_WORD = r"[A-Za-z가-힣][A-Za-z0-9_\-가-힣]*"
+VALUE = rf"{NUMBER_BEFORE}({NUMBER}){WS}*({_UNIT}){UNIT_AFTER}"
+PAIR = rf"({PAIR_NAME}){WS}*[:=]{WS}*({PAIR_NUMBER}){WS}*({_UNIT}){UNIT_AFTER}"
 
 
 def name_of(c: Column) -> Column:
@@ -66,7 +65,7 @@ def collapse_py(name: str) -> str:
 
 def context_name(prefix: Column) -> Column:
     """The name that the words before a number give, "" when they read as a phrase."""
-    words = F.regexp_extract_all(prefix, F.lit(_WORD), F.lit(0))
+    words = F.regexp_extract_all(prefix, F.lit(NAME_WORD), F.lit(0))
     last = F.filter(F.slice(words, F.greatest(F.size(words) - CONTEXT_WORDS + 1, F.lit(1)), CONTEXT_WORDS), lambda w: F.length(w) > 1)
     name = F.lower(F.array_join(F.slice(last, F.greatest(F.size(last) - NAME_WORDS + 1, F.lit(1)), NAME_WORDS), " "))
     ok = (F.size(last) > 0) & ~F.lower(F.element_at(last, -1)).isin(*STOP_TAILS) & (F.length(name) >= NAME_LENGTH)
@@ -103,11 +102,19 @@ def context_observations(nodes: DataFrame, strong: DataFrame) -> DataFrame:
     return context(nodes).join(strong.select("name").distinct(), "name", "left_anti")
 
 
-def values(observations: DataFrame) -> DataFrame:
-    """name, number, unit, sources: each value with its distinct sources in node order."""
-    one = observations.groupBy("name", "number", "unit", "file", "line").agg(F.min("at").alias("at"))
+def values(observations: DataFrame, shown: int | None = None) -> DataFrame:
+    """name, number, unit, n_sources, sources: each value with its distinct sources in node
+    order, all of them or the first `shown`: then no row grows with the sources of a value.
+    All are asked for only for the names of one page."""
+    value = ["name", "number", "unit"]
+    one = observations.groupBy(*value, "file", "line").agg(F.min("at").alias("at"))
+    counted = one.groupBy(*value).agg(F.count(F.lit(1)).alias("n_sources"))
+    first = one
+    if shown is not None:
+        order = Window.partitionBy(*value).orderBy("at", "file", "line")
+        first = one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= shown)
     ordered = F.array_sort(F.collect_list(F.struct("at", F.concat("file", F.lit(":"), "line").alias("s"))))
-    return one.groupBy("name", "number", "unit").agg(F.transform(ordered, lambda x: x["s"]).alias("sources"))
+    return counted.join(first.groupBy(*value).agg(F.transform(ordered, lambda x: x["s"]).alias("sources")), value)
 
 
 def split_names(observations: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import stem, title_key
 from ..schema import HTML_SUFFIXES
@@ -42,23 +41,19 @@ class Pieces:
 
 
 def parse(notes: DataFrame) -> Pieces:
-    """Documents, and the pieces of each, tagged with its doc_id, path and order. Markdown is
-    parsed once, to a table of arrays that the three kinds of pieces are read from."""
+    """Documents, and the pieces of each, tagged with its doc_id, path and order. Every document
+    is parsed once, to a table of arrays that the three kinds of pieces are read from."""
     rows = notes.select(F.struct(F.col("src_ord").alias("s"), document_order(F.col("rel_path")).alias("p")).alias("ord"), F.col("rel_path").alias("path"), "text")
     rows = rows.withColumn("name", stem(F.col("path"))).withColumn("key", title_key(F.col("name"))).withColumn("doc_id", document_id(F.col("key")))
     is_html = F.lit(False)
     for ending in HTML_SUFFIXES:
         is_html = is_html | F.col("path").endswith(ending)
     tagged = rows.select("doc_id", "path", "ord", "text")
-    md, web = written(markdown.parsed(tagged.filter(~is_html)), "parsed"), tagged.filter(is_html)
-    both = lambda f, g, cols: markdown.rows_of(md, f).select(*cols).unionByName(g(web).select(*cols))
-    base = ["doc_id", "path", "ord", "idx", "line"]
-    return Pieces(
-        rows.select("doc_id", "path", "ord", "name", "key"),
-        both("sections", html.sections, [*base, "title"]),
-        both("statements", html.statements, [*base, "statement"]),
-        both("links", html.links, [*base, "target", "relation"]),
-    )
+    key = ["doc_id", "path", "ord"]
+    web = html.parsed(tagged.filter(is_html)).select(*key, *html.without_tags())
+    table = written(markdown.parsed(tagged.filter(~is_html)).unionByName(web), "parsed")
+    of = lambda piece, *fields: markdown.rows_of(table, piece).select(*key, "idx", "line", *fields)
+    return Pieces(rows.select(*key, "name", "key"), of("sections", "title"), of("statements", "statement"), of("links", "target", "relation"))
 
 
 def key_dictionary(documents: DataFrame) -> DataFrame:
@@ -91,8 +86,10 @@ def nodes(pieces: Pieces) -> DataFrame:
 
 def suppress_mentions(links: DataFrame) -> DataFrame:
     """Drop mentions between two nodes that another relation links the same way."""
-    named = F.max(F.col("relation") != "mentions").over(Window.partitionBy("source", "target"))
-    return links.withColumn("named", named).filter((F.col("relation") != "mentions") | ~F.col("named")).drop("named")
+    plain = F.col("relation") == "mentions"
+    named = links.filter(~plain)
+    lone = links.filter(plain).join(named.select("source", "target"), ["source", "target"], "left_anti")
+    return named.unionByName(lone.select("source", "target", "relation"))
 
 
 def all_links(pieces: Pieces) -> DataFrame:

@@ -1,74 +1,123 @@
-"""HTML documents to headings, statements and links, as window functions over tokens.
+"""HTML documents to headings, statements and links, each document once and inside its row.
 
-Tokens are cut by one expression that takes scripts and styles as a whole. A start tag
-that is tracked opens a group, which drops what the tag before it had collected; a group
-emits its text when the tag that opened it is closed. The text's line is the start tag's.
+Markup is cut out by one expression that takes scripts, styles and comments whole; what
+lies between is text. A tracked start tag opens a block that ends before the next one; it
+has a text if its own end tag comes in between: all text up to there. Line numbers are
+looked up from the places of the newlines, so that no row waits for another and repeated
+rows stay apart. Null documents have nothing; a script or style that never closes takes
+the rest; a tag whose quotes never close ends at its first `>`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import html
+import re
+from bisect import bisect_left
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import collapse, strip, unescape
 from ..schema import DROP_TAGS, HEADING_TAGS, TEXT_TAGS
+from .markdown import rows_of
 
-TOKEN = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[!?][^>]*>|</?[a-z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|[^<]+|<"
-_TAG = r"(?s)^</?([A-Za-z][^\s/>]*)"
-_HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+# possessive repeats: no way back is kept, so that a tag may be of any length
+_DROPPED = "|".join(DROP_TAGS)
+MARKUP = re.compile(
+    rf"<({_DROPPED})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<!--.*?-->|<[!?][^>]*+>"
+    r"""|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?:(?:[^'">]++|"[^"]*+"|'[^']*+')*+(?P<self>(?<=/))?>|[^>]*+>)""",
+    re.IGNORECASE | re.DOTALL,
+)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++)|"[^"]*+"|'[^']*+'""")
+SHAPE = "struct<sections:array<struct<line:int,title:string,body:string>>,statements:array<struct<line:int,tag:string,statement:string,section:string>>,links:array<struct<line:int,target:string,relation:string>>>"
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """key columns, pos, tok, line, tag (null for text), side: start, end, self, text or other."""
-    keys = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*keys, F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    breaks = F.length("tok") - F.length(F.replace(F.col("tok"), F.lit("\n"), F.lit("")))
-    rows = rows.withColumn("line", (F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1).cast("int"))
-    tag = F.when(F.col("tok").rlike(_TAG), F.lower(F.regexp_extract("tok", _TAG, 1)))
-    rows = rows.withColumn("tag", tag)
-    dropped = F.col("tag").isin(*DROP_TAGS)
-    side = F.when(F.col("tag").isNull(), F.when(F.col("tok").rlike(r"(?s)^<[!?]"), "other").otherwise("text")).when(dropped, "other").when(F.col("tok").startswith("</"), "end").when(F.col("tok").rlike(r"(?s)/>$"), "self").otherwise("start")
-    return rows.withColumn("side", side)
-
-
-def blocks(docs: DataFrame) -> DataFrame:
-    """key columns, pos, line, tag, text of every non-empty heading and statement."""
+def blocks(text: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]]]:
+    """Place, tag and text of the blocks that have one, and place and address of the anchors."""
+    marks = list(MARKUP.finditer(text))
+    names = [(m["tag"] or "").lower() for m in marks]
+    opens = [i for i, (m, n) in enumerate(zip(marks, names, strict=True)) if not m["end"] and (n in HEADING_TAGS or n in TEXT_TAGS)]
+    found = []
+    for i, limit in zip(opens, [*opens[1:], len(marks)], strict=False):
+        if marks[i]["self"] is not None:
+            continue
+        last = next((k for k in range(i + 1, limit) if marks[k]["end"] and names[k] == names[i]), None)
+        if last is not None:
+            raw = "".join(text[marks[k].end() : marks[k + 1].start()] for k in range(i, last))
+            if content := " ".join(html.unescape(raw).split()):
+                found.append((marks[i].start(), names[i], content))
+    anchors = []
+    for m, name in zip(marks, names, strict=True):
+        if name == "a" and not m["end"]:
+            for key, value in ATTRIBUTE.findall(m[0], 2):
+                address = html.unescape(value[1:-1] if value[:1] in ("'", '"') else value)
+                if key.lower() == "href" and address:
+                    anchors.append((m.start(), address.strip()))
+    return found, anchors
+
+
+def pieces(text: str) -> dict[str, list[tuple]]:
+    """The rows of SHAPE for one document."""
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    found, anchors = blocks(text)
+    heads = [k for k, (_, tag, _) in enumerate(found) if tag in HEADING_TAGS]
+    line = lambda at: bisect_left(breaks, at) + 1
+    sections, statements = [], []
+    for a, b in zip([-1, *heads], [*heads, len(found)], strict=True):
+        title = found[a][2] if a >= 0 else ""
+        own = [(line(at), tag, content, title) for at, tag, content in found[a + 1 : b]]
+        statements += own
+        if a >= 0:
+            sections.append((line(found[a][0]), title, "".join(f"{s[2]}\n" for s in own)))
+    return {"sections": sections, "statements": statements, "links": [(line(at), address, None) for at, address in anchors]}
+
+
+_FIELDS = {"sections": (("line", pa.int32()), ("title", pa.string()), ("body", pa.string())), "statements": (("line", pa.int32()), ("tag", pa.string()), ("statement", pa.string()), ("section", pa.string())), "links": (("line", pa.int32()), ("target", pa.string()), ("relation", pa.string()))}
+
+
+def _pieces(texts: pa.Array) -> pa.Array:
+    rows = [pieces(t or "") for t in texts.to_pylist()]
+    arrays = []
+    for kind, fields in _FIELDS.items():
+        offsets, flat = [0], []
+        for r in rows:
+            flat += r[kind]
+            offsets.append(len(flat))
+        columns = list(zip(*flat, strict=True)) or [()] * len(fields)
+        struct = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+        arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct))
+    return pa.StructArray.from_arrays(arrays, names=list(_FIELDS))
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """key columns with the arrays sections, statements and links."""
     keys = [c for c in docs.columns if c != "text"]
-    rows = tokens(docs)
-    tracked = F.col("tag").isin(*HEADING_TAGS, *TEXT_TAGS)
-    opens = tracked & F.col("side").isin("start", "self")
-    running = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("g", F.sum(opens.cast("int")).over(running)).filter("g > 0")
-    group = Window.partitionBy(*keys, "g").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("own", F.first("tag").over(group)).withColumn("closed", F.max(((F.col("side") == "end") & (F.col("tag") == F.col("own")) | ((F.col("side") == "self") & tracked)).cast("int")).over(group))
-    parts = F.array_sort(F.collect_list(F.when((F.col("side") == "text") & (F.col("closed") == 0), F.struct("pos", "tok"))))
-    out = rows.groupBy(*keys, "g").agg(F.min("pos").alias("pos"), F.min("line").alias("line"), F.first("own").alias("tag"), F.max("closed").alias("done"), F.array_join(F.transform(parts, lambda p: p["tok"]), "").alias("raw"))
-    return out.filter("done = 1").withColumn("text", collapse(unescape("raw"))).filter("text <> ''").select(*keys, "pos", "line", "tag", "text")
+    parse = F.arrow_udf(_pieces, SHAPE)
+    return docs.select(*keys, parse(F.col("text")).alias("p")).select(*keys, "p.*")
+
+
+def without_tags() -> list[Column]:
+    """The arrays in the shape that markdown has them in."""
+    part = lambda name, *fields: F.transform(name, lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias(name)
+    return [part("sections", "line", "title"), part("statements", "line", "statement"), F.col("links")]
 
 
 def statements(docs: DataFrame) -> DataFrame:
     """key columns, idx (from 0), line, tag, statement, section."""
-    keys = [c for c in docs.columns if c != "text"]
-    head = F.col("tag").isin(*HEADING_TAGS)
-    running = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = blocks(docs).withColumn("section", F.coalesce(F.last(F.when(head, F.col("text")), ignorenulls=True).over(running), F.lit("")))
-    rows = rows.withColumn("idx", F.sum((~head).cast("int")).over(running).cast("int") - 1)
-    return rows.filter(~head).select(*keys, "idx", "line", "tag", F.col("text").alias("statement"), "section")
+    return rows_of(parsed(docs), "statements")
 
 
 def sections(docs: DataFrame) -> DataFrame:
     """key columns, idx (from 0), line, title of every non-empty heading."""
-    keys = [c for c in docs.columns if c != "text"]
-    rows = blocks(docs).filter(F.col("tag").isin(*HEADING_TAGS))
-    return rows.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1).alias("idx"), "line", F.col("text").alias("title"))
+    return rows_of(parsed(docs), "sections").drop("body")
+
+
+def bodies(docs: DataFrame) -> DataFrame:
+    """key columns, line, title, body: each heading with the statements up to the next one,
+    each closed by a newline."""
+    return rows_of(parsed(docs), "sections").drop("idx")
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """key columns, idx (from 0), line, target, relation (null): every anchor with an address."""
-    keys = [c for c in docs.columns if c != "text"]
-    href = F.concat_ws("", *[F.regexp_extract("tok", _HREF, i) for i in (1, 2, 3)])
-    rows = tokens(docs).filter((F.col("tag") == "a") & F.col("side").isin("start", "self")).withColumn("href", unescape(href)).filter("href <> ''")
-    order = Window.partitionBy(*keys).orderBy("pos")
-    return rows.select(*keys, (F.row_number().over(order) - 1).alias("idx"), "line", strip(F.col("href")).alias("target"), F.lit(None).cast("string").alias("relation"))
+    """key columns, idx (from 0), line, target, relation (null): every address of an anchor."""
+    return rows_of(parsed(docs), "links")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..schema import DOCUMENT_MOST, KINDS_LEAST, LOCATED_LEAST, NODES_PER_COMPONENT, SAMPLES
+from ..sources.shared import written
 from . import components
 
 
@@ -23,7 +24,10 @@ def component_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def isolated(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Ids without a neighbour; a link to itself makes a node its own neighbour."""
-    edges = adjacency(nodes, links)
+    return _untouched(nodes, adjacency(nodes, links))
+
+
+def _untouched(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     touched = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     return nodes.select("id").distinct().join(touched, "id", "left_anti")
 
@@ -33,8 +37,9 @@ def metrics(nodes: DataFrame, links: DataFrame) -> DataFrame:
     share = lambda cond: F.coalesce(F.avg(cond.cast("int")), F.lit(0.0))
     n = nodes.agg(F.count(F.lit(1)).alias("nodes"), share(F.col("source_location").isNotNull()).alias("located_ratio"), share(F.col("kind") == "document").alias("document_ratio"))
     e = links.agg(F.count(F.lit(1)).alias("links"), F.countDistinct("relation").alias("relation_kinds"))
-    c = component_labels(nodes, links).agg(F.countDistinct("component").alias("components"))
-    i = isolated(nodes, links).agg(F.count(F.lit(1)).alias("isolated"))
+    edges = written(adjacency(nodes, links), "neighbours")
+    c = components.components(nodes, edges).agg(F.countDistinct("component").alias("components"))
+    i = _untouched(nodes, edges).agg(F.count(F.lit(1)).alias("isolated"))
     return n.crossJoin(e).crossJoin(c).crossJoin(i)
 
 
@@ -64,4 +69,5 @@ def verify(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 def line(row: dict, passed: int, checked: int) -> str:
     """A metrics row as one line."""
-    return f"nodes {row['nodes']:,} · links {row['links']:,} · located {row['located_ratio'] * 100:.1f}% · relation kinds {row['relation_kinds']} · components {row['components']} · samples {passed}/{checked}"
+    placed = f"{row['located_ratio']:.1%} with a place"
+    return f"{row['nodes']:,} nodes, {row['links']:,} links of {row['relation_kinds']} kinds, {placed}, {row['components']} components, {passed} of {checked} samples found on their lines"

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import strip
 from ..schema import ANSWER_BUDGET, NAMED_DOCUMENTS
+from ..sources.shared import written
 from .chain import edge_order, expand, find_node
 from .graph import last_by_id
 
@@ -61,11 +62,15 @@ def answer(nodes: DataFrame, links: DataFrame, question: str, budget: int = ANSW
     """place, id, label, kind, source_file, source_location, level, truncated: nodes in reading
     order while their labels fit the budget; truncated tells whether some were cut.
 
-    The walk is bounded by the seeds' surroundings; only that far does one window order it.
+    A label has one character or more, or counts as one here, so the first budget + 1 nodes in
+    reading order are enough to fill the budget and to see whether it was: only those, a
+    distributed top-k, meet in one window.
     """
     found = neighbourhood(seeds(nodes, question), links).join(last_by_id(nodes), "id")
+    first = found.orderBy("level", "rank", "id").limit(budget + 1)
     order = Window.orderBy("level", "rank", "id")
-    rows = found.withColumn("place", F.row_number().over(order)).withColumn("used", F.sum(F.length("label")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    size = F.greatest(F.length("label"), F.lit(1))
+    rows = written(first.withColumn("place", F.row_number().over(order)).withColumn("used", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))), "answer")
     cut = rows.agg(F.coalesce(F.max("used") > budget, F.lit(False)).alias("truncated"))
     return rows.filter(F.col("used") <= budget).crossJoin(cut).select("place", "id", "label", "kind", "source_file", "source_location", "level", "truncated")
 

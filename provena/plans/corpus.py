@@ -50,13 +50,34 @@ INDEX = f"""select cast(1 as int) as src_ord, {_cat("'index/'", "n_name", "'.md'
     "'- covers [[ADR '", _s("n_nationkey + 1"), "']]'", _N,
     "'- 3 [[absent '", "n_name", "']]'", _N)} as text from nation"""
 
-NOTES_SQL = f"{DECISIONS} union all {FACTS} union all {INDEX}"
+#: Web notes as they are, prose without any mark-up, and notes with nothing but their name or a link to themselves.
+WEB = f"""select cast(2 as int) as src_ord, {_cat("'web/'", _s("page_id"), "'.html'")} as rel_path, html as text from pages"""
+
+PROSE = f"""select cast(2 as int) as src_ord, {_cat("'prose/text '", _s("doc_id"), "'.md'")} as rel_path, text from documents"""
+
+ALONE = f"""select cast(3 as int) as src_ord, {_cat("'alone/void '", _s("r_regionkey"), "case when r_regionkey % 2 = 0 then '.md' else '.html' end")} as rel_path,
+  case when r_regionkey % 2 = 0 then '' else {_cat("'<a href=\"void '", _s("r_regionkey"), "'\">me</a>'")} end as text from region"""
+
+NOTES_SQL = " union all ".join((DECISIONS, FACTS, INDEX, WEB, PROSE, ALONE))
+
+
+TABLES = ("orders", "part", "nation", "pages", "documents", "region")
+
+
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of change of the files behind the notes."""
+    jvm, out = spark.sparkContext._jvm, []
+    for t in TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        out += sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found)
+    return tuple(out)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src_ord, rel_path, text: a note for every order, part and nation."""
+    """src_ord, rel_path, text: a note for every order, part, nation, page, document and region."""
     sql = NOTES_SQL
-    for t in ("orders", "part", "nation"):
+    for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(view := f"provena_{t}")
         sql = sql.replace(f"from {t}", f"from {view}")
     return spark.sql(sql)

@@ -6,7 +6,6 @@ windows, walks as one common table expression per level.
 
 from __future__ import annotations
 
-from ..operators.html import TOKEN
 from ..schema import CAUSE_RELATIONS, GENERIC_NAMES, HEADING_TAGS, KOREAN_RELATIONS, NEARBY_RELATIONS, STOP_TAILS, TEXT_TAGS, UNITS, WATCH_BREAKERS, WATCHED_NAMES
 from .corpus import NOTES_SQL
 from .queries import BUDGET, PATH, QUESTION
@@ -29,57 +28,74 @@ _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _KOREAN = "case {0} " + " ".join(f"when {_q(k)} then {_q(v)}" for k, v in KOREAN_RELATIONS.items()) + " else {0} end"
 
 
-def _lines(source: str, key: str) -> str:
-    """CTEs all_lines and lines (without front matter) of source(key, text)."""
+def _lines(source: str, key: str, only: str = "true") -> str:
+    """CTEs all_lines and lines (without front matter) of source(key, text), and stmts of the rows with `only`."""
     return f"""
 all_lines as (select {key}, unnest(generate_series(1, len(a))) as line, unnest(a) as raw from (select {key}, string_split(text, chr(10)) as a from {source})),
 fences as (select {key}, min(line) filter (line = 1 and {_STRIP.format('raw')} = '---') as op, min(line) filter (line > 1 and {_STRIP.format('raw')} = '---') as cl from all_lines group by {key}),
 lines as (select a.{key}, a.line, a.raw, regexp_matches(a.raw, {_HEAD}) as head from all_lines a join fences f using ({key}) where f.op is null or a.line > f.cl),
-body as (select {key}, line, raw, case when regexp_matches(raw, {_ITEM}) then regexp_extract(raw, {_ITEM}, 1) else {_STRIP.format('raw')} end as statement from lines where not head),
+body as (select {key}, line, raw, case when regexp_matches(raw, {_ITEM}) then regexp_extract(raw, {_ITEM}, 1) else {_STRIP.format('raw')} end as statement from lines where not head and {only}),
 stmts as (select {key}, cast(row_number() over (partition by {key} order by line) - 1 as int) as idx, cast(line as int) as line, statement from body where statement <> '')"""
 
 
-_NOTES = f"notes as ({NOTES_SQL}), src as (select rel_path as path, text from notes), " + _lines("src", "path")
+_MARKDOWN = "path like '%.md'"
+_NOTES = f"notes as materialized ({NOTES_SQL}), src as (select rel_path as path, text from notes), " + _lines("src", "path", _MARKDOWN)
 _MD = f"with {_NOTES}"
 
-_SECTIONS = f"sects as (select path, cast(row_number() over (partition by path order by line) - 1 as int) as idx, cast(line as int) as line, regexp_extract(raw, {_TITLE}, 1) as title from lines where head)"
+_SECTIONS = f"sects as (select path, cast(row_number() over (partition by path order by line) - 1 as int) as idx, cast(line as int) as line, regexp_extract(raw, {_TITLE}, 1) as title from lines where head and {_MARKDOWN})"
 _LINKS = f"""
-rels as (select path, line, 0 as n, {_STRIP.format(f'regexp_extract(raw, {_REL}, 2)')} as target, {_KOREAN.format(f'regexp_extract(raw, {_REL}, 1)')} as relation from lines where not head and regexp_matches(raw, {_REL})),
-ments as (select path, line, unnest(generate_series(1, len(a))) as n, {_STRIP.format('unnest(a)')} as target, cast(null as varchar) as relation from (select path, line, regexp_extract_all(raw, {_LINK}, 1) as a from lines where not head and not regexp_matches(raw, {_REL}))),
+rels as (select path, line, 0 as n, {_STRIP.format(f'regexp_extract(raw, {_REL}, 2)')} as target, {_KOREAN.format(f'regexp_extract(raw, {_REL}, 1)')} as relation from lines where not head and {_MARKDOWN} and regexp_matches(raw, {_REL})),
+ments as (select path, line, unnest(generate_series(1, len(a))) as n, {_STRIP.format('unnest(a)')} as target, cast(null as varchar) as relation from (select path, line, regexp_extract_all(raw, {_LINK}, 1) as a from lines where not head and {_MARKDOWN} and not regexp_matches(raw, {_REL}))),
 lks as (select path, cast(row_number() over (partition by path order by line, n) - 1 as int) as idx, cast(line as int) as line, target, relation from (select * from rels union all select * from ments))"""
+# HTML: runs of tokens between tracked start tags
+_TOKEN = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[!?][^>]*>|</?[a-z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|[^<]+|<"
+_HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+_TRACKED = _in(HEADING_TAGS + TEXT_TAGS)
+_UNESCAPE = "replace(replace(replace(replace({0}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+_href = "concat(" + ", ".join(f"coalesce(regexp_extract(tok, {_q(_HREF)}, {i}), '')" for i in (1, 2, 3)) + ")"
+
+
+def _html(source: str, key: str) -> str:
+    """CTEs marked (blocks) and hrefs (anchors) of source(key, html)."""
+    return f"""toks as (select {key}, unnest(generate_series(1, len(a))) as pos, unnest(a) as tok from (select {key}, regexp_extract_all(html, {_q(_TOKEN)}) as a from {source})),
+tags as (select {key}, pos, tok, lower(nullif(regexp_extract(tok, '^</?([A-Za-z][^\\s/>]*)', 1), '')) as tag, 1 + coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) over (partition by {key} order by pos rows between unbounded preceding and 1 preceding), 0) as line from toks),
+sided as (select *, case when tag is null then case when regexp_matches(tok, '^<[!?]') then 'other' else 'text' end when tag in ('script', 'style') then 'other' when starts_with(tok, '</') then 'end' when ends_with(tok, '/>') then 'self' else 'start' end as side from tags),
+grouped as (select *, sum(case when tag in {_TRACKED} and side in ('start', 'self') then 1 else 0 end) over (partition by {key} order by pos) as g from sided),
+owned as (select *, first_value(tag) over (partition by {key}, g order by pos) as own from grouped where g > 0),
+ended as (select {key}, g, min(pos) as fe from owned where (side = 'end' and tag = own) or (side = 'self' and tag in {_TRACKED}) group by {key}, g),
+blocks0 as (select o.{key}, o.g, min(pos) as pos, min(line) as line, min(own) as tag, string_agg(tok, '' order by pos) filter (side = 'text' and pos < fe) as raw from owned o join ended using ({key}, g) group by o.{key}, o.g),
+blocks as (select {key}, pos, cast(line as int) as line, tag, trim(regexp_replace({_UNESCAPE.format('raw')}, '\\s+', ' ', 'g')) as text from blocks0 where raw is not null),
+marked as (select *, tag in {_in(HEADING_TAGS)} as head from blocks where text <> ''),
+hrefs as (select {key}, pos, cast(line as int) as line, trim({_UNESCAPE.format(_href)}) as target from sided where tag = 'a' and side in ('start', 'self') and {_href} <> '')"""
+
 _KEY = r"trim(regexp_replace(translate(lower(trim({0})), '/:\', '---'), '\s+', ' ', 'g'))"
 _GRAPH = f"""{_MD}, {_SECTIONS}, {_LINKS},
+web as (select rel_path as path, text as html from notes where rel_path like '%.html'), {_html('web', 'path')},
+web_stmts as (select path, cast(row_number() over (partition by path order by pos) - 1 as int) as idx, line, text as statement from marked where not head),
+web_sects as (select path, cast(row_number() over (partition by path order by pos) - 1 as int) as idx, line, text as title from marked where head),
+web_lks as (select path, cast(row_number() over (partition by path order by pos) - 1 as int) as idx, line, target, cast(null as varchar) as relation from hrefs),
+all_stmts as (select path, idx, line, statement from stmts union all select * from web_stmts),
+all_sects as (select path, idx, line, title from sects union all select * from web_sects),
+all_lks as (select path, idx, line, target, relation from lks union all select * from web_lks),
 docs as (select src_ord, rel_path as path, regexp_replace(regexp_extract(rel_path, '([^/]+)$', 1), '\\.[^.]*$', '') as name from notes),
 docs2 as (select *, {_KEY.format('name')} as key, concat('doc_', replace({_KEY.format('name')}, ' ', '_')) as doc_id from docs),
 keys as (select key, arg_max(doc_id, (src_ord, path)) as to_doc from docs2 group by key),
-res as (select l.path, l.idx, l.line, l.target, {_KEY.format('l.target')} as key, l.relation from lks l),
-resolved as (select r.path, d.doc_id, d.src_ord, r.idx, r.line, r.target, r.key, r.relation, coalesce(k.to_doc, concat('name_', replace(r.key, ' ', '_'))) as to_id, k.to_doc is not null as found from res r join docs2 d using (path) left join keys k on k.key = r.key),
-nodes as (
+res as (select l.path, l.idx, l.line, l.target, {_KEY.format('l.target')} as key, l.relation from all_lks l),
+resolved as materialized (select r.path, d.doc_id, d.src_ord, r.idx, r.line, r.target, r.key, r.relation, coalesce(k.to_doc, concat('name_', replace(r.key, ' ', '_'))) as to_id, k.to_doc is not null as found from res r join docs2 d using (path) left join keys k on k.key = r.key),
+nodes as materialized (
   select doc_id as id, name as label, 'document' as kind, path as source_file, cast(1 as int) as source_location, 0 as phase, src_ord, path as p, 0 as sub, 0 as i from docs2
-  union all select concat(doc_id, '_s', idx), title, 'section', path, line, 1, src_ord, path, 0, idx from sects join docs2 using (path)
-  union all select concat(doc_id, '_t', idx), statement, 'statement', path, line, 1, src_ord, path, 1, idx from stmts join docs2 using (path)
+  union all select concat(doc_id, '_s', idx), title, 'section', path, line, 1, src_ord, path, 0, idx from all_sects join docs2 using (path)
+  union all select concat(doc_id, '_t', idx), statement, 'statement', path, line, 1, src_ord, path, 1, idx from all_stmts join docs2 using (path)
   union all select concat('name_', replace(key, ' ', '_')), arg_min(target, (src_ord, path, idx)), 'name_only', '', null, 1, min(src_ord), arg_min(path, (src_ord, path, idx)), 2, arg_min(idx, (src_ord, path, idx)) from resolved where not found group by key),
-edges0 as (
-  select concat(doc_id, '_s', idx) as source, doc_id as target, 'part_of' as relation from sects join docs2 using (path)
-  union all select concat(doc_id, '_t', idx), doc_id, 'part_of' from stmts join docs2 using (path)
+edges0 as materialized (
+  select concat(doc_id, '_s', idx) as source, doc_id as target, 'part_of' as relation from all_sects join docs2 using (path)
+  union all select concat(doc_id, '_t', idx), doc_id, 'part_of' from all_stmts join docs2 using (path)
   union all select doc_id, to_id, coalesce(relation, 'mentions') from resolved),
-links as (select * from edges0 e where relation <> 'mentions' or not exists (select 1 from edges0 o where o.relation <> 'mentions' and o.source = e.source and o.target = e.target))"""
+pairs as materialized (select distinct source, target from edges0 where relation <> 'mentions'),
+links as materialized (select * from edges0 where relation <> 'mentions' union all select e.* from (select * from edges0 where relation = 'mentions') e anti join pairs using (source, target))"""
 
 _NODE = "phase, src_ord, p, sub, i"
 
-# HTML: runs of tokens between tracked start tags
-_TRACKED = _in(HEADING_TAGS + TEXT_TAGS)
-_UNESCAPE = "replace(replace(replace(replace({0}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
-_HTML = f"""with toks as (select page_id, unnest(generate_series(1, len(a))) as pos, unnest(a) as tok from (select page_id, regexp_extract_all(html, {_q(TOKEN)}) as a from pages)),
-tags as (select page_id, pos, tok, lower(nullif(regexp_extract(tok, '^</?([A-Za-z][^\\s/>]*)', 1), '')) as tag, 1 + coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) over (partition by page_id order by pos rows between unbounded preceding and 1 preceding), 0) as line from toks),
-sided as (select *, case when tag is null then case when regexp_matches(tok, '^<[!?]') then 'other' else 'text' end when tag in ('script', 'style') then 'other' when starts_with(tok, '</') then 'end' when ends_with(tok, '/>') then 'self' else 'start' end as side from tags),
-grouped as (select *, sum(case when tag in {_TRACKED} and side in ('start', 'self') then 1 else 0 end) over (partition by page_id order by pos) as g from sided),
-owned as (select *, first_value(tag) over (partition by page_id, g order by pos) as own from grouped where g > 0),
-ended as (select page_id, g, min(pos) as fe from owned where (side = 'end' and tag = own) or (side = 'self' and tag in {_TRACKED}) group by page_id, g),
-blocks0 as (select o.page_id, o.g, min(pos) as pos, min(line) as line, min(own) as tag, string_agg(tok, '' order by pos) filter (side = 'text' and pos < fe) as raw from owned o join ended using (page_id, g) group by o.page_id, o.g),
-blocks as (select page_id, pos, cast(line as int) as line, tag, trim(regexp_replace({_UNESCAPE.format('raw')}, '\\s+', ' ', 'g')) as text from blocks0 where raw is not null),
-marked as (select *, tag in {_in(HEADING_TAGS)} as head from blocks where text <> '')"""
-
 _NUM = r"(-?\d{1,3}(?:,\d{3})*(?:\.\d+)?|-?\d+(?:\.\d+)?)"
 _UNIT = "(" + "|".join(UNITS) + ")"
 _AFTER = "(?:[^A-Za-z0-9]|$)"
@@ -173,6 +189,17 @@ parts as (select id, id as owner from nodes where kind in ('document', 'name_onl
 comp as (select p.id, w.component from parts p join whole w on w.id = p.owner)"""
 
 
+_CHOSEN = f"""{_STRONG}, c as (select *, 1 as pass from ({_conflicts('strong', False)}) union all select *, 2 from ({_conflicts('weak', False)})),
+pg as (select cast(row_number() over (order by pass, name) as int) as index, name from c qualify row_number() over (order by pass, name) <= 10),
+obs as (select * from strong union all select * from weak),
+v as (select name, number, unit, count(distinct concat(file, ':', line)) as n_sources from obs group by name, number, unit),
+chosen as (select index, name, cast(row_number() over (partition by index order by number, unit) as int) as choice, number, unit, n_sources from pg join v using (name))"""
+_G = "case when {0} = floor({0}) then cast(cast({0} as bigint) as varchar) else cast({0} as varchar) end"
+_SPELLED = f"""array_to_string(list_concat([concat({_G.format('number')}, ' ', unit), concat({_G.format('number')}, unit)],
+  case when unit = 'm' and abs(number * 1000 - round(number * 1000)) < 1e-6 then [concat(cast(cast(round(number * 1000) as bigint) as varchar), ' mm'), concat(cast(cast(round(number * 1000) as bigint) as varchar), 'mm')] else [] end,
+  case when unit = 'm' and abs(number * 100 - round(number * 100)) < 1e-6 then [concat(cast(cast(round(number * 100) as bigint) as varchar), ' cm'), concat(cast(cast(round(number * 100) as bigint) as varchar), 'cm')] else [] end), '|')"""
+
+
 def sql() -> dict[str, str]:
     docs = f"with src as (select doc_id, text from documents), {_lines('src', 'doc_id')}"
     node = "id, label, kind, source_file, source_location"
@@ -180,7 +207,7 @@ def sql() -> dict[str, str]:
     walks = {n: f"{_GRAPH}, {_walk(n, n)} {_levels(n)}" for n in ("came_from", "led_to", "nearby")}
     decorated = f"{_GRAPH}, " + ", ".join(_walk(n, n) for n in walks) + ", allw as (" + " union all ".join(_levels(n, f", '{n}' as direction") for n in walks) + f"), last_node as (select id, arg_max(label, ({_NODE})) as l, arg_max(source_file, ({_NODE})) as f, max(source_location) as s from nodes group by id) select start, allw.id, relation, level, direction, coalesce(nullif(l, ''), allw.id) as label, concat(coalesce(nullif(f, ''), '?'), ':', coalesce(cast(s as varchar), '?')) as location from allw left join last_node using (id)"
     metrics = f"{_COMP}, touched as (select a as id from adj union select b from adj) select (select count(*) from nodes) as nodes, (select avg(case when source_location is not null then 1.0 else 0.0 end) from nodes) as located_ratio, (select avg(case when kind = 'document' then 1.0 else 0.0 end) from nodes) as document_ratio, (select count(*) from links) as links, (select count(distinct relation) from links) as relation_kinds, (select count(distinct component) from comp) as components, (select count(distinct id) from nodes where id not in (select id from touched)) as isolated"
-    values = "select name, number, unit, cast(count(distinct concat(file, ':', line)) as int) as n_sources"
+    values = "select name, number, unit, count(distinct concat(file, ':', line)) as n_sources"
     mtime = "epoch_us(ts) / 1e6"
     return {
         "md_statements": f"{docs} select * from stmts",
@@ -190,9 +217,10 @@ def sql() -> dict[str, str]:
         "md_front_matter": f"{_MD} select a.path, cast(count(*) as int) as n_lines, cast(coalesce(max(k.n), 0) as int) as n_kept from all_lines a left join (select path, count(*) as n from lines group by path) k using (path) group by a.path",
         "md_relations": f"{_MD}, {_LINKS} select path, line, target, relation from lks where relation is not null",
         "md_mentions": f"{_MD}, {_LINKS} select path, idx, line, target from lks where relation is null",
-        "html_statements": f"{_HTML} select page_id, cast(sum(case when head then 0 else 1 end) over (partition by page_id order by pos) - 1 as int) as idx, line, tag, text as statement, coalesce(last_value(case when head then text end ignore nulls) over (partition by page_id order by pos), '') as section from marked qualify not head",
-        "html_headings": f"{_HTML} select page_id, cast(row_number() over (partition by page_id order by pos) - 1 as int) as idx, line, text as title from marked where head",
-        "html_links": f"{_HTML}, hrefs as (select page_id, pos, cast(line as int) as line, {_UNESCAPE.format(_q('')).replace(_q(''), 'concat(' + ', '.join(f'coalesce(regexp_extract(tok, {_q(HREF)}, {i}), {_q(str())})' for i in (1, 2, 3)) + ')')} as href from sided where tag = 'a' and side in ('start', 'self')) select page_id, cast(row_number() over (partition by page_id order by pos) - 1 as int) as idx, line, trim(href) as target from hrefs where href <> ''",
+        "html_statements": f"with {_html('pages', 'page_id')} select page_id, cast(sum(case when head then 0 else 1 end) over (partition by page_id order by pos) - 1 as int) as idx, line, tag, text as statement, coalesce(last_value(case when head then text end ignore nulls) over (partition by page_id order by pos), '') as section from marked qualify not head",
+        "html_headings": f"with {_html('pages', 'page_id')} select page_id, cast(row_number() over (partition by page_id order by pos) - 1 as int) as idx, line, text as title from marked where head",
+        "html_links": f"with {_html('pages', 'page_id')} select page_id, cast(row_number() over (partition by page_id order by pos) - 1 as int) as idx, line, target from hrefs",
+        "html_section_bodies": f"with {_html('pages', 'page_id')}, nums as (select *, sum(case when head then 1 else 0 end) over (partition by page_id order by pos) as h from marked) select page_id, max(case when head then line end) as line, max(case when head then text end) as title, coalesce(string_agg(concat(text, chr(10)), '' order by pos) filter (not head), '') as body from nums where h > 0 group by page_id, h",
         "title_key_resolution": f"{_GRAPH} select path, idx, line, target, key, to_id, found from resolved",
         "map_nodes": f"{_GRAPH} select {node} from nodes",
         "map_links": f"{_GRAPH} select source, target, relation from links",
@@ -217,8 +245,15 @@ def sql() -> dict[str, str]:
         "suppressed_conflicts": f"{_STRONG} {_conflicts('strong', True)}",
         "conflict_counts": f"{_STRONG} select (select count(distinct name) from strong) as names, (select count(*) from {_split('strong')} where n_values > 1) as split, (select count(distinct name) from weak) as context_names, (select count(*) from ({_conflicts('strong', True)} union all {_conflicts('weak', True)}) where suppressed) as suppressed",
         "conflict_values": f"{_STRONG} {values}, arg_min(concat(file, ':', line), (id, {_NODE})) as first_source from strong group by name, number, unit",
-        "value_spellings": f"{_STRONG} select distinct number, unit, case when number = floor(number) then cast(cast(number as bigint) as varchar) else cast(number as varchar) end as shown from strong",
-        "settle_choices": f"{_STRONG}, c as (select *, 1 as pass from ({_conflicts('strong', False)}) union all select *, 2 from ({_conflicts('weak', False)})), pg as (select cast(row_number() over (order by pass, name) as int) as index, name from c qualify row_number() over (order by pass, name) <= 10), v as ({values} from (select * from strong union all select * from weak) group by name, number, unit) select index, name, cast(row_number() over (partition by index order by number, unit) as int) as choice, number, unit, n_sources from pg join v using (name)",
+        "value_spellings": f"{_STRONG} select distinct number, unit, case when number = floor(number) then cast(cast(number as bigint) as varchar) else cast(number as varchar) end as shown, {_SPELLED} as spellings from strong",
+        "settle_choices": f"{_CHOSEN} select index, name, choice, number, unit, n_sources from chosen",
+        "settle_plan": f"""{_CHOSEN},
+spelled as (select *, {_SPELLED} as forms from chosen),
+kept as (select index, split_part(forms, '|', 1) as new_text from spelled where choice = 1),
+gone as (select s.index, s.name, s.number, s.unit, k.new_text, o.file, o.line as recorded, concat('(^|[^0-9.,])(', replace(s.forms, '.', '[.]'), ')([^A-Za-z0-9]|$)') as rx from spelled s join kept k using (index) join (select distinct name, number, unit, file, line from obs) o on o.name = s.name and o.number = s.number and o.unit = s.unit where s.choice > 1),
+hits as (select g.*, l.line, l.raw, case when cast(l.line as varchar) = g.recorded then 0 when len([w for w in string_split(g.name, ' ') if length(w) > 1]) > 0 and len([w for w in string_split(g.name, ' ') if length(w) > 1 and not contains(lower(l.raw), lower(w))]) = 0 then 1 else 2 end as worth from gone g join all_lines l on l.path = g.file where regexp_matches(l.raw, g.rx)),
+best as (select * from hits qualify worth = min(worth) over (partition by index, file, recorded, number, unit))
+select index, name, file, cast(line as int) as line, number, unit, new_text, min(worth) = 0 as at_source from best group by index, name, file, line, number, unit, new_text""",
         "answer_seeds": f"{_SEEDS} select id, label, score, label_tokens, seed_rank from seeds",
         "answer_budget": f"{_ANSWER} select * from answer",
         "answer_condensed": f"{_ANSWER} select place, label, source_file, source_location, truncated from answer where source_location is not null and source_file <> '' and source_location <> 1",
@@ -229,6 +264,3 @@ def sql() -> dict[str, str]:
         "stale_documents": f"select cast(event_id as varchar) as name from events where {mtime} > (select floor(avg({mtime})) from events)",
     }
 
-
-# The anchor address, without the flags that only Java needs
-HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""

@@ -11,18 +11,20 @@ from ..functions.text import short_number
 from ..operators import chain, conflicts, graph, html, markdown, score, search, settle
 from ..sources import map_store
 from ..sources.shared import written
-from .corpus import notes
+from .corpus import notes, state
 
 QUESTION, BUDGET = "bend radius fixed for which type", 4000
 PATH = ("ADR 45", "ADR 52")
 
-_maps: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_maps: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def built_map(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and links of the notes: built and written once per session, then read, as maps are."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Nodes and links of the notes: built and written once per session, then read, as maps are;
+    built anew when a table's files have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir))
     if key not in _maps:
+        _maps.clear()
         pieces = graph.parse(notes(spark, sf_dir))
         _maps[key] = (written(graph.nodes(pieces), "nodes"), written(graph.links(pieces), "links"))
     return _maps[key]
@@ -36,6 +38,10 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes(spark, sf_dir).select(F.col("rel_path").alias("path"), "text")
 
 
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _notes(spark, sf_dir).filter(F.col("path").endswith(".md"))
+
+
 def _starts(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "document").select(F.col("id").alias("start")).distinct()
 
@@ -57,15 +63,15 @@ def md_statements(spark, sf_dir):
 
 
 def md_sections(spark, sf_dir):
-    return markdown.sections(_notes(spark, sf_dir))
+    return markdown.sections(_markdown(spark, sf_dir))
 
 
 def md_section_attribution(spark, sf_dir):
-    return markdown.attributed(_notes(spark, sf_dir))
+    return markdown.attributed(_markdown(spark, sf_dir))
 
 
 def md_section_bodies(spark, sf_dir):
-    return markdown.bodies(_notes(spark, sf_dir))
+    return markdown.bodies(_markdown(spark, sf_dir))
 
 
 def md_front_matter(spark, sf_dir):
@@ -74,11 +80,11 @@ def md_front_matter(spark, sf_dir):
 
 
 def md_relations(spark, sf_dir):
-    return markdown.links(_notes(spark, sf_dir)).filter("relation is not null").select("path", "line", "target", "relation")
+    return markdown.links(_markdown(spark, sf_dir)).filter("relation is not null").select("path", "line", "target", "relation")
 
 
 def md_mentions(spark, sf_dir):
-    return markdown.links(_notes(spark, sf_dir)).filter("relation is null").select("path", "idx", "line", "target")
+    return markdown.links(_markdown(spark, sf_dir)).filter("relation is null").select("path", "idx", "line", "target")
 
 
 def html_statements(spark, sf_dir):
@@ -93,6 +99,10 @@ def html_links(spark, sf_dir):
     return html.links(_pages(spark, sf_dir)).drop("relation")
 
 
+def html_section_bodies(spark, sf_dir):
+    return html.bodies(_pages(spark, sf_dir))
+
+
 def title_key_resolution(spark, sf_dir):
     return graph.resolve(graph.parse(notes(spark, sf_dir))).select("path", "idx", "line", "target", "key", "to_id", "found")
 
@@ -190,20 +200,35 @@ def conflict_counts(spark, sf_dir):
 
 
 def conflict_values(spark, sf_dir):
-    rows = conflicts.values(_observed(spark, sf_dir)[0])
-    return rows.select("name", "number", "unit", F.size("sources").alias("n_sources"), F.element_at("sources", 1).alias("first_source"))
+    rows = conflicts.values(_observed(spark, sf_dir)[0], 1)
+    return rows.select("name", "number", "unit", "n_sources", F.element_at("sources", 1).alias("first_source"))
 
 
 def value_spellings(spark, sf_dir):
-    return conflicts.values(_observed(spark, sf_dir)[0]).select("number", "unit").distinct().select("number", "unit", short_number("number").alias("shown"))
+    values = _observed(spark, sf_dir)[0].select("number", "unit").distinct()
+    return settle.spelled(values).select("number", "unit", short_number("number").alias("shown"), "spellings")
 
 
-def settle_choices(spark, sf_dir):
+def _choices(spark, sf_dir, shown):
     strong, weak = _observed(spark, sf_dir)
     none = _held(spark).filter("false")
-    paged = settle.page(conflicts.conflicts(strong, none), conflicts.conflicts(weak, none))
-    own = conflicts.values(strong).unionByName(conflicts.values(weak))
-    return settle.choices(paged, own).select("index", "name", "choice", "number", "unit", F.size("sources").alias("n_sources"))
+    paged = written(settle.page(conflicts.conflicts(strong, none), conflicts.conflicts(weak, none)), "page")
+    own = strong.unionByName(weak).join(F.broadcast(paged.select("name")), "name", "left_semi")
+    return settle.choices(paged, conflicts.values(own, shown))
+
+
+def settle_choices(spark, sf_dir):
+    return _choices(spark, sf_dir, 1).select("index", "name", "choice", "number", "unit", "n_sources")
+
+
+def settle_plan(spark, sf_dir):
+    """Every edit that keeping each conflict's first value would take. The picked page is small,
+    its sources are joined with the lines of their files."""
+    numbered = written(_choices(spark, sf_dir, None), "choices")
+    kept = numbered.select("index", F.lit(1).alias("choice")).distinct()
+    lines = _notes(spark, sf_dir).select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("i", "raw"))
+    found = settle.plan(settle.picked(numbered, kept), lines.select("file", (F.col("i") + 1).alias("line"), "raw"))
+    return found.select("index", "name", "file", "line", "number", "unit", "new_text", "at_source")
 
 
 def answer_seeds(spark, sf_dir):
@@ -249,9 +274,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         md_statements, md_sections, md_section_attribution, md_section_bodies, md_front_matter, md_relations, md_mentions,
-        html_statements, html_headings, html_links, title_key_resolution, map_nodes, map_links, mention_suppression, build_summary,
+        html_statements, html_headings, html_links, html_section_bodies, title_key_resolution, map_nodes, map_links, mention_suppression, build_summary,
         score_metrics, score_hints, connected_components, isolated_nodes, score_samples, verify_samples, find_node, chain_decorated,
-        conflicts_strong, conflicts_weak, suppressed_conflicts, conflict_counts, conflict_values, value_spellings, settle_choices,
+        conflicts_strong, conflicts_weak, suppressed_conflicts, conflict_counts, conflict_values, value_spellings, settle_choices, settle_plan,
         answer_seeds, answer_budget, answer_condensed, answer_documents, shortest_path, explain_node, fingerprint, stale_documents,
     )
 } | {

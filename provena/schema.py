@@ -48,9 +48,15 @@ WATCH_BREAKERS = ("+", "-", "±", "x ", "×", "plus", "over", "than", "gap")
 UNITS = ("mm", "cm", "km", "m", "s", "ms", "%", "MB", "KB", "GB")
 UNIT_SCALE = {"mm": ("m", 0.001), "cm": ("m", 0.01), "m": ("m", 1.0), "km": ("m", 1000.0), "ms": ("s", 0.001), "s": ("s", 1.0)}
 
+# Patterns of numbers, of what may stand beside them, and of names.
+NUMBER = r"-?\p{Nd}{1,3}(?:,\p{Nd}{3})*(?:\.\p{Nd}+)?|-?\p{Nd}+(?:\.\p{Nd}+)?"
+NUMBER_BEFORE, UNIT_AFTER = r"(?<![\p{Nd}.\-–])", r"(?![A-Za-z0-9])"
+PAIR_NAME, PAIR_NUMBER = r"[A-Za-z가-힣][A-Za-z0-9 _\-/()가-힣]{1,38}?", r"-?\p{Nd}+(?:\.\p{Nd}+)?"
+NAME_WORD = r"[A-Za-z가-힣][A-Za-z0-9_\-가-힣]*"
+
 # Words that name no value, and words a name cannot end in.
 GENERIC_NAMES = ("observations", "relations", "context", "decision", "consequences", "note", "notes", "summary", "status")
-STOP_TAILS = tuple("to is are was were up at of in on by for from than about roughly under over with and or the a an reach captures design measured found gives".split())
+STOP_TAILS = ("to", "is", "are", "was", "were", "up", "at", "of", "in", "on", "by", "for", "from", "than", "about", "roughly", "under", "over", "with", "and", "or", "the", "a", "an", "reach", "captures", "design", "measured", "found", "gives")
 CONTEXT_PREFIX, CONTEXT_WORDS, NAME_WORDS, NAME_LENGTH = 60, 4, 3, 4
 
 # Relations that are causes, relations near to them, and how far chains go.

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new name under spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A new name under spark.checkpoint.dir. Where that is unset, a temporary folder stands in
+    for it in a local session; on a cluster that is an error, as nodes share no such folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="provena-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

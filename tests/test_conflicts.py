@@ -60,12 +60,27 @@ def test_rounding_is_pythons(spark):
     assert [r.v for r in got] == want and [r.t for r in got] == [str(w) for w in want]
 
 
+def test_values_are_bounded(spark):
+    n = nodes(spark, *["rack height: 3.5 m"] * 6)
+    strong = conflicts.strong_observations(n)
+    few, every = (conflicts.values(strong, k).first() for k in (2, None))
+    assert (few.n_sources, few.sources) == (6, ["f0.md:1", "f1.md:1"]) and every.sources == [f"f{i}.md:1" for i in range(6)]
+
+
 def test_picks_and_spellings():
-    assert settle.parse_picks("1:2, 2:3 x 4:y") == ([settle.Pick(1, 2), settle.Pick(2, 3)], ["not a pick: x (write conflict:choice)", "not numbers: 4:y"])
-    assert settle.spellings(0.6, "m")[:4] == ["0.6 m", "0.6m", "600 mm", "600mm"]
+    assert settle.parse_picks("1:2, 2:3 x 4:y") == ([settle.Pick(1, 2), settle.Pick(2, 3)], ["x", "4:y"])
+    assert settle.spellings(0.6, "m") == ["0.6 m", "0.6m", "600 mm", "600mm", "60 cm", "60cm"]
+    assert settle.spellings(0.0045, "m") == ["0.0045 m", "0.0045m"] and settle.spellings(0.045, "m")[2:] == ["45 mm", "45mm"]
     assert settle.spellings(5.0, "%") == ["5 %", "5%"]
 
 
+def test_plan_takes_the_best_lines(spark):
+    wanted = spark.createDataFrame([(1, "tray width", 0.6, "m", settle.pattern(0.6, "m"), f, n, "1 m") for f, n in (("a", 2), ("b", 1), ("c", 1), ("d", 1))], "index int, name string, number double, unit string, rx string, file string, line int, new_text string")
+    lines = [("a", 1, "tray width 600 mm"), ("a", 2, "it is 0.6 m"), ("b", 1, "none"), ("b", 2, "1600 mm"), ("b", 3, "Tray of width 60cm"), ("b", 4, "0.6 m"), ("c", 1, "6 m"), ("c", 2, "0.6m"), ("c", 3, "x 600mm y"), ("d", 1, "0.65 m")]
+    found = settle.plan(wanted, spark.createDataFrame(lines, "file string, line int, raw string"))
+    assert sorted((r.file, r.line, r.at_source) for r in found.collect()) == [("a", 2, True), ("b", 3, False), ("c", 2, False), ("c", 3, False)]
+
+
 def test_settle_rewrites_only_when_told(spark, tmp_path):
     one, two = tmp_path / "one.md", tmp_path / "two.md"
     one.write_bytes(b"intro\r\nrack height: 3.5 m, not 13.5 m\r\n")
@@ -79,11 +94,33 @@ def test_settle_rewrites_only_when_told(spark, tmp_path):
     marks = {r["index"]: (r["name"], r["signature"]) for r in paged.collect()}
     numbered = settle.choices(paged, conflicts.values(strong))
     lines = spark.createDataFrame([(str(p), i, x) for p in (one, two) for i, x in enumerate(p.read_text().split("\n"), 1)], "file string, line int, raw string")
-    dry = settle.settle(numbered, marks, "1:2 7:1", lines)
-    assert dry.fixed == 1 and any("dry run" in m for m in dry.messages) and "3.5 m" in one.read_text()
-    log = tmp_path / "log"
-    done = settle.settle(numbered, marks, "1:2", lines, log=str(log), confirm=True)
-    assert done.fixed == 1 and one.read_bytes() == b"intro\r\nrack height: 4 m, not 13.5 m\r\n" and "fixed | rack height" in log.read_text()
+    dry = settle.settle(numbered, marks, "1:2 7:1 1:5 x", lines)
+    assert (dry.fixed, dry.skipped) == (1, 3) and f"{one}:2: 3.5 m -> 4 m" in dry.messages and "3.5 m" in one.read_text()
+    log = []
+    done = settle.settle(numbered, marks, "1:2", lines, log=lambda *x: log.append(x), confirm=True)
+    assert done.fixed == 1 and one.read_bytes() == b"intro\r\nrack height: 4 m, not 13.5 m\r\n" and log == [("edited", "rack height", f"{one}:2", "3.5 m -> 4 m")]
+    again = settle.settle(numbered, marks, "1:2", lines, confirm=True)
+    assert (again.fixed, again.skipped) == (0, 1) and "no such value" in again.messages[0]
     held = {}
     assert settle.settle(numbered, marks, "1:3", lines, suppress=held.__setitem__, confirm=True).suppressed == 1 and held == {"rack height": "3.5m|4.0m"}
     assert settle.settle(numbered, marks, "1:4", lines).left == 1
+    gone = settle.settle(numbered, marks, "1:1", lines.filter(lines.file == str(one)))
+    assert gone.skipped == 1 and gone.messages == [f"{two}: 4 m is not in it"]
+    two.unlink()
+    assert settle.settle(numbered, marks, "1:1", lines).skipped == 1
+
+
+def test_page_as_text(spark):
+    rows = [(1, "rack height", 1, 3.5, "m", 3, ["a.md:1", "b.md:2"]), (1, "rack height", 2, 4.0, "m", 1, ["c.md:1"]), (2, "load", 1, 0.25, "s", 2, ["a.md:3", "b.md:3"])]
+    numbered = spark.createDataFrame(rows, "index int, name string, choice int, number double, unit string, n_sources long, sources array<string>")
+    assert settle.render(numbered, 12).split("\n") == [
+        "open conflicts: 12, of which the first 10",
+        "[1] rack height",
+        "    1:1  3.5 m  in a.md:1 b.md:2 (+1)",
+        "    1:2  4 m  in c.md:1",
+        "    1:3  they may differ    1:4  later",
+        "[2] load",
+        "    2:1  0.25 s  in a.md:3 b.md:3",
+        "    2:2  they may differ    2:3  later",
+    ]
+    assert settle.render(numbered.filter("false"), 0) == "open conflicts: 0"

@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pytest
@@ -106,6 +107,8 @@ def test_components_and_scores(spark):
     assert {r.id: r.component for r in got.collect()} == {i: find(i) for i in ids}
 
     nodes, links = built(spark, ("a.md", "[[a]]"), ("b.md", "has 5 of it"), ("c.md", ""))
+    line = score.line(score.metrics(nodes, links).first().asDict(), 1, 2)
+    assert line == "5 nodes, 3 links of 2 kinds, 100.0% with a place, 3 components, 1 of 2 samples found on their lines"
     row = score.metrics(nodes, links).first()
     assert (row.components, row.isolated) == (3, 1) and row.located_ratio == 1.0
     assert score.hints(score.metrics(nodes, links)).first().hints
@@ -116,6 +119,27 @@ def test_components_and_scores(spark):
     assert {r.id: r.verified for r in score.verify(nodes.filter("kind = 'statement'"), lines).collect()} == {"doc_a_t0": False, "doc_b_t0": True}
 
 
+def test_components_take_few_rounds(spark):
+    """A chain whose ids rise and whose end is the least: labels that only spread need a round for each link."""
+    for chain_ids in ([*range(2, 201), 1], [x for i in range(1, 101) for x in (i, 201 - i)]):
+        writes = []
+
+        def keep(df, label, writes=writes):
+            writes.append(label)
+            return components.written(df, label)
+
+        edges = spark.createDataFrame(list(zip(chain_ids[:-1], chain_ids[1:])), "a int, b int")
+        got = components.labels(edges, keep)
+        assert {r.label for r in got.collect()} == {1} and got.count() == 200
+        assert writes.count("labels") <= 2 * math.log2(200) + 5
+
+
+def test_chain_shows_twenty_rows(spark):
+    nodes, links = built(spark, ("hub.md", "\n".join(f"- caused_by [[N {i}]]" for i in range(23))))
+    text = chain.show(nodes, links, "hub").split("\n")
+    assert text[1:3] == ["came from:", "  caused_by N 0  [?:?]"] and text[22] == "  and 3 more" and text[23] == "led to:"
+
+
 def test_search(spark):
     nodes, links = built(spark, ("Tray.md", "# Tray width\nTray width is 600 mm\n- follows [[Rack]]"), ("Rack.md", "rack of iron"), ("Other.md", "[[Rack]]"))
     got = search.seeds(nodes, "what is the tray width?").collect()

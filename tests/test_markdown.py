@@ -1,11 +1,8 @@
-import re
-
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from provena.operators import markdown
-from provena.schema import KOREAN_RELATIONS
 
 NOTE = """---
 title: Tray
@@ -64,38 +61,60 @@ def test_long_lines_are_kept_whole(spark):
     assert markdown.statements(docs(spark, long)).first().statement == long.strip()
 
 
-def plain(text):
-    """The rules once more, as a loop over lines."""
-    heads, states, links, inside = [], [], [], False
-    for n, line in enumerate(text.split("\n"), 1):
-        if n == 1 and line.strip() == "---":
-            inside = True
-            continue
-        if inside:
-            inside = line.strip() != "---"
-            continue
-        if m := re.match(r"^(#{1,6})\s+(.*\S)\s*$", line):
-            heads.append((n, m[2]))
-            continue
-        if m := re.match(r"^\s*[-*]\s+([^\W\d_]\w*)\s+\[\[([^\]|]+)(?:\|[^\]]*)?\]\]\s*$", line):
-            links.append((n, m[2].strip(), KOREAN_RELATIONS.get(m[1], m[1])))
-        else:
-            links += [(n, t.strip(), None) for t in re.findall(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]", line)]
-        m = re.match(r"^\s*[-*]\s+(.*\S)\s*$", line)
-        if content := m[1] if m else line.strip():
-            states.append((n, content))
-    return heads, states, links
-
-
-LINE = st.text(st.sampled_from(list("#-* []|ab1_대체함 　\t\x0b\x1c")), max_size=14) | st.sampled_from(["---", "# a", "- rel [[x]]", "- 대체 [[x|y]]", "[[a]] [[b]]"])
-
-
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.lists(LINE, max_size=8).map("\n".join), min_size=20, max_size=60))
-def test_same_as_a_loop_over_lines(spark, texts):
-    d = docs(spark, *texts)
-    want = [plain(t) for t in texts]
-    rows = [markdown.sections(d).orderBy("id", "idx").collect(), markdown.statements(d).orderBy("id", "idx").collect(), markdown.links(d).orderBy("id", "idx").collect()]
-    assert [(r.id, r.line, r.title) for r in rows[0]] == [(i, *x) for i, w in enumerate(want) for x in w[0]]
-    assert [(r.id, r.line, r.statement) for r in rows[1]] == [(i, *x) for i, w in enumerate(want) for x in w[1]]
-    assert [(r.id, r.line, r.target, r.relation) for r in rows[2]] == [(i, *x) for i, w in enumerate(want) for x in w[2]]
+LINES = [
+    ("# a", "a", None, []),
+    ("###### deep \t", "deep", None, []),
+    ("####### seven", None, "####### seven", []),
+    ("#none", None, "#none", []),
+    ("# ", None, "#", []),
+    ("#\u3000wide\u3000", "wide", None, []),
+    ("  # indented", None, "# indented", []),
+    ("# [[x]] in a heading", "[[x]] in a heading", None, []),
+    ("- item", None, "item", []),
+    ("\t* item  ", None, "item", []),
+    ("-none", None, "-none", []),
+    ("- ", None, "-", []),
+    ("-\x1cunit", None, "unit", []),
+    ("- rel [[x]]", None, "rel [[x]]", [("x", "rel")]),
+    ("* 대체함 [[ x y |shown]] ", None, "대체함 [[ x y |shown]]", [("x y", "supersedes")]),
+    ("- rel_2 [[x]]", None, "rel_2 [[x]]", [("x", "rel_2")]),
+    ("- 2rel [[x]]", None, "2rel [[x]]", [("x", None)]),
+    ("- two words [[x]]", None, "two words [[x]]", [("x", None)]),
+    ("rel [[x]]", None, "rel [[x]]", [("x", None)]),
+    ("- rel [[x]] more", None, "rel [[x]] more", [("x", None)]),
+    ("- rel [[x]][[y]]", None, "rel [[x]][[y]]", [("x", None), ("y", None)]),
+    ("[[a|b|c]] [[]] [[|d]] [[e", None, "[[a|b|c]] [[]] [[|d]] [[e", [("a", None)]),
+    ("[[a[b]]", None, "[[a[b]]", [("a[b", None)]),
+    ("", None, None, []),
+    (" \x0b\u00a0", None, None, []),
+]
+
+
+def test_lines_by_themselves(spark):
+    d = docs(spark, *(f"first\n{line}" for line, *_ in LINES))
+    heads = [(r.id, r.line, r.title) for r in markdown.sections(d).orderBy("id").collect()]
+    assert heads == [(i, 2, head) for i, (_, head, _, _) in enumerate(LINES) if head]
+    said = [(r.id, r.line, r.statement) for r in markdown.statements(d).orderBy("id", "idx").collect()]
+    assert said == [x for i, (_, _, s, _) in enumerate(LINES) for x in ([(i, 1, "first")] + ([(i, 2, s)] if s else []))]
+    found = [(r.id, r.line, r.target, r.relation) for r in markdown.links(d).orderBy("id", "idx").collect()]
+    assert found == [(i, 2, *t) for i, (_, _, _, targets) in enumerate(LINES) for t in targets]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["---", "# a", "- b", "- rel [[x]]", "[[y]] c", " ", "d  "]), max_size=8), min_size=20, max_size=60))
+def test_lines_are_read_one_by_one(spark, notes):
+    """What a line gives does not depend on its neighbours, but for front matter."""
+    title = {"# a": "a"}
+    statement = {"---": "---", "- b": "b", "- rel [[x]]": "rel [[x]]", "[[y]] c": "[[y]] c", "d  ": "d"}
+    target = {"- rel [[x]]": ("x", "rel"), "[[y]] c": ("y", None)}
+    want = []
+    for i, lines in enumerate(notes):
+        skip = 0
+        if lines[:1] == ["---"]:
+            skip = lines.index("---", 1) + 1 if "---" in lines[1:] else len(lines)
+        want.append([(i, n, x) for n, x in enumerate(lines, 1) if n > skip])
+    flat = [x for w in want for x in w]
+    d = docs(spark, *("\n".join(lines) for lines in notes))
+    assert [(r.id, r.line, r.title) for r in markdown.sections(d).orderBy("id", "line").collect()] == [(i, n, title[x]) for i, n, x in flat if x in title]
+    assert [(r.id, r.line, r.statement) for r in markdown.statements(d).orderBy("id", "line").collect()] == [(i, n, statement[x]) for i, n, x in flat if x in statement]
+    assert [(r.id, r.line, r.target, r.relation) for r in markdown.links(d).orderBy("id", "line").collect()] == [(i, n, *target[x]) for i, n, x in flat if x in target]

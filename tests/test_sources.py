@@ -2,7 +2,8 @@ import json
 import os
 
 from provena.operators import graph
-from provena.sources import config, map_store
+from provena.sources import map_store
+from provena.sources.config import ENVIRONMENT, Config
 from provena.sources.notes import diagnosis, listed, read_notes
 from provena.streaming import refresh
 
@@ -27,12 +28,14 @@ def test_notes_source(spark, tmp_path):
 
 
 def test_config(tmp_path, monkeypatch):
-    path = str(tmp_path / "deep" / "c.json")
-    assert config.load(path) == config.Config()
-    config.save(config.Config(source_dirs=["x"], answer_budget=5), path)
-    assert config.load(path).answer_budget == 5 and config.load(path).map_path == ""
-    monkeypatch.setenv(config.ENVIRONMENT, path)
-    assert config.default_path() == path
+    path = tmp_path / "deep" / "c.json"
+    assert Config.read(path) == Config()
+    Config(source_dirs=("x",), answer_budget=5).write(path)
+    assert Config.read(path) == Config(source_dirs=("x",), answer_budget=5)
+    path.write_bytes(b'\xef\xbb\xbf{"map_path": "m\xff", "other": 1}')
+    assert Config.read(path) == Config(map_path="m\ufffd")
+    monkeypatch.setenv(ENVIRONMENT, str(path))
+    assert Config.place() == path and Config.read().map_path == "m\ufffd"
 
 
 def test_map_store_and_rebuild(spark, tmp_path):
@@ -44,13 +47,23 @@ def test_map_store_and_rebuild(spark, tmp_path):
     store = map_store.MapStore(path)
     nodes, links = store.read(spark)
     assert nodes.count() == 6 and links.filter("relation = 'follows'").count() == 1
-    store.export_json(nodes, links)
     first = open(path, "rb").read()
-    store.export_json(*store.read(spark))
+    assert refresh.rebuild(spark, [str(notes)], path, force=True)
     assert open(path, "rb").read() == first and len(json.loads(first)["nodes"]) == 6
-    assert "rack height   (values 3.5m|4.0m)" in open(store.report_path).read()
+    nodes, links = store.read(spark)
+    assert open(store.report_path).read().split("\n") == [
+        "Differing values: 1 of 1 names have several; 0 more names come from context; 0 dismissed.",
+        "",
+        "Name beside the value: 1",
+        "- rack height = 3.5m|4.0m",
+        "    3.5 m: one.md:2",
+        "    4 m: two.md:1",
+        "",
+        "Name in the words before it: 0",
+        "",
+    ]
     store.suppress("rack height", "3.5m|4.0m")
-    assert "suppressed 1" in store.report(nodes, ())
+    assert "; 1 dismissed." in store.report(nodes, ())
     open(store.suppressions_path, "w").write("{broken")
     assert store.suppressions(spark).count() == 0
     docs = read_notes(spark, [str(notes)])
@@ -62,12 +75,48 @@ def test_map_store_and_rebuild(spark, tmp_path):
     assert {p: (notes / p).read_bytes() for p in os.listdir(notes)} == before
 
 
-def test_watch_rebuilds_once(spark, tmp_path):
-    notes = tmp_path / "notes"
+def test_watch_sees_every_change(spark, tmp_path):
+    notes, more = tmp_path / "notes", tmp_path / "more"
     tree(notes, {"one.md": "x", "two.md": "y"})
-    query = refresh.watch(spark, [str(notes)], str(tmp_path / "map"), str(tmp_path / "cp"))
-    query.awaitTermination(120)
-    assert not query.isActive and map_store.MapStore(str(tmp_path / "map")).read(spark)[0].filter("kind = 'document'").count() == 2
+    tree(more, {"three.md": "z"})
+    path = str(tmp_path / "map")
+    store = map_store.MapStore(path)
+    run = lambda: refresh.watch(spark, [str(notes), str(more)], path, str(tmp_path / "cp")).awaitTermination(120)
+    labels = lambda kind: sorted(r.label for r in store.read(spark)[0].filter(f"kind = '{kind}'").collect())
+    run()
+    assert labels("document") == ["one", "three", "two"]
+    first = store.version()
+    run()
+    assert store.version() == first
+    (notes / "one.md").write_text("changed")
+    os.utime(notes / "one.md", (2e9, 2e9))
+    run()
+    assert labels("statement") == ["changed", "y", "z"]
+    tree(notes, {"_x.md": "hidden", ".dir/y.markdown": "dot"})
+    run()
+    assert labels("document") == ["_x", "one", "three", "two", "y"]
+    (more / "three.md").unlink()
+    more.rmdir()
+    run()
+    assert labels("document") == ["_x", "one", "two", "y"]
+
+
+def test_watch_runs_on(spark, tmp_path):
+    import time
+
+    notes, path = tmp_path / "notes", str(tmp_path / "map")
+    tree(notes, {"one.md": "x"})
+    query = refresh.watch(spark, [str(notes)], path, str(tmp_path / "cp"), every="1 second")
+    store = map_store.MapStore(path)
+    for text in ("x", "later"):
+        (notes / "one.md").write_text(text)
+        for _ in range(60):
+            time.sleep(1)
+            if store.version() and store.read(spark)[0].filter(f"label = '{text}'").count():
+                break
+        else:
+            raise AssertionError(text)
+    query.stop()
 
 
 def test_rebuild_and_watch_look_for_watched_names(spark, tmp_path, monkeypatch):
@@ -76,7 +125,7 @@ def test_rebuild_and_watch_look_for_watched_names(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "map")
     refresh.rebuild(spark, [str(notes)], path)
     text = open(map_store.MapStore(path).report_path).read()
-    assert "bend radius   (values" in text[text.index("[strong]") : text.index("[context]")]
+    assert "- bend radius = " in text[: text.index("Name in the words")]
     seen = []
     monkeypatch.setattr(refresh, "rebuild", lambda spark, folders, path, watched: seen.append(watched))
     refresh.watch(spark, [str(notes)], path, str(tmp_path / "cp-a")).awaitTermination(120)
