@@ -1,11 +1,14 @@
 """Repeated phrases located with sharded Aho-Corasick automata.
 
-Pieces of documents that share an anchor (see repeats) meet in a shard of bounded size.
-A shard confirms the word windows that recur among its pieces, compiles them into an
-automaton (words are numbered, a window is a string of numbers), and streams every one
-of its pieces through it, which locates each occurrence. As all occurrences of a window
-have one anchor, they all pass through the automaton that holds it, and each document's
-words pass through those automata alone that can match there - not through every shard.
+Documents are streamed in pieces (see repeats), equal pieces once. A piece whose anchor
+occurs once in all documents cannot hold a recurring window; all others go to a shard of
+bounded size by their anchor. A shard confirms the word windows that recur - in two places
+of its pieces, or in a piece that stands for several - compiles them into an automaton
+(words are numbered, a window is a string of numbers), and streams every one of its pieces
+through it, which locates each occurrence. What is removed is what the automata locate,
+but for the earliest occurrence of each window. All occurrences of a window have one
+anchor, so they all pass through the automaton that holds it, and each document's words
+pass through those automata alone that can match there - not through every shard.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged; null has none. A word is
 removed if a window of `window` words over it also starts earlier: in a document of
@@ -24,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, runs, saved
-from .repeats import KEY, classes, covered, cut_pieces, distinct_texts, find_pieces, text_key, window_rows
+from .common import chunks, runs, saved, trim
+from .repeats import KEY, PIECE, covered, distinct_texts, find_pieces, judged, shards, text_key
 from .textkit import Words, rolling
 
 WINDOW, GRAM = 20, 4
-#: Bytes of a shard, and of words in one anchor's pieces from which they are counted by window.
-SHARD_BYTES, CROWDED_WORDS = 1 << 19, 400_000
+#: Bytes of a shard, and words of one anchor's classes beyond which they are split by a longer gram.
+SHARD_BYTES, ANCHOR_WORDS = 1 << 18, 100_000
 
 
 def as_string(ids: np.ndarray) -> str:
@@ -40,18 +43,27 @@ def as_string(ids: np.ndarray) -> str:
     return points.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def occurrences(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, start word and number of every occurrence of a window that recurs in them."""
+def recurring(pieces: list[bytes], twice: np.ndarray, window: int) -> tuple[Words, np.ndarray]:
+    """The words of the pieces, and a start word of each window that recurs in them or stands in
+    a piece that does."""
     words = Words(pieces)
-    _, ids = np.unique(words.hash, return_inverse=True)
     fits = np.maximum(words.counts - window + 1, 0)
     starts = runs(words.first[:-1], fits)
     if not len(starts):
-        return tuple(np.empty(0, np.int64) for _ in range(3))
-    _, head, times = np.unique(rolling(words.hash, window)[starts], return_index=True, return_counts=True)
+        return words, starts
+    _, head, back, times = np.unique(rolling(words.hash, window)[starts], return_index=True, return_inverse=True, return_counts=True)
+    again = times > 1
+    again[back[np.repeat(twice, fits)]] = True
+    return words, np.sort(starts[head[again]])
+
+
+def occurrences(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, start word and number of every occurrence of the windows at starts, as one automaton
+    of all of them locates them in the pieces."""
+    _, ids = np.unique(words.hash, return_inverse=True)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     text = as_string(ids)
-    for number, at in enumerate(np.sort(starts[head[times > 1]])):
+    for number, at in enumerate(starts.tolist()):
         automaton.add_word(text[at : at + window], number)
     if not len(automaton):
         return tuple(np.empty(0, np.int64) for _ in range(3))
@@ -67,47 +79,46 @@ def occurrences(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarra
 def _shard(window: int):
     def run(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
-        piece, off, number = occurrences(part.column("data").to_pylist(), window)
-        first_id, k1, k2, at = (part.column(c).to_numpy()[piece] for c in ("first_id", *KEY, "at"))
+        twice = part.column("size").to_numpy() > 1
+        piece, off, number = occurrences(*recurring(part.column("data").to_pylist(), twice, window), window)
+        first_id, k1, k2, at = (part.column(c).to_numpy()[piece] for c in PIECE)
         order = np.lexsort((at + off, k2, k1, first_id, number))
         later = np.zeros(len(order), bool)
-        later[1:] = number[order[1:]] == number[order[:-1]]
-        gone = order[later]
+        later[order[1:]] = number[order[1:]] == number[order[:-1]]
+        # of a window's earliest place only the other pieces of that class go
+        gone = np.flatnonzero(later | twice[piece])
         gone = gone[np.lexsort((off[gone], piece[gone]))]
-        p, o = piece[gone], off[gone]
+        p, o, later = piece[gone], off[gone], later[gone]
         new = np.ones(len(p), bool)
-        new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1] + 1)
+        new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1] + 1) | (later[1:] != later[:-1])
         head = np.flatnonzero(new)
         n = np.diff(np.append(head, len(p)))
-        g = gone[head]
-        return pa.table({"k1": k1[g], "k2": k2[g], "at": pa.array((at[g] + o[head]).astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+        take = pa.array(p[head])
+        trim()
+        return pa.table({"h": part.column("h").take(take), "g": part.column("g").take(take), "off": pa.array(o[head].astype(np.int32)), "len": pa.array(n.astype(np.int32)), "not_first": pa.array(later[head]), "first": pa.StructArray.from_arrays([part.column(c).take(take).combine_chunks() for c in PIECE], names=list(PIECE))})
 
     return run
 
 
-def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED_WORDS) -> DataFrame:
+def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = ANCHOR_WORDS) -> DataFrame:
     """k1, k2, at, n: runs of windows, in distinct texts, that also start earlier."""
-    spark = texts.sparkSession
-    pieces = find_pieces(texts, "words", window, min(gram, window))
-    found = classes(pieces, window)
-    first = found.filter("size > 1").select("h", "g", F.struct("first_id", *KEY, "at").alias("first"))
-    parts = [pieces.join(first, ["h", "g"]).filter(F.struct("first_id", *KEY, "at") != F.col("first")).select(*KEY, "at", "n")]
-    mixed = found.filter("classes > 1")
-    cut = saved(spark, cut_pieces(mixed, texts, "words", window), "cut")
-    total = cut.filter(F.col("symbols") <= crowded).agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    by_shard = cut.filter(F.col("symbols") <= crowded).select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "first_id", *KEY, "at", "data")
-    parts.append(by_shard.groupBy("shard").applyInArrow(_shard(window), "k1 long, k2 long, at int, n int"))
-    windows = window_rows(cut.filter(F.col("symbols") > crowded), "words", window).select("w", F.struct("first_id", *KEY, "at").alias("place"))
-    firsts = windows.groupBy("w").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts.append(windows.join(firsts, "w").filter("place <> first").select("place.k1", "place.k2", "place.at", F.lit(1).alias("n")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def dedup_by_text(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED_WORDS) -> DataFrame:
+
+    def judge(found: DataFrame) -> DataFrame:
+        rows = shards(found, texts, "words", window, SHARD_BYTES).select("shard", "h", "g", "size", *PIECE, "data")
+        rows = rows.groupBy("shard").applyInArrow(_shard(window), "h long, g long, off int, len int, not_first boolean, first struct<first_id:long,k1:long,k2:long,at:int>")
+        return saved(texts.sparkSession, rows, "judged")
+
+    gram = min(gram, window)
+    pieces = find_pieces(texts, "words", window, gram)
+    found = judged(pieces, texts, "words", window, gram, most, judge)
+    rows = pieces.join(found, ["h", "g"]).filter(F.col("not_first") | (F.struct(*PIECE) != F.col("first")))
+    return rows.select(*KEY, (F.col("at") + F.col("off")).alias("at"), F.col("len").alias("n"))
+
+
+def dedup_by_text(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = ANCHOR_WORDS) -> DataFrame:
     """k1, k2, first_id, n_words, n_removed, kept_sha256 and spans of each distinct text."""
     texts = distinct_texts(docs)
-    found = repeats(texts, window, gram, crowded).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("starts"))
+    found = repeats(texts, window, gram, most).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("starts"))
     rows = texts.join(found, list(KEY), "left").select(*KEY, "first_id", "starts", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +144,10 @@ def dedup_by_text(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd
     return saved(docs.sparkSession, out, "phrases")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = ANCHOR_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and spans (of words) of every row of docs."""
     docs = docs.select("doc_id", "text")
-    found = dedup_by_text(docs, window, gram, crowded)
+    found = dedup_by_text(docs, window, gram, most)
     rows = docs.select("doc_id", *text_key(F.coalesce("text", F.lit("")))).join(found, list(KEY), "left")
     copy = (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) > F.col("first_id")) & (F.col("n_words") >= window)
     whole = F.array(F.array(F.lit(0).cast("long"), F.col("n_words")))

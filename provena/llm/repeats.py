@@ -7,25 +7,26 @@ strings have equal anchors at equal distances, so runs of starts with one anchor
 (here: pieces) need only be compared with pieces of the same anchor. Pieces of equal
 content form a class, compared through one member; so copies and near copies are
 aggregated before anything wide moves. Anchors are narrow rows, counted with map-side
-combination and joined (a join that Spark can split) - no step gathers one anchor's
-pieces unless they differ, and those of an anchor with very many different pieces are
-counted window by window instead.
+combination and joined (a join that Spark can split). The classes of one anchor are
+judged together, in a shard; where they would be too many for one, they are cut anew by
+anchors of twice the length, down to anchors as long as the string itself: then an anchor
+has one class. So every class is judged by the same method in a shard of bounded size.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, release, runs, saved, shared_dir
+from .common import chunks, release, saved, shared_dir
 from .packing import pack as _pack
 from .packing import unpack as _unpack
-from .textkit import Words, anchors, byte_values, mix, prefix_sums, rolling, span_hash
+from .textkit import Words, anchors, byte_values, mix, prefix_sums, span_hash
 
 KEY = ("k1", "k2")
 
@@ -141,20 +142,77 @@ def find_pieces(texts: DataFrame, unit: str, length: int, gram: int) -> DataFram
     return saved(texts.sparkSession, rows, f"pieces-{unit}")
 
 
+PIECE = ("first_id", *KEY, "at")
+
+
 def classes(pieces: DataFrame, length: int) -> DataFrame:
     """One row for each class of equal pieces of anchors found twice or more: its size, its
     earliest piece (by id, key and place), its symbols, and the anchor's number of classes."""
-    first = F.min(F.struct("first_id", *KEY, "at")).alias("first")
-    own = pieces.groupBy("h", "g").agg(F.count(F.lit(1)).alias("size"), first, F.first("n").alias("n"))
+    first = F.min(F.struct(*PIECE)).alias("first")
+    own = pieces.groupBy("h", "g").agg(F.sum("size").alias("size"), first, F.first("n").alias("n"))
     anchor = own.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum("size").alias("pieces"), F.sum(F.col("n") + (length - 1)).alias("symbols")).filter("pieces > 1")
     out = own.join(anchor.drop("pieces"), "h").select("h", "g", "size", "first.*", "n", "classes", "symbols")
     return saved(pieces.sparkSession, out, "classes")
 
 
+def judged(pieces: DataFrame, texts: DataFrame, unit: str, length: int, gram: int, most: int, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs of starts that recur, for the classes of pieces: h, g, off, len, and, if judge gives
+    them, not_first (whether that of the class's earliest piece goes too) and that piece, first.
+
+    judge makes those rows of a table of classes whose anchors have up to `most` symbols each.
+    The classes of larger anchors are pieces of anchors of a longer gram, of which each stands
+    for as many as its class has; what is found for them is put back in their classes."""
+    pieces = pieces if "size" in pieces.columns else pieces.withColumn("size", F.lit(1).cast("long"))
+    found = classes(pieces, length)
+    out = judge(found.filter(F.col("symbols") <= most) if gram < length else found)
+    crowded = found.filter(F.col("symbols") > most)
+    if gram >= length or crowded.isEmpty():
+        return out
+    longer = min(length, 2 * gram)
+    parts = saved(texts.sparkSession, split_pieces(cut_pieces(crowded, texts, unit, length), unit, length, longer), f"split-{longer}")
+    below = judged(parts, texts, unit, length, longer, most, judge)
+    rows = parts.join(below, ["h", "g"])
+    back = [F.col("from_h").alias("h"), F.col("from_g").alias("g"), (F.col("from_off") + F.col("off")).alias("off"), "len"]
+    if "first" in below.columns:
+        back.append((F.col("not_first") | (F.struct(*PIECE) != F.col("first"))).alias("not_first"))
+        back.append(F.struct("first_id", *KEY, (F.col("at") - F.col("from_off")).alias("at")).alias("first"))
+    return out.unionByName(rows.select(*back))
+
+
+def split_pieces(cut: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
+    """The pieces by longer grams of pieces that are cut out: h (of both anchors), g, size,
+    first_id, k1, k2, at, n, and from_h, from_g, from_off, what they were part of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "data"):
+            values, starts, lengths = symbols(b.column(8).to_pylist(), unit)
+            piece, off, n, _, h = anchors(values, starts, lengths, length, gram)
+            begin = starts[piece] + off
+            g = span_hash(prefix_sums(values), begin, begin + n + length - 1) if len(piece) else np.empty(0, np.uint64)
+            old = b.column(0).to_numpy()[piece]
+            take = pa.array(piece)
+            own = [b.column(i).take(take) for i in (2, 3, 4, 5)]
+            at = pa.array((b.column(6).to_numpy()[piece] + off).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mix(h ^ mix(old.view(np.uint64))).view(np.int64)), pa.array(g.view(np.int64)), *own, at, pa.array(n.astype(np.int32)), pa.array(old), b.column(1).take(take), pa.array(off.astype(np.int32))],
+                names=["h", "g", "size", *PIECE, "n", "from_h", "from_g", "from_off"],
+            )
+
+    return cut.mapInArrow(run, "h long, g long, size long, first_id long, k1 long, k2 long, at int, n int, from_h long, from_g long, from_off int")
+
+
+def shards(found: DataFrame, texts: DataFrame, unit: str, length: int, size: int) -> DataFrame:
+    """The classes with their content and the shard they belong to: all classes of an anchor are
+    in one shard, and shards have about `size` bytes."""
+    cut = saved(texts.sparkSession, cut_pieces(found, texts, unit, length), "cut")
+    total = cut.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    return cut.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(max(1, -(-total // size)))))
+
+
 def cut_pieces(found: DataFrame, texts: DataFrame, unit: str, length: int) -> DataFrame:
-    """The content of the earliest piece of each class: h, g, size, first_id, k1, k2, at, n, data, symbols.
+    """The content of the earliest piece of each class: h, g, size, first_id, k1, k2, at, n, data.
     Byte pieces are bytes; word pieces are the words joined by one space."""
-    by_text = found.groupBy(*KEY).agg(F.collect_list(F.struct("h", "g", "size", "first_id", "at", "n", "symbols")).alias("wanted"))
+    by_text = found.groupBy(*KEY).agg(F.collect_list(F.struct("h", "g", "size", "first_id", "at", "n")).alias("wanted"))
     rows = by_text.join(texts.select(*KEY, "text"), list(KEY)).select(*KEY, "wanted", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,30 +232,11 @@ def cut_pieces(found: DataFrame, texts: DataFrame, unit: str, length: int) -> Da
                 data = [texts[o][a : a + m + length - 1] for o, a, m in zip(owner, at, n, strict=True)]
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [flat.field(0), flat.field(1), flat.field(2), flat.field(3), b.column(0).take(take), b.column(1).take(take), flat.field(4), flat.field(5), pa.array(data, pa.binary()), flat.field(6)],
-                names=["h", "g", "size", "first_id", *KEY, "at", "n", "data", "symbols"],
-            )
-
-    return rows.mapInArrow(run, "h long, g long, size long, first_id long, k1 long, k2 long, at int, n int, data binary, symbols long")
-
-
-def window_rows(pieces: DataFrame, unit: str, length: int) -> DataFrame:
-    """For the pieces of crowded anchors: a row for each start, with its window's hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "data"):
-            n = b.column(7).to_numpy().astype(np.int64)
-            values, starts, _ = symbols(b.column(8).to_pylist(), unit)
-            all_starts = runs(starts, n)
-            owner = np.repeat(np.arange(len(n)), n)
-            take = pa.array(owner)
-            offset = all_starts - starts[owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rolling(values, length)[all_starts].view(np.int64)), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), b.column(3).take(take), b.column(4).take(take), b.column(5).take(take), pa.array((b.column(6).to_numpy()[owner] + offset).astype(np.int32)), pa.array(offset.astype(np.int32))],
-                names=["w", "h", "g", "size", "first_id", *KEY, "at", "off"],
+                [flat.field(0), flat.field(1), flat.field(2), flat.field(3), b.column(0).take(take), b.column(1).take(take), flat.field(4), flat.field(5), pa.array(data, pa.binary())],
+                names=["h", "g", "size", "first_id", *KEY, "at", "n", "data"],
             )
 
-    return pieces.mapInArrow(run, "w long, h long, g long, size long, first_id long, k1 long, k2 long, at int, off int")
+    return rows.mapInArrow(run, "h long, g long, size long, first_id long, k1 long, k2 long, at int, n int, data binary")
 
 
 def covered(starts: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

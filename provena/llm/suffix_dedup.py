@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, runs, saved, trim
-from .repeats import KEY, classes, covered, cut_pieces, distinct_texts, find_pieces, text_key, window_rows
+from .repeats import KEY, covered, distinct_texts, find_pieces, judged, shards, text_key
 
 MIN_BYTES, GRAM = 400, 48
-#: Bytes of a shard, and of one anchor's pieces from which they are counted by window.
-SHARD_BYTES, CROWDED_BYTES = 1 << 19, 2 << 20
+#: Bytes of a shard, and of one anchor's classes beyond which they are split by a longer gram.
+SHARD_BYTES, ANCHOR_BYTES = 1 << 19, 1 << 20
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -150,31 +150,28 @@ def _shard(length: int):
     return run
 
 
-def repeats(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, crowded: int = CROWDED_BYTES) -> DataFrame:
+def repeats(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, most: int = ANCHOR_BYTES) -> DataFrame:
     """k1, k2, at, n: runs of starts, in distinct texts, of strings that occur again."""
-    spark = texts.sparkSession
-    pieces = find_pieces(texts, "bytes", min_bytes, min(gram, min_bytes))
-    found = classes(pieces, min_bytes)
-    alone = found.filter("classes = 1").select("h", "g", F.lit(0).alias("off"), F.col("n").alias("len"))
-    mixed = found.filter("classes > 1")
-    total = mixed.filter(F.col("symbols") <= crowded).agg(F.sum(F.col("n") + min_bytes - 1)).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    cut = saved(spark, cut_pieces(mixed, texts, "bytes", min_bytes), "cut")
-    by_shard = cut.filter(F.col("symbols") <= crowded).select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "g", "size", "data")
-    parts = [alone, by_shard.groupBy("shard").applyInArrow(_shard(min_bytes), "h long, g long, off int, len int")]
-    windows = window_rows(cut.filter(F.col("symbols") > crowded), "bytes", min_bytes)
-    again = windows.groupBy("h", "w").agg(F.sum("size").alias("n")).filter("n > 1").select("h", "w")
-    parts.append(windows.join(again, ["h", "w"]).select("h", "g", "off", F.lit(1).alias("len")))
-    decided = saved(spark, parts[0].unionByName(parts[1]).unionByName(parts[2]), "decided")
-    return pieces.join(decided, ["h", "g"]).select(*KEY, (F.col("at") + F.col("off")).alias("at"), F.col("len").alias("n"))
-
-
-def removed_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, with_text: bool = False, crowded: int = CROWDED_BYTES, over_words: int | None = None, sure_bytes: int = MIN_BYTES) -> DataFrame:
+
+    def judge(found: DataFrame) -> DataFrame:
+        # an anchor with one class: its pieces are equal, so each start of each occurs again
+        alone = found.filter("classes = 1").select("h", "g", F.lit(0).alias("off"), F.col("n").alias("len"))
+        mixed = shards(found.filter("classes > 1"), texts, "bytes", min_bytes, SHARD_BYTES)
+        rows = mixed.select("shard", "h", "g", "size", "data").groupBy("shard").applyInArrow(_shard(min_bytes), "h long, g long, off int, len int")
+        return saved(texts.sparkSession, alone.unionByName(rows), "judged")
+
+    gram = min(gram, min_bytes)
+    pieces = find_pieces(texts, "bytes", min_bytes, gram)
+    found = judged(pieces, texts, "bytes", min_bytes, gram, most, judge)
+    return pieces.join(found, ["h", "g"]).select(*KEY, (F.col("at") + F.col("off")).alias("at"), F.col("len").alias("n"))
+
+
+def removed_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, with_text: bool = False, most: int = ANCHOR_BYTES, over_words: int | None = None, sure_bytes: int = MIN_BYTES) -> DataFrame:
     """For each text key of docs (doc_id, text) that loses bytes: k1, k2, whole (all bytes go),
     n_removed, n_spans, kept_sha256, spans, and with_text the bytes kept. With over_words a
     run of repeated bytes goes only if it has more words than that, or sure_bytes bytes."""
     texts = distinct_texts(docs)
-    found = repeats(texts, min_bytes, gram, crowded).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("starts"))
+    found = repeats(texts, min_bytes, gram, most).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("starts"))
     whole = (F.col("copies") > 1) & (F.octet_length("text") >= min_bytes)
     if over_words is not None:
         n_words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
@@ -210,10 +207,10 @@ def removed_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM,
     return saved(docs.sparkSession, part.unionByName(full), "spans")
 
 
-def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, crowded: int = CROWDED_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, most: int = ANCHOR_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every row of docs."""
     docs = docs.select("doc_id", "text")
-    found = removed_spans(docs, min_bytes, gram, crowded=crowded).drop("kept", "whole").withColumnRenamed("kept_sha256", "own_sha256")
+    found = removed_spans(docs, min_bytes, gram, most=most).drop("kept", "whole").withColumnRenamed("kept_sha256", "own_sha256")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha256"), *text_key(text))
     zero = F.lit(0).cast("long")
