@@ -1,16 +1,18 @@
 """Near duplicates by min-max hashing.
 
-A document is the set of its two-word shingles (A-Z folded; a single word is a set of
-one; no words: the empty set, linked with nothing). Each of `permutations` hash
+A document is the set of its shingles of `width` words (A-Z folded; fewer words are a set of
+one, all of them; no words: the empty set, linked with nothing). Each of `permutations` hash
 functions gives two signature values, the smallest and the largest hash of the set:
 half the evaluations of plain minwise hashing for as many values, of lower variance.
 Bands of `rows` values are bucket keys; with 40 bands of 6 values a pair of similarity
 0.8 shares no bucket with odds of 5e-6, and less above.
 
 Links are confirmed on full sets. Within buckets the number of comparisons stays linear
-in practice without dropping any: first each document is compared with the least leader
-of its buckets; then, per bucket, the leaders of different components; and at last what
-still meets in buckets without being connected is compared in blocks (see rest). Pairs
+without dropping any: first each document is compared with the least leader of its buckets;
+then, per bucket, the leaders of different components. What still meets in buckets without
+being connected goes through a prefix filter: of two sets of similarity 0.8 the rarest fifth
+of each holds a common shingle, whatever order decides what is rare, so documents that share
+none with another component cannot link. The rest is compared in blocks (see rest). Pairs
 already connected add nothing to components.
 
 Equal texts are one node. Rows with equal ids are one document. Null ids count as one
@@ -26,29 +28,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import labels
 from .common import chunks, runs, saved
 from .repeats import KEY, distinct_texts, text_key
-from .textkit import U64, Words, mix
+from .textkit import U64, Words, mix, prefix_sums, rolling, span_hash
 
-PERMUTATIONS, ROWS, PERCENT = 120, 6, 80
+WIDTH, PERMUTATIONS, ROWS, PERCENT = 5, 120, 6, 80
+#: Slots of the table that tells rare shingles from common ones, a few bytes each.
+SLOT_BITS = 20
 #: Bytes of text in a block of the last comparison.
 BLOCK_BYTES = 2 << 20
 _MAX = (1 << 63) - 1
 
 
-def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, each text's sorted, and the text bounds."""
     words = Words(texts, lower=True)
-    h, first, n = words.hash, words.first, words.counts
-    pair = mix(h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else np.empty(0, U64)
-    last = np.zeros(len(h), bool)
-    last[first[1:][n > 0] - 1] = True
-    keep = ~last
-    single = first[:-1][n == 1]
-    value = np.append(pair, U64(0))[: len(h)]
-    value[single] = mix(h[single] + U64(1))
-    keep[single] = True
-    owner, value = words.owner()[keep], value[keep]
+    first, n = words.first[:-1], words.counts
+    fits = np.maximum(n - width + 1, 0)
+    few = np.flatnonzero((n > 0) & (n < width))
+    value = np.append(rolling(words.hash, width)[runs(first, fits)] if fits.any() else np.empty(0, U64), span_hash(prefix_sums(words.hash), first[few], first[few] + n[few]) if len(few) else np.empty(0, U64))
+    owner = np.append(np.repeat(np.arange(len(n)), fits), few)
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     new = np.ones(len(value), bool)
@@ -76,12 +76,12 @@ def band_keys(values: np.ndarray, bounds: np.ndarray, permutations: int, rows: i
     return mix(key + np.arange(1, bands + 1, dtype=U64)[:, None] * U64(0xC2B2AE3D27D4EB4F)).T
 
 
-def signatures(texts: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+def signatures(texts: DataFrame, width: int = WIDTH, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """k1, k2, first_id, n_shingles and bands (empty for an empty set) of distinct texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            values, bounds = shingles(b.column(3).to_pylist())
+            values, bounds = shingles(b.column(3).to_pylist(), width)
             n = np.diff(bounds)
             keys = band_keys(values, bounds, permutations, rows) if n.any() else np.empty((0, 1), U64)
             offsets = np.append(0, np.cumsum((n > 0) * keys.shape[1]))
@@ -91,14 +91,14 @@ def signatures(texts: DataFrame, permutations: int = PERMUTATIONS, rows: int = R
     return texts.select(*KEY, "first_id", "text").mapInArrow(run, "k1 long, k2 long, first_id long, n_shingles long, bands array<bigint>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets have 100 * intersection >= percent * union."""
     rows = pairs.join(texts.select(F.col("first_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("first_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "ta"):
             n = b.num_rows
-            values, bounds = shingles(b.column(2).to_pylist() + b.column(3).to_pylist())
+            values, bounds = shingles(b.column(2).to_pylist() + b.column(3).to_pylist(), width)
             size = np.diff(bounds)
             owner = np.repeat(np.append(np.arange(n), np.arange(n)), size)
             order = np.lexsort((values, owner))
@@ -112,22 +112,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node that each one reaches. Labels spread over links and
-    then double their reach, written out each round, until a round changes none."""
+    """node, label: the smallest node that each one reaches."""
     spark = edges.sparkSession
-    both = saved(spark, edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))), "edges")
-    labels = saved(spark, both.groupBy("node").agg(F.least("node", F.min("to")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("to"), F.col("label").alias("near")), "to").groupBy("node").agg(F.min("near").alias("near"))
-        spread = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        spread = saved(spark, spread.join(up, "label").select("node", F.least("label", "up").alias("label"), "old"), "labels")
-        labels = spread.select("node", "label")
-        if spread.filter("label <> old").isEmpty():
-            return labels
-
-
-def links(texts: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFrame:
+    return labels(edges, lambda df, label: saved(spark, df, label)).withColumnRenamed("id", "node")
+
+
+def links(texts: DataFrame, marks: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """a, b (a < b): confirmed links that connect all near duplicates among the texts."""
     spark = texts.sparkSession
     rows = marks.select("first_id", F.explode("bands").alias("bucket"))
@@ -138,12 +128,11 @@ def links(texts: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFra
     chosen = saved(spark, texts.join(wanted, list(KEY)).select("first_id", "text"), "candidates")
     pairs = members.filter("leader < first_id").groupBy(F.col("first_id").alias("b")).agg(F.min("leader").alias("a"))
     tried = saved(spark, pairs.select("a", "b"), "tried")
-    found = saved(spark, confirmed(tried, chosen, percent), "links")
+    found = saved(spark, confirmed(tried, chosen, width, percent), "links")
 
     def apart(found: DataFrame) -> DataFrame:
         """Members, with labels, of the buckets that hold more than one component."""
-        labels = components(found)
-        own = members.join(labels.withColumnRenamed("node", "first_id"), "first_id", "left").select("bucket", "first_id", F.coalesce("label", "first_id").alias("label"))
+        own = members.join(components(found).withColumnRenamed("node", "first_id"), "first_id", "left").select("bucket", "first_id", F.coalesce("label", "first_id").alias("label"))
         mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
         return saved(spark, own.join(mixed, "bucket"), "apart")
 
@@ -152,25 +141,63 @@ def links(texts: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFra
     least = heads.groupBy("bucket").agg(F.min("b").alias("a"))
     pairs = heads.join(least, "bucket").filter("a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     tried = saved(spark, tried.unionByName(pairs), "tried")
-    found = saved(spark, found.unionByName(confirmed(tried.join(found, ["a", "b"], "left_anti"), chosen, percent)), "links")
+    found = saved(spark, found.unionByName(confirmed(tried.join(found, ["a", "b"], "left_anti"), chosen, width, percent)), "links")
+
+    return saved(spark, found.unionByName(rest(apart(found), chosen, width, percent)), "links")
+
 
-    return saved(spark, found.unionByName(rest(apart(found), chosen, percent)), "links")
+def in_play(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of rows (first_id, label, text) those that may link with another label, with their group:
+    grp, label, first_id, text. Labels that share a shingle among the rarest that a link must
+    have one of are in one group. How rare a shingle is comes from a table of 2 ** SLOT_BITS
+    counts; any order that is the same for all documents makes the filter exact."""
+    spark = rows.sparkSession
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for b in chunks(batches):
+            values, _ = shingles(b.column(0).to_pylist(), width)
+            total += np.bincount((values >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+        slot = np.flatnonzero(total)
+        yield pa.record_batch({"slot": slot.astype(np.int32), "n": total[slot]})
+
+    counts = rows.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    common = np.zeros(1 << SLOT_BITS, np.uint32)
+    common[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 0xFFFFFFFF)
+    shared = spark.sparkContext.broadcast(common)
 
-def rest(own: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            values, bounds = shingles(b.column(2).to_pylist(), width)
+            size = np.diff(bounds)
+            owner = np.repeat(np.arange(b.num_rows), size)
+            order = np.lexsort((values, shared.value[(values >> U64(64 - SLOT_BITS)).astype(np.int64)], owner))
+            # a link has an intersection of percent of either set at least
+            prefix = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
+            at = order[runs(bounds[:-1], prefix)]
+            take = pa.array(owner[at])
+            yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), b.column(0).take(take), b.column(1).take(take)], names=["token", "first_id", "label"])
+
+    tokens = saved(spark, rows.select("first_id", "label", "text").mapInArrow(rare, "token long, first_id long, label long"), "rare")
+    mixed = tokens.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a < z").drop("z")
+    met = saved(spark, tokens.join(mixed, "token").select("first_id", "label", "a").distinct(), "met")
+    groups = components(met.filter("a < label").select("a", F.col("label").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("grp"))
+    return rows.join(met.select("first_id").distinct(), "first_id").join(groups, "label").select("grp", "label", "first_id", "text")
+
+
+def rest(own: DataFrame, chosen: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between members (first_id, label) of buckets that hold several components.
 
-    Components that meet in a bucket form a group. A group's texts go to blocks of bounded
-    size, and every two blocks of it meet once; small groups share a block of their own.
-    Inside, posting lists count the intersections of the texts outside a group's largest
-    component with all others: only links come out, not the pairs compared.
+    What the prefix filter leaves goes to blocks of bounded size by group, and every two blocks
+    of a group meet once; small groups share a block of their own. Inside, posting lists count
+    the intersections of the texts outside a group's largest component with all others of a
+    size that can link: only links come out, not the pairs compared.
     """
     spark = own.sparkSession
-    least = own.groupBy("bucket").agg(F.min("label").alias("a"))
-    meet = own.join(least, "bucket").filter("a < label").select("a", F.col("label").alias("b")).distinct()
-    groups = components(meet).select(F.col("node").alias("label"), F.col("label").alias("grp"))
-    rows = own.select("first_id", "label").distinct().join(groups, "label").join(chosen, "first_id").select("grp", "label", "first_id", "text")
-    rows = saved(spark, rows, "rest")
+    rows = saved(spark, own.select("first_id", "label").distinct().join(chosen, "first_id"), "unconnected")
+    if rows.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    rows = saved(spark, in_play(rows, width, percent), "rest")
     sizes = rows.groupBy("grp").agg(F.sum(F.octet_length("text") + 64).alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     sizes = sizes.select("grp", F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("blocks"))
@@ -179,13 +206,13 @@ def rest(own: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     small = F.col("blocks") == 1
     shelf = F.pmod(F.xxhash64("grp"), F.lit(max(1, total // BLOCK_BYTES)))
     dealt = dealt.select(F.when(small, -1).otherwise(F.col("grp")).alias("set"), F.when(small, shelf).otherwise(F.least("mine", "other")).alias("i"), F.when(small, -1).otherwise(F.greatest("mine", "other")).alias("j"), "grp", "label", "first_id", "text")
-    return dealt.groupBy("set", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    return dealt.groupBy("set", "i", "j").applyInArrow(_compare(width, percent), "a long, b long")
 
 
-def _compare(percent: int):
+def _compare(width: int, percent: int):
     def run(part: pa.Table) -> pa.Table:
         grp, label, node = (part.column(c).to_numpy() for c in ("grp", "label", "first_id"))
-        values, bounds = shingles(part.column("text").to_pylist())
+        values, bounds = shingles(part.column("text").to_pylist(), width)
         size = np.diff(bounds)
         owner = np.repeat(np.arange(len(grp)), size)
         values = mix(values + grp[owner].astype(U64) * U64(0x9E3779B97F4A7C15))
@@ -223,14 +250,14 @@ def _compare(percent: int):
     return run
 
 
-def dedup(docs: DataFrame, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     texts = distinct_texts(docs)
-    marks = saved(spark, signatures(texts, permutations, rows), "signatures")
-    labels = components(links(texts, marks, percent)).withColumnRenamed("node", "first_id")
-    found = marks.select(*KEY, "first_id", "n_shingles").join(labels, "first_id", "left").select(*KEY, "n_shingles", F.coalesce("label", "first_id").alias("label"))
+    marks = saved(spark, signatures(texts, width, permutations, rows), "signatures")
+    found = components(links(texts, marks, width, percent)).withColumnRenamed("node", "first_id")
+    found = marks.select(*KEY, "first_id", "n_shingles").join(found, "first_id", "left").select(*KEY, "n_shingles", F.coalesce("label", "first_id").alias("label"))
     out = docs.select("doc_id", *text_key(F.coalesce("text", F.lit("")))).join(found, list(KEY), "left")
     own = F.col("doc_id").cast("long")
     component = F.when(F.col("n_shingles") == 0, own).otherwise(F.nullif("label", F.lit(_MAX)))

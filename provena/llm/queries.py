@@ -31,7 +31,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.dedup(table(spark, sf_dir, "documents"))
+    return near_dedup.dedup(table(spark, sf_dir, "documents"), width=2)
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

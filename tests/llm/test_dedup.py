@@ -27,10 +27,10 @@ def suffix_brute(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize("length,gram,crowded", [(400, 48, 4 << 20), (40, 8, 4 << 20), (40, 8, 0), (7, 3, 100)])
-def test_suffix_dedup(spark, length, gram, crowded):
+@pytest.mark.parametrize("length,gram,most", [(400, 48, 1 << 20), (40, 8, 1 << 20), (40, 8, 0), (40, 8, 300), (7, 3, 100)])
+def test_suffix_dedup(spark, length, gram, most):
     rows = hard_rows()
-    got = suffix_dedup.dedup(frame(spark, rows), length, gram, crowded).drop("spans").collect()
+    got = suffix_dedup.dedup(frame(spark, rows), length, gram, most).drop("spans").collect()
     assert Counter(map(tuple, got)) == suffix_brute(rows, length)
 
 
@@ -95,17 +95,31 @@ def phrase_brute(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("window,gram,crowded", [(20, 4, 400_000), (5, 2, 400_000), (5, 2, 0)])
-def test_phrase_dedup(spark, window, gram, crowded):
+@pytest.mark.parametrize("window,gram,most", [(20, 4, 400_000), (5, 2, 400_000), (5, 2, 0), (5, 2, 40), (20, 4, 0)])
+def test_phrase_dedup(spark, window, gram, most):
     rows = hard_rows()
-    got = phrase_dedup.dedup(frame(spark, rows), window, gram, crowded).drop("spans").collect()
+    got = phrase_dedup.dedup(frame(spark, rows), window, gram, most).drop("spans").collect()
     assert Counter(map(tuple, got)) == phrase_brute(rows, window)
 
 
-def near_brute(rows, percent=80):
+def test_phrases_come_from_the_automata():
+    """A shard's rows are the automaton's: without the windows it is made of nothing is found."""
+    import pyarrow as pa
+
+    part = pa.table({"h": [1, 1], "g": [2, 3], "size": [3, 1], "first_id": [5, 4], "k1": [0, 0], "k2": [0, 0], "at": pa.array([7, 2], pa.int32()), "data": [b"a b c d", b"x b c d e"]})
+    got = phrase_dedup._shard(3)(part).to_pylist()
+    assert [(r["g"], r["off"], r["len"], r["not_first"]) for r in got] == [(2, 0, 1, False), (2, 1, 1, True)]
+    words, starts = phrase_dedup.recurring([b"a b c d", b"x b c d e"], np.array([True, False]), 3)
+    assert len(starts) == 2
+    piece, off, number = phrase_dedup.occurrences(words, starts, 3)
+    assert sorted(zip(piece.tolist(), off.tolist())) == [(0, 0), (0, 1), (1, 1)]
+    assert not len(phrase_dedup.occurrences(words, starts[:0], 3)[0])
+
+
+def near_brute(rows, percent=80, width=2):
     def shingles(t):
         w = words(t, fold=True)
-        return {tuple(w[k : k + 2]) for k in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} if w else set()
+        return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
     sets = [(i, shingles(t)) for i, t in rows]
     ids = sorted({i for i, _ in rows if i is not None})
@@ -125,10 +139,11 @@ def near_brute(rows, percent=80):
     return Counter((i, len(s), None if i is None else find(i) if s else i, True) for i, s in sets)
 
 
-def test_near_dedup(spark):
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_dedup(spark, width):
     rows = hard_rows()
-    got = near_dedup.dedup(frame(spark, rows)).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id, True) for r in got) == near_brute(rows)
+    got = near_dedup.dedup(frame(spark, rows), width).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, True) for r in got) == near_brute(rows, width=width)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
@@ -144,13 +159,32 @@ def test_near_dedup_of_a_spread_group(spark):
         text = [rng.choice(vocab) if rng.random() < i / 800 else w for w in base]
         rows.append((i, " ".join(text)))
     rows += [(500 + i, " ".join(rng.choice(vocab) for _ in range(60))) for i in range(30)]
-    got = near_dedup.dedup(frame(spark, rows)).collect()
+    got = near_dedup.dedup(frame(spark, rows), width=2).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id, True) for r in got) == near_brute(rows)
 
 
+def test_half_alike_texts_are_not_compared(spark):
+    """Thousands of texts that share two thirds of their words: they meet in buckets, but only
+    the few that can link stay in play."""
+    import random
+
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(i, " ".join(common + [f"w{rng.randrange(10**9)}" for _ in range(18)])) for i in range(2000)]
+    texts = near_dedup.distinct_texts(frame(spark, rows, extra=False))
+    marks = near_dedup.signatures(texts, 2)
+    buckets = marks.selectExpr("first_id", "explode(bands) as bucket").groupBy("bucket").count()
+    assert buckets.filter("count > 1").agg({"count": "sum"}).first()[0] > 2000
+    own = texts.selectExpr("first_id", "first_id as label", "text")
+    assert near_dedup.in_play(own, 2, 80).count() == 0
+    again = own.union(own.filter("first_id < 3").selectExpr("first_id + 5000", "label + 5000", "concat(text, ' more')"))
+    assert sorted(r.first_id for r in near_dedup.in_play(again, 2, 80).collect()) == [0, 1, 2, 5000, 5001, 5002]
+    assert near_dedup.links(texts, marks, 2).count() == 0
+
+
 def test_signature_estimates(spark):
     a, b = " ".join(f"a{k}" for k in range(201)), " ".join(f"a{k}" for k in range(20, 221))
-    values, bounds = near_dedup.shingles([a, b])
+    values, bounds = near_dedup.shingles([a, b], 2)
     keys = near_dedup.band_keys(values, bounds, 4000, 1)
     same, true = (keys[0] == keys[1]).mean(), 180 / 220
     assert abs(same - true) < 0.03
