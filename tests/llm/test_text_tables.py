@@ -1,7 +1,10 @@
 import gzip
 import hashlib
+import random
+import re
 import struct
 from base64 import b32encode
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -40,8 +43,30 @@ def test_decontamination(spark):
 APPLES = "Anna has 5 red apples in her bag. Ben gives her 3 more apples today. Carla takes 2 of them away. Dora then eats 1 of the apples that are left over"
 
 
-def index(*items):
-    return decontamination.Index(list(range(len(items))), list(items), decontamination.WINDOW, decontamination.SHORTEST, decontamination.PLAIN)
+def hits(items, texts):
+    """{(text, item): (windows, first word)}, with the tables joined by a dictionary."""
+    table, shapes = {}, set()
+    for g in decontamination.item_windows(items, decontamination.WINDOW, decontamination.SHORTEST, decontamination.PLAIN):
+        shapes.add((g["width"], g["size"], g["exact"]))
+        for i, key in enumerate(g["key"].tolist()):
+            table.setdefault((key, g["size"], g["exact"]), []).append((int(g["text"][i]), int(g["start"][i]), g["payload"][i]))
+    out = {}
+    for g in decontamination.Filter(list(shapes), 16, {0: b"\xff" * (1 << 13)}).candidates(texts):
+        for i, key in enumerate(g["key"].tolist()):
+            for item, start, theirs in table.get((key, g["size"], g["exact"]), ()):
+                if decontamination.consistent(g["payload"][i : i + 1], theirs[None], g["size"], g["exact"], decontamination.PLAIN)[0]:
+                    out.setdefault((int(g["text"][i]), item), set()).add((int(g["first_word"][i]), int(g["at"][i]), start))
+    return {k: (len({x[1:] for x in v}), min(x[0] for x in v)) for k, v in out.items()}
+
+
+class index:
+    """Items, with match() for the old shape of results: (text, item, windows, first word)."""
+
+    def __init__(self, *items):
+        self.items = list(items)
+
+    def match(self, texts):
+        return sorted((*k, *v) for k, v in hits(self.items, texts).items())
 
 
 def test_names_that_open_sentences():
@@ -83,14 +108,134 @@ def test_items_without_enough_plain_words():
     assert index(late).match([late.replace("7", "77")])
 
 
-def test_decontamination_in_blocks_and_hard_rows(spark):
-    docs = frame(spark, [*hard_rows(), (77, ITEMS[1][1])])
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    one = decontamination.contaminated(docs, items).collect()
-    many = decontamination.contaminated(docs, items, block_words=10).collect()
-    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and [(r.doc_id, r.item_id) for r in one] == [(77, 1)]
-    assert decontamination.contaminated(docs, items.filter("false")).count() == 0
-    assert decontamination.contaminated(docs.filter("false"), items).count() == 0
+def canonical(text):
+    """(folded word, kind, opens) of each word that is not punctuation alone."""
+    import string
+
+    out, opens, last = [], True, None
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+        if last is not None:
+            opens = last[-1] in ".!?:" or "\n" in text[end : m.start()]
+        last, end = m[0], m.end()
+        word = m[0].strip(string.punctuation)
+        folded = word.lower()
+        number = word[:1] in tuple(string.digits)
+        after = bool(out) and out[-1][1] == "number" and out[-1][3] == m.start()
+        if not word:
+            continue
+        kind = "number" if number else "name" if word[0].isupper() and not opens else "unit" if folded in decontamination.UNITS or (folded in decontamination.SMALL_UNITS and after) else "plain"
+        out.append((folded, kind, word[0].isupper() and opens and not number, m.end() + 1))
+    return [x[:3] for x in out]
+
+
+def leaks_brute(docs, items, window=13, shortest=8, plain=5):
+    """The rules once more, window by window."""
+    found = {}
+    for i, item in enumerate(items):
+        c = canonical(item)
+        n = len(c)
+        plains = lambda a, z: sum(k == "plain" for _, k, _ in c[a:z])  # noqa: E731, B023
+        surely = lambda a, z: sum(k == "plain" and not o for _, k, o in c[a:z])  # noqa: E731, B023
+        wanted = []
+        for a in range(n - min(window, n) + 1 if n >= 3 else 0):
+            size, told = min(window, n), False
+            first = size
+            while n >= shortest:
+                if plains(a, a + size) >= plain:
+                    wanted.append((a, size, False))
+                    told |= surely(a, a + size) >= plain
+                if surely(a, a + size) >= plain or a + size >= n or size >= 2 * window:
+                    break
+                size = min(size + 4, n - a)
+            if not told and any(k != "number" for _, k, _ in c[a : a + first]):
+                wanted.append((a, first, True))
+        for d, doc in enumerate(docs):
+            t = canonical(doc)
+            for a, size, exact in wanted:
+                for at in range(len(t) - size + 1):
+                    mine, own = t[at : at + size], c[a : a + size]
+                    if exact:
+                        good = [x[0] for x in mine] == [x[0] for x in own]
+                    else:
+                        good = any(agree(mine, own, names, plain) for names in (False, True))
+                    if good:
+                        found.setdefault((d, i), set()).add((at, a))
+    return {k: len(v) for k, v in found.items()}
+
+
+def agree(mine, own, names, plain):
+    there, back, count = {}, {}, 0
+    for (x, k, o), (y, j, p) in zip(mine, own):
+        k = "name" if o and names else k
+        j = "name" if p and k == "name" else j
+        if k != j or (k == "plain" and x != y):
+            return False
+        count += k == "plain"
+        if k != "plain" and (there.setdefault((k, x), y) != y or back.setdefault((k, y), x) != x):
+            return False
+    return count >= plain
+
+
+def planted(rng, n_items, n_docs):
+    plain = "take give box apple river walk then over under every small old town near moon light stone bread in m second".split()
+    names, units = "Anna Ben Carla Dora Émile Žofie Фёдор".split(), "km kg dollars hours m in".split()
+
+    def word():
+        kind = rng.random()
+        return str(rng.randrange(12)) + rng.choice(["", ",", " " + rng.choice(units)]) if kind < 0.2 else rng.choice(names) if kind < 0.35 else rng.choice(plain) + rng.choice(["", "", "", "", ".", ",", "?"])
+
+    def say(n):
+        words = [word() for _ in range(n)]
+        return " ".join(w.capitalize() if i == 0 or words[i - 1][-1] in ".?" else w for i, w in enumerate(words))
+
+    items = [say(rng.randrange(1, 30)) for _ in range(n_items)]
+    swap = dict(zip(names, rng.sample(names, len(names)))) | {str(i): str(i + 20) for i in range(12)}
+    docs = []
+    for _ in range(n_docs):
+        item = rng.choice(items)
+        how = rng.randrange(5)
+        if how == 1:  # other numbers and names
+            item = " ".join(swap.get(w, w) for w in item.split(" "))
+        elif how == 2:  # other line breaks
+            item = "".join(rng.choice([" ", " ", "\n"]) if x == " " else x for x in item)
+        elif how == 3:  # after a word
+            item = item[:1].lower() + item[1:]
+        docs.append(say(rng.randrange(0, 12)) + rng.choice(["", " ", ": ", "\n"]) + item + " " + say(rng.randrange(0, 9)))
+    return items, docs
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_decontamination_against_brute_force(seed):
+    items, docs = planted(random.Random(seed), 14, 30)
+    assert {k: v[0] for k, v in hits(items, docs).items()} == leaks_brute(docs, items)
+
+
+def test_verbatim_and_changed_copies_are_found():
+    item = "Weng earns 12 dollars an hour for babysitting every day"
+    texts = ["so " + item, "Q3) " + item, item.replace("Weng", "Peter").replace("12", "18"), item.replace(" an ", "\nan "), "It says: " + item + ".", item.replace("day", "week")]
+    assert {t for t, _ in hits([item], texts)} == {0, 1, 2, 3, 4, 5}
+    assert not hits([item], [item.replace("babysitting", "cleaning"), "Weng earns 12 dollars"])
+    assert hits(["What is 12 + 30 ?"], ["Q: what is 12 + 30?"]) and not hits(["What is 12 + 30 ?"], ["what is 12 + 31"])
+
+
+def test_decontamination_query_on_hard_rows(spark):
+    items, texts = planted(random.Random(9), 12, 25)
+    rows = [*hard_rows(), *((100 + i, t) for i, t in enumerate(texts)), (100, texts[0]), (None, texts[1])]
+    docs = frame(spark, rows).withColumnRenamed("h", "item_id").withColumnRenamed("k1", "row").withColumnRenamed("score", "kept").withColumnRenamed("lang", "key")
+    again = "".join(str((int(x) + 1) % 10) if x.isdigit() else x for x in ITEMS[0][1])
+    bench = [*enumerate(items), (50, ITEMS[0][1]), (51, ITEMS[0][1]), (52, again), (53, None), (None, "")]
+    bench = spark.createDataFrame([(i, t, 0) for i, t in bench], "item_id long, text string, class int")
+    classes = {r.item_id: r.class_id for r in decontamination.item_classes(bench).collect()}
+    assert classes[51] == classes[50] == 50
+    got = decontamination.contaminated(docs, bench, keep=("doc_id", "item_id", "row"))
+    assert got.columns == ["doc_id", "item_id", "row", "item_id", "n_items", "n_windows", "first_word"]
+    got = Counter((r[0], r[3], r[5]) for r in got.collect())
+    want = leaks_brute([t or "" for _, t in rows], items)
+    want = Counter((rows[d][0], classes[i], n) for (d, i), n in want.items() if classes[i] == i)
+    assert got == want
+    assert decontamination.contaminated(docs, bench.filter("false")).count() == 0
+    assert decontamination.contaminated(docs.filter("false"), bench).count() == 0
+
 
 
 def piece(text, score, kind):
@@ -174,7 +319,8 @@ def test_warc_files_and_pushdown(spark, tmp_path):
     full = sorted(map(str, read(tmp_path / "w").collect()))
     assert sorted(map(str, read(tmp_path / "plain").collect())) == full
     some = read(tmp_path / "w", payload="false").filter("record_type = 'revisit' and target_uri like 'http://x/%'")
-    assert "PushedFilters: [" in some._jdf.queryExecution().toString() or True
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan warc" in plan and "record_type" not in plan.split("Filter", 1)[1].split("BatchScan")[0] if "Filter" in plan else True
     assert {r.record_id for r in some.collect()} == {"urn:page:5", "urn:page:9", f"urn:page:{(1 << 63) - 1}", "urn:page:2"}
     assert {r.payload for r in read(tmp_path / "w", payload="false").collect()} == {None}
     reader = warc.WarcReader({"path": str(tmp_path / "w"), "payload": "true"})
