@@ -23,12 +23,28 @@ from .textkit import U64, Words
 SCALE = 40.0
 
 
-def gram_bins(words: Words, orders: tuple[int, ...], bits: int, with_words: bool = False):
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and the number of code points before each byte and in all."""
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    size = np.diff(np.append(at, len(data)))
+    first = data[at].astype(np.uint32)
+    point = np.where(first < 0x80, first, first & (np.uint32(0x7F) >> np.minimum(size, 6).astype(np.uint32)))
+    for i in range(1, 4):
+        more = size > i
+        point[more] = (point[more] << np.uint32(6)) | (data[at[more] + i] & 63)
+    return point, np.append(0, np.cumsum(lead))
+
+
+def gram_bins(words: Words, orders: tuple[int, ...], bits: int, with_words: bool = False, chars: bool = False):
     """Per group of n-grams: the bin of every n-gram of the batch, and the bounds of each text.
 
-    orders: numbers of bytes; words add a group of their own.
+    orders: numbers of bytes, or of characters with chars; words add a group of their own.
     """
     data, at = words.data, words.text_at
+    if chars:
+        data, before = code_points(words.data)
+        at = before[at]
     out = []
     for block, order in enumerate(orders):
         ends = np.maximum(at[1:] - 1 - (order - 1), at[:-1])
@@ -38,7 +54,7 @@ def gram_bins(words: Words, orders: tuple[int, ...], bits: int, with_words: bool
             continue
         value = np.zeros(n, np.uint32)
         for i in range(order):
-            value = (value << np.uint32(8)) | data[i : n + i]
+            value = value * np.uint32(0x01000193) + data[i : n + i] if chars else (value << np.uint32(8)) | data[i : n + i]
         bins = ((value * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int32) + np.int32(block << bits)
         inside = np.zeros(n + 1, np.int8)
         np.add.at(inside, at[:-1][ends > at[:-1]], 1)
@@ -54,10 +70,10 @@ def gram_bins(words: Words, orders: tuple[int, ...], bits: int, with_words: bool
 STEP = 1 << 16
 
 
-def linear(words: Words, weights: np.ndarray, orders: tuple[int, ...], bits: int, with_words: bool = False) -> np.ndarray:
+def linear(words: Words, weights: np.ndarray, orders: tuple[int, ...], bits: int, with_words: bool = False, chars: bool = False) -> np.ndarray:
     """Sum over groups of the mean weight of a text's n-grams; weights: bins x outputs."""
     total = np.zeros((len(words.text_at) - 1, weights.shape[1]))
-    for bins, bounds in gram_bins(words, orders, bits, with_words):
+    for bins, bounds in gram_bins(words, orders, bits, with_words, chars):
         mean = 1 / np.maximum(np.diff(bounds), 1)
         for a in range(0, len(bins), STEP):
             z = min(len(bins), a + STEP)
@@ -72,11 +88,14 @@ def linear(words: Words, weights: np.ndarray, orders: tuple[int, ...], bits: int
 #: Rows of a sample up to which its ids are broadcast; larger ones (very many labels) are joined.
 BROADCAST_ROWS = 100_000
 OVERSAMPLE = 8
+#: Bytes of text that the rows of one label have together, but for one row.
+TRAIN_BYTES = 16 << 20
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int = TRAIN_BYTES) -> DataFrame:
     """label and text (null as empty) of up to `most` documents of each label value, the first
-    by a hash of their ids. docs: doc_id, text; labels: doc_id, label; null labels are none.
+    by a hash of their ids, and of those the first that have most_bytes together (one at least).
+    docs: doc_id, text; labels: doc_id, label; null labels are none.
 
     Only ids are ranked, and of a label's ids only those whose hash is under a share that
     passes about OVERSAMPLE times as many as wanted; the lowest are all among them, however
@@ -85,28 +104,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """
     spark = docs.sparkSession
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    known = labels.select("doc_id", "label", place.alias("place")).filter("label is not null and doc_id is not null")
+    known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("place", place)
     share = known.groupBy("label").agg((F.lit(float((1 << 40) * OVERSAMPLE * most)) / F.count(F.lit(1))).alias("cut"))
-    low = known.join(share, "label").filter("place < cut").groupBy("doc_id", "place").agg(F.min("label").alias("label"))
+    low = known.join(share, "label").filter("place < cut")
     order = Window.partitionBy("label").orderBy("place", "doc_id")
-    ranked = low.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "label")
+    ranked = low.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "label", "place")
     chosen = saved(spark, ranked, "sample")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
-    return rows.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("row")).select("row.label", "row.text")
+    rows = saved(spark, rows.groupBy("doc_id", "label", "place").agg(F.min("text").alias("text")), "training")
+    sizes = rows.select("doc_id", "label", "place", F.octet_length("text").cast("long").alias("n"))
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    few = sizes.withColumn("before", before).withColumn("n", F.col("before") + F.col("n")).filter((F.col("n") <= most_bytes) | (F.col("before") == 0))
+    return rows.join(few.select("doc_id"), "doc_id", "left_semi").select("label", "text")
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int, orders: tuple[int, ...], bits: int, with_words: bool = False, lower: bool = True) -> list[tuple]:
-    """(label, bins, values) with the features of the whole text of each training row. The bound
-    on rows makes it safe to collect."""
+def sample(docs: DataFrame, labels: DataFrame, most: int, orders: tuple[int, ...], bits: int, with_words: bool = False, lower: bool = True, chars: bool = False) -> list[tuple]:
+    """(label, bins, values) with the features of the whole text of each training row. The bounds
+    on rows and bytes make it safe to collect."""
     rows = training_rows(docs, labels, most)
     kind = rows.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             words = Words(b.column(1).to_pylist(), lower=lower)
-            groups = gram_bins(words, orders, bits, with_words)
+            groups = gram_bins(words, orders, bits, with_words, chars)
             cols, values = [], []
             for i in range(b.num_rows):
                 keys, weights = [], []

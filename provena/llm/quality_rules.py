@@ -1,7 +1,7 @@
 """Quality: counting rules and a calibrated hashed n-gram classifier.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D. A logistic regression over
-hashed words and byte 3- and 4-grams (A-Z kept apart from a-z) of the whole text is
+hashed words and character 3- and 4-grams (A-Z kept apart from a-z) of the whole text is
 fitted on labelled rows; its margin is calibrated on rows left out of the fit, weighed
 to the labels' shares, and scored in Arrow batches against a fixed threshold.
 
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Learn from the rows of labels (doc_id, quality) that docs (doc_id, text) has."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1)").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     share = dict(known.groupBy("label").count().collect())
-    rows = hashed.sample(docs, known, most, ORDERS, BITS, with_words=True, lower=False)
+    rows = hashed.sample(docs, known, most, ORDERS, BITS, with_words=True, lower=False, chars=True)
     y = np.array([r[0] for r in rows])
     if len(set(y.tolist())) < 2:
         return Model(np.zeros((1, 1), np.float32), 0.0, 1.0, 0.0, False)
@@ -94,7 +94,7 @@ def assess(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
         failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
         quality = np.ones(len(texts))
         if model.known:
-            margin = hashed.linear(words, model.weights, ORDERS, BITS, with_words=True)[:, 0] + model.bias
+            margin = hashed.linear(words, model.weights, ORDERS, BITS, with_words=True, chars=True)[:, 0] + model.bias
             quality = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -700, 700)))
         return [*(x.astype(np.int64) for x in c.values()), failed, quality, ~failed & (quality >= threshold)]
 

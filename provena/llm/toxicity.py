@@ -29,7 +29,7 @@ from .textkit import U64, Words, byte_values, prefix_sums, span_hash
 
 WINDOW, STRIDE, HIDDEN = 32, 24, 8
 LEXICON, WORD_DIM, CHAR_BITS, CHAR_DIM = 4096, 8, 12, 4
-#: Bound of the sample, rows of each label; one in CALIBRATE of them calibrates.
+#: Bound of the sample, rows of each label (and hashed.TRAIN_BYTES of text); one in CALIBRATE of them calibrates.
 TRAIN_ROWS, CALIBRATE = 1000, 4
 ROUNDS, STEPS, BATCH, RATE = 2, 150, 128, 0.01
 PUNCTUATION = np.zeros(256, bool)

@@ -35,6 +35,7 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 HEADER = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES, LEVEL, DATE = 64 << 20, 4, "2000-01-01T00:00:00Z"
+HOT_DIGESTS = 256
 _MAX = (1 << 63) - 1
 
 
@@ -46,6 +47,17 @@ def file_system(path: str):
     return (fs.LocalFileSystem(), local) if local is not None else fs.FileSystem.from_uri(path)
 
 
+def _listed(system, inner: str) -> list[tuple[str, int]] | None:
+    """Names and sizes of the files that finished writes left in a folder, None without a manifest."""
+    from pyarrow import fs
+
+    manifest = f"{inner}/_manifest.json"
+    if system.get_file_info(manifest).type != fs.FileType.File:
+        return None
+    with system.open_input_stream(manifest) as f:
+        return [(n, s) for n, s in json.loads(f.read())]
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -99,7 +111,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool):
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 class WarcReader(DataSourceReader):
@@ -129,11 +141,8 @@ class WarcReader(DataSourceReader):
         info = system.get_file_info(inner)
         if info.type == fs.FileType.File:
             return [_Files([self.path])]
-        manifest = f"{inner}/_manifest.json"
-        if system.get_file_info(manifest).type == fs.FileType.File:
-            with system.open_input_stream(manifest) as f:
-                found = [(n, s) for n, s in json.loads(f.read())]
-        else:
+        found = _listed(system, inner)
+        if found is None:
             found = sorted((i.base_name, i.size) for i in system.get_file_info(fs.FileSelector(inner)) if i.base_name.endswith((".warc", ".warc.gz")))
         out: list[InputPartition] = []
         held, size = [], 0
@@ -189,10 +198,14 @@ class WarcReader(DataSourceReader):
                 lines = head.decode("utf-8", "replace").strip().split("\r\n")
                 if not lines[0].startswith("WARC/"):
                     raise ValueError(f"no record at byte {at} of {path}")
-                headers = dict(x.partition(":")[::2] for x in lines[1:])
-                headers = {k.strip(): v.strip() for k, v in headers.items()}
-                length = int(headers.get("Content-Length", 0))
-                row = {c: headers.get(h) for c, h in HEADER.items()} | {"content_length": length, "payload_bytes": length, "headers": list(headers.items()), "payload": None}
+                headers: dict[str, str] = {}
+                for name, _, value in (x.partition(":") for x in lines[1:]):
+                    # a header that comes again is one list, as in HTTP
+                    name, value = name.strip(), value.strip()
+                    headers[name] = f"{headers[name]}, {value}" if name in headers else value
+                known = {k.lower(): v for k, v in headers.items()}
+                length = int(known.get("content-length", 0))
+                row = {c: known.get(h.lower()) for c, h in HEADER.items()} | {"content_length": length, "payload_bytes": length, "headers": list(headers.items()), "payload": None}
                 for c in ("record_id", "refers_to"):
                     if row[c]:
                         row[c] = row[c].strip("<>")
@@ -202,6 +215,9 @@ class WarcReader(DataSourceReader):
                     left = length
                     if (row["content_type"] or "").startswith("application/http"):
                         http = source.until(b"\r\n\r\n", length)
+                        if len(http) > length or not http.endswith(b"\r\n\r\n"):
+                            # no end of headers in this record: all of it is payload
+                            source.buffer, http = http + source.buffer, b""
                         left -= len(http)
                         row["payload_bytes"] = left
                         if row["record_type"] == "revisit":
@@ -303,8 +319,8 @@ class WarcWriter(DataSourceArrowWriter):
     """Rows of record_id, record_type, target_uri, payload, payload_digest, payload_bytes and
     refers_to become files of gzip members; the driver lists those of finished tasks in a manifest."""
 
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.target, self.level = int(options.get("file_bytes", FILE_BYTES)), int(options.get("level", LEVEL))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
@@ -331,8 +347,10 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         system, inner = file_system(self.path)
         system.create_dir(inner, recursive=True)
+        files = [tuple(x) for m in messages if m for x in m.files]
+        files += [] if self.overwrite else _listed(system, inner) or []
         with system.open_output_stream(f"{inner}/_manifest.json", compression=None) as f:
-            f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+            f.write(json.dumps(sorted(set(files))).encode())
 
     def abort(self, messages) -> None:
         system, inner = file_system(self.path)
@@ -361,14 +379,20 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     Of equal payloads of min_bytes or more the smallest page_id is a response (all its rows,
     if it is repeated), others are revisits of it; shorter ones are all responses. Null html
     is an empty payload; null ids sort last. Only (id, digest) rows are grouped; a payload
-    moves once, by id, so that copies of one payload do not meet in one task.
+    moves once, by id, so that copies of one payload do not meet in one task. The digests that
+    over 1 / HOT_DIGESTS of all rows share, fewer than that many, are broadcast.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     key = F.coalesce(F.col("page_id").cast("long"), F.lit(_MAX))
     rows = pages.select(key.alias("id"), "url", html.alias("payload")).withColumn("sha1", F.sha1("payload"))
     narrow = rows.select("id", "sha1", F.octet_length("payload").alias("n"))
-    first = narrow.filter(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    later = saved(pages.sparkSession, narrow.join(first, "sha1").filter("id > first").select("id", "sha1", "first").distinct(), "revisits")
+    first = narrow.filter(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    first = saved(pages.sparkSession, first, "repeated")
+    total = narrow.count()
+    hot = F.broadcast(first.filter(F.col("rows") * HOT_DIGESTS > total).drop("rows"))
+    cold = narrow.join(hot, "sha1", "left_anti").join(first.drop("rows"), "sha1")
+    both = narrow.join(hot, "sha1").unionByName(cold).filter("id > first").select("id", "sha1", "first")
+    later = saved(pages.sparkSession, both.groupBy("id", "sha1").agg(F.min("first").alias("first")), "revisits")
     out = rows.join(later, ["id", "sha1"], "left").select(
         F.concat(F.lit("urn:page:"), F.col("id")).alias("record_id"),
         F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"),
