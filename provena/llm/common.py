@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -17,12 +18,23 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds unpacked at once.
 CHUNK_BYTES = 1 << 18
+#: Bytes of an Arrow batch between Spark and a worker, where the session has Spark's default.
+BATCH_BYTES, _BATCHES, _DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def session(df: DataFrame) -> SparkSession:
+    """The session of df. Batches are bounded by bytes there: a batch of Spark's default size is
+    held several times over, by both sides."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCHES, None) in _DEFAULT:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+    return spark
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the session's checkpoint folder, which all nodes share.
 
@@ -42,7 +54,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 def saved(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """df, written once to the shared folder and read back: lineage ends there and lost
     executors cost no recomputation."""
-    path = shared_dir(spark, label)
+    path = shared_dir(session(df), label)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
@@ -50,11 +62,19 @@ def saved(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Seconds between collections on the driver, and when the last one was.
+RELEASE_S = 2.0
+_released = [0.0]
+
+
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps now: Spark's cleaner removes them once the
-    driver has collected its garbage, by default every half hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of finished steps soon: Spark's cleaner removes them once the
+    driver has collected its garbage, by default every half hour. Steps that are over in no
+    time leave little, and do not collect each."""
+    if time.monotonic() - _released[0] > RELEASE_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = time.monotonic()
 
 
 def local_path(path: str) -> str | None:
@@ -112,10 +132,11 @@ def trim() -> None:
         pass  # another C library, which has no such call
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of rows of about `size` bytes of text each."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of rows of about `size` bytes of text each. text: the column's
+    name, or its place where other columns may have any name."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(text))
+        col = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
         lengths = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
         group = np.cumsum(lengths + 64) // size
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]

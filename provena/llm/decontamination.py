@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, runs, saved
-from .textkit import U64, Words, byte_values, mix, powers, prefix_sums, rolling_sums, span_hash
+from .common import chunks, runs, saved, session
+from .textkit import U64, Words, hash_spans, mix, powers, rolling_sums
 from .toxicity import PUNCTUATION as _PUNCTUATION
 from .toxicity import word_spans
 
@@ -98,7 +98,7 @@ class Canonical:
         words = Words(texts)
         data = words.data
         start, end = word_spans(words)
-        value = span_hash(prefix_sums(byte_values(folded(data))), start, end)
+        value = hash_spans(folded(data), start, end)
         kind = np.full(len(value), LITERAL, np.int8)
         keep = np.ones(len(value), bool)
         opening = np.zeros(len(value), bool)
@@ -129,7 +129,7 @@ class Canonical:
 
 def _hashes(words: list[str]) -> np.ndarray:
     w = Words(words)
-    return np.sort(span_hash(prefix_sums(byte_values(w.data)), w.start, w.end))
+    return np.sort(w.hash)
 
 
 UNIT_HASHES, SMALL_UNIT_HASHES = _hashes(UNITS), _hashes(SMALL_UNITS)
@@ -341,7 +341,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     """keep, item_id, n_items, n_windows and first_word: one row for each row of docs and class of
     items (its least id and its number of items) with a confirmed hit. docs: text and keep;
     benchmark: item_id, text."""
-    spark = docs.sparkSession
+    spark = session(docs)
     windows = saved(spark, windows_of_items(benchmark, window, shortest, plain), "item-windows")
     sizes = windows.select("item_id", "class").groupBy("class").agg(F.min("item_id").alias("item_id"), F.countDistinct(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("n_items"))
     # equal in all of a class but for slot values, of which any will do
@@ -350,7 +350,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     row = docs.select(*keep).schema
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "__text"):
+        for b in chunks(batches, 2):
             for g in shared.value.candidates(b.column(2).to_pylist()):
                 take, n = pa.array(g["text"]), len(g["text"])
                 cols = [b.column(0).take(take), b.column(1).take(take), pa.array(g["key"].view(np.int64)), pa.array(np.full(n, g["size"], np.int32)), pa.array(np.full(n, g["exact"])), pa.array(g["at"].astype(np.int32)), pa.array(g["first_word"].astype(np.int64)), _binary(g["payload"])]

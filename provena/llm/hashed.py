@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import chunks, saved
+from .common import chunks, saved, session
 from .textkit import U64, Words
 
 #: Features are frequencies times this, so that weights of some units can tell texts apart.
@@ -24,16 +24,15 @@ SCALE = 40.0
 
 
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of UTF-8 bytes, and the number of code points before each byte and in all."""
-    lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
+    """The code points of UTF-8 bytes, and the byte that each starts at."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
     size = np.diff(np.append(at, len(data)))
     first = data[at].astype(np.uint32)
     point = np.where(first < 0x80, first, first & (np.uint32(0x7F) >> np.minimum(size, 6).astype(np.uint32)))
     for i in range(1, 4):
         more = size > i
         point[more] = (point[more] << np.uint32(6)) | (data[at[more] + i] & 63)
-    return point, np.append(0, np.cumsum(lead))
+    return point, at
 
 
 def gram_bins(words: Words, orders: tuple[int, ...], bits: int, with_words: bool = False, chars: bool = False):
@@ -43,8 +42,8 @@ def gram_bins(words: Words, orders: tuple[int, ...], bits: int, with_words: bool
     """
     data, at = words.data, words.text_at
     if chars:
-        data, before = code_points(words.data)
-        at = before[at]
+        data, places = code_points(words.data)
+        at = np.searchsorted(places, at)
     out = []
     for block, order in enumerate(orders):
         ends = np.maximum(at[1:] - 1 - (order - 1), at[:-1])
@@ -59,7 +58,7 @@ def gram_bins(words: Words, orders: tuple[int, ...], bits: int, with_words: bool
         inside = np.zeros(n + 1, np.int8)
         np.add.at(inside, at[:-1][ends > at[:-1]], 1)
         np.add.at(inside, ends[ends > at[:-1]], -1)
-        bins = bins[np.cumsum(inside[:-1]) > 0]
+        bins = bins[np.cumsum(inside[:-1], dtype=np.int8) > 0]
         out.append((bins, np.append(0, np.cumsum(ends - at[:-1]))))
     if with_words:
         out.append(((words.hash >> U64(64 - bits)).astype(np.int64) + (len(orders) << bits), words.first))
@@ -102,7 +101,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int
     many a label has. Texts are read once, for the chosen ids. A document that has several
     rows or labels counts once.
     """
-    spark = docs.sparkSession
+    spark = session(docs)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("place", place)
     share = known.groupBy("label").agg((F.lit(float((1 << 40) * OVERSAMPLE * most)) / F.count(F.lit(1))).alias("cut"))
@@ -203,7 +202,7 @@ def per_row(docs: DataFrame, keep: tuple[str, ...], columns: str, work: Callable
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "__text"):
+        for b in chunks(batches, len(keep)):
             new = work(b.column(len(keep)).to_pylist(), b)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(x if isinstance(x, pa.Array) else pa.array(x) for x in new)], names=[*shape.names, *names])
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_bytes, saved, seg_sum, shared_dir, write_bytes
+from .common import chunks, map_bytes, saved, seg_sum, session, shared_dir, write_bytes
 from .packing import pack as _pack
 from .packing import unpack as _unpack
 from .textkit import U64, Words, mix
@@ -40,6 +40,8 @@ BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543211)
 HOT_SHARE = 1 / 1000
 #: Bytes of training text to a shard, and bigrams a task gathers before it sends them.
 SHARD_BYTES, FLUSH = 8 << 20, 1 << 20
+#: Tokens looked up at once, however long a text is.
+STEP = 1 << 20
 
 
 def bigram_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -216,7 +218,7 @@ class Model:
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Count a bigram model over every text of docs."""
-    spark = docs.sparkSession
+    spark = session(docs)
     docs = docs.select(F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / SHARD_BYTES)))))
@@ -255,23 +257,32 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     return Model(path, bits, n, v, pairs, discounts([int(x) for x in totals[3:7]]), d, gamma, hot, hot_raw, hot_kinds)
 
 
+#: Shards in hand, and bytes of them at most where a file system has no memory maps.
 _open: dict[str, list] = {}
+CACHE_BYTES = 128 << 20
 
 
 def _shard(model: Model, kind: str, shard: int, kinds: list[type]) -> list[np.ndarray]:
-    """A shard's sorted keys and columns, memory-mapped once per worker."""
+    """A shard's sorted keys and columns, memory-mapped once per worker. Shards that had to be
+    fetched leave again, the longest unused first, when they are too many."""
     name = f"{model.path}/{kind}-{shard}"
-    if name not in _open:
-        try:
-            raw = map_bytes(name)
-            n, at, cols = int(raw[:8].view(np.int64)[0]), 8, []
-            for k in kinds:
-                cols.append(raw[at : at + n * np.dtype(k).itemsize].view(k))
-                at += n * np.dtype(k).itemsize
-        except FileNotFoundError:
-            cols = [np.empty(0, k) for k in kinds]  # no training text has a bigram in this shard
-        _open[name] = cols
-    return _open[name]
+    if name in _open:
+        _open[name] = _open.pop(name)
+        return _open[name]
+    try:
+        raw = map_bytes(name)
+        n, at, cols = int(raw[:8].view(np.int64)[0]), 8, []
+        for k in kinds:
+            cols.append(raw[at : at + n * np.dtype(k).itemsize].view(k))
+            at += n * np.dtype(k).itemsize
+    except FileNotFoundError:
+        cols = [np.empty(0, k) for k in kinds]  # no training text has a bigram in this shard
+    _open[name] = cols
+    held = [k for k, c in _open.items() if not isinstance(c[0], np.memmap)]
+    size = sum(x.nbytes for k in held for x in _open[k])
+    while size > CACHE_BYTES and len(held) > 1:
+        size -= sum(x.nbytes for x in _open.pop(held.pop(0)))
+    return cols
 
 
 def _find(model: Model, kind: str, shards: np.ndarray, keys: np.ndarray, kinds: list[type]) -> list[np.ndarray]:
@@ -295,6 +306,17 @@ def _top(x: np.ndarray, bits: int) -> np.ndarray:
 def score_texts(model: Model, texts: list[str | None]):
     """n_tokens, n_known, base score and model score of each text."""
     tokens, before, bounds = sequences(texts)
+    out = np.zeros((3, len(bounds) - 1))
+    for a in range(0, len(tokens), STEP):
+        z = min(len(tokens), a + STEP)
+        own = np.clip(bounds, a, z) - a
+        for row, values in zip(out, _score_tokens(model, tokens[a:z], before[a:z]), strict=True):
+            row += seg_sum(values, own)
+    return np.diff(bounds), out[0].astype(np.int64), out[1], out[2]
+
+
+def _score_tokens(model: Model, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each token is known, and its base and model log10 probability."""
     words, back = np.unique(tokens, return_inverse=True)
     raw, kinds = _find(model, "words", _top(words, model.bits), words, [U64, np.int64, np.int64])
     if len(model.hot):
@@ -312,7 +334,7 @@ def score_texts(model: Model, texts: list[str | None]):
     pair = np.maximum(c - d[np.minimum(c, 3)], 0)[pair_back] / total[context_back]
     p = np.log10(pair + gamma * word_p[back])
     base = np.log10((raw + 0.5) / (model.tokens + 0.5 * (model.types + 1)))[back]
-    return np.diff(bounds), seg_sum((raw > 0).astype(np.int64)[back], bounds), seg_sum(base, bounds), seg_sum(p, bounds)
+    return (raw > 0).astype(np.float64)[back], base, p
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -321,10 +343,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "__text", 4 << 20):
+        for b in chunks(batches, len(keep), 4 << 20):
             n, known, base, p = score_texts(model, b.column(b.num_columns - 1).to_pylist())
-            cols = {f.name: b.column(i) for i, f in enumerate(shape)}
-            cols |= {"n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), model.tokens), "base_score": base, "score": p, "perplexity": 10 ** (-p / n)}
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols.values()], names=list(cols))
+            new = {"n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), model.tokens), "base_score": base, "score": p, "perplexity": 10 ** (-p / n)}
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(shape))), *(pa.array(x) for x in new.values())], names=[*(f.name for f in shape), *new])
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{out}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import labels
-from .common import chunks, runs, saved
+from .common import chunks, runs, saved, session
 from .repeats import KEY, distinct_texts, text_key
 from .textkit import U64, Words, mix, prefix_sums, rolling, span_hash
 
 WIDTH, PERMUTATIONS, ROWS, PERCENT = 5, 120, 6, 80
 #: Slots of the table that tells rare shingles from common ones, a few bytes each.
-SLOT_BITS = 20
+SLOT_BITS, BLOCK_BITS = 20, 13
 #: Bytes of text in a block of the last comparison.
 BLOCK_BYTES = 2 << 20
 _MAX = (1 << 63) - 1
@@ -113,13 +113,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that each one reaches."""
-    spark = edges.sparkSession
+    spark = session(edges)
     return labels(edges, lambda df, label: saved(spark, df, label)).withColumnRenamed("id", "node")
 
 
 def links(texts: DataFrame, marks: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """a, b (a < b): confirmed links that connect all near duplicates among the texts."""
-    spark = texts.sparkSession
+    spark = session(texts)
     rows = marks.select("first_id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("first_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = saved(spark, rows.join(shared, "bucket"), "buckets")
@@ -137,13 +137,16 @@ def links(texts: DataFrame, marks: DataFrame, width: int = WIDTH, percent: int =
         return saved(spark, own.join(mixed, "bucket"), "apart")
 
     own = apart(found)
+    if own.isEmpty():
+        return found
     heads = own.groupBy("bucket", "label").agg(F.min("first_id").alias("b"))
     least = heads.groupBy("bucket").agg(F.min("b").alias("a"))
     pairs = heads.join(least, "bucket").filter("a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     tried = saved(spark, tried.unionByName(pairs), "tried")
     found = saved(spark, found.unionByName(confirmed(tried.join(found, ["a", "b"], "left_anti"), chosen, width, percent)), "links")
 
-    return saved(spark, found.unionByName(rest(apart(found), chosen, width, percent)), "links")
+    own = apart(found)
+    return found if own.isEmpty() else saved(spark, found.unionByName(rest(own, chosen, width, percent)), "links")
 
 
 def in_play(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -151,7 +154,7 @@ def in_play(rows: DataFrame, width: int, percent: int) -> DataFrame:
     grp, label, first_id, text. Labels that share a shingle among the rarest that a link must
     have one of are in one group. How rare a shingle is comes from a table of 2 ** SLOT_BITS
     counts; any order that is the same for all documents makes the filter exact."""
-    spark = rows.sparkSession
+    spark = session(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
@@ -161,9 +164,17 @@ def in_play(rows: DataFrame, width: int, percent: int) -> DataFrame:
         slot = np.flatnonzero(total)
         yield pa.record_batch({"slot": slot.astype(np.int32), "n": total[slot]})
 
-    counts = rows.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    common = np.zeros(1 << SLOT_BITS, np.uint32)
-    common[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 0xFFFFFFFF)
+    def block(part: pa.Table) -> pa.Table:
+        own = np.zeros(1 << BLOCK_BITS, np.int64)
+        np.add.at(own, part.column("slot").to_numpy() & ((1 << BLOCK_BITS) - 1), part.column("n").to_numpy())
+        return pa.table({"block": part.column("block")[:1], "counts": pa.array([np.minimum(own, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+
+    # packed by executors, so that the driver gets a few megabytes in a few rows
+    counts = rows.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).withColumn("block", F.shiftright("slot", BLOCK_BITS))
+    common = np.zeros((1 << (SLOT_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint32)
+    for at, data in counts.groupBy("block").applyInArrow(block, "block int, counts binary").toLocalIterator():
+        common[at] = np.frombuffer(data, np.uint32)
+    common = common.ravel()
     shared = spark.sparkContext.broadcast(common)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +204,8 @@ def rest(own: DataFrame, chosen: DataFrame, width: int, percent: int) -> DataFra
     the intersections of the texts outside a group's largest component with all others of a
     size that can link: only links come out, not the pairs compared.
     """
-    spark = own.sparkSession
+    spark = session(own)
     rows = saved(spark, own.select("first_id", "label").distinct().join(chosen, "first_id"), "unconnected")
-    if rows.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
     rows = saved(spark, in_play(rows, width, percent), "rest")
     sizes = rows.groupBy("grp").agg(F.sum(F.octet_length("text") + 64).alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
@@ -250,9 +259,10 @@ def _compare(width: int, percent: int):
     return run
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+def dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, with_keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text); with_keys also
+    the two longs of its text key, which tell rows of one id or of none apart."""
+    spark = session(docs)
     docs = docs.select("doc_id", "text")
     texts = distinct_texts(docs)
     marks = saved(spark, signatures(texts, width, permutations, rows), "signatures")
@@ -261,4 +271,4 @@ def dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, permutati
     out = docs.select("doc_id", *text_key(F.coalesce("text", F.lit("")))).join(found, list(KEY), "left")
     own = F.col("doc_id").cast("long")
     component = F.when(F.col("n_shingles") == 0, own).otherwise(F.nullif("label", F.lit(_MAX)))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", own.eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", *(KEY if with_keys else ()), "n_shingles", component.alias("component_id")).withColumn("kept", own.eqNullSafe(F.col("component_id")))

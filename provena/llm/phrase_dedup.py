@@ -33,7 +33,9 @@ from .textkit import Words, rolling
 
 WINDOW, GRAM = 20, 4
 #: Bytes of a shard, and words of one anchor's classes beyond which they are split by a longer gram.
-SHARD_BYTES, ANCHOR_WORDS = 1 << 18, 100_000
+SHARD_BYTES, ANCHOR_WORDS = 1 << 17, 20_000
+#: Words joined at once for a digest.
+JOIN_WORDS = 1 << 16
 
 
 def as_string(ids: np.ndarray) -> str:
@@ -124,17 +126,22 @@ def dedup_by_text(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             sizes, removed, shas, spans = [], [], [], []
-            for starts, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
-                sizes.append(len(words))
-                cuts = []
+            words = Words(b.column(4).to_pylist())
+            for i, starts in enumerate(b.column(3).to_pylist()):
+                first, last = words.first[i], words.first[i + 1]
+                sizes.append(last - first)
+                begin, end = np.empty(0, np.int64), np.empty(0, np.int64)
                 if starts:
                     begin, end = covered(np.array([s["at"] for s in starts]), np.array([s["n"] for s in starts]), window)
-                    cuts = np.stack([begin, end], 1).tolist()
-                    words = [w for x, y in zip([0, *end], [*begin, len(words)], strict=True) for w in words[x:y]]
-                removed.append(sizes[-1] - len(words))
-                spans.append(cuts)
-                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                removed.append((end - begin).sum())
+                spans.append(np.stack([begin, end], 1).tolist())
+                sha, gap = hashlib.sha256(), b""
+                for x, y in zip(first + np.append(0, end), np.append(first + begin, last), strict=True):
+                    for a in range(x, y, JOIN_WORDS):
+                        part = words.data[words.start[a] : words.end[min(y, a + JOIN_WORDS) - 1]].tobytes()
+                        sha.update(gap + b" ".join(part.split()))
+                        gap = b" "
+                shas.append(sha.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
                 names=[*KEY, "first_id", "n_words", "n_removed", "own_sha256", "spans"],

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import hashed
 from .common import seg_sum
-from .textkit import U64, Words, byte_values, mix, prefix_sums, rolling, span_hash
+from .textkit import U64, Words, hash_spans, mix, rolling
 
 ORDERS, BITS = (3, 4), 15
 #: Bound of the sample, rows of each label; one in CALIBRATE of them calibrates.
@@ -44,15 +44,15 @@ def counts(words: Words) -> dict[str, np.ndarray]:
     data, bounds = words.data, words.text_at
     texts = len(bounds) - 1
     spaces = (data == 0x20) | ((data >= 9) & (data <= 13))
-    chars = seg_sum((~spaces & ((data & 0xC0) != 0x80)).astype(np.int64), bounds)
-    symbols = seg_sum(_SYMBOL[data].astype(np.int64), bounds)
+    # no text is empty here: each has its newline
+    chars = np.add.reduceat(~spaces & ((data & 0xC0) != 0x80), bounds[:-1], dtype=np.int64) if texts else bounds[:-1]
+    symbols = np.add.reduceat(_SYMBOL[data], bounds[:-1], dtype=np.int64) if texts else bounds[:-1]
     ends = np.flatnonzero(data == 10)  # a newline also ends each text
     begins = np.append(0, ends[:-1] + 1) if len(ends) else ends
-    solid = np.append(0, np.cumsum(~spaces))
-    filled = solid[ends] > solid[begins]
+    filled = np.searchsorted(words.start, ends) > np.searchsorted(words.start, begins)
     begins, ends = begins[filled], ends[filled]
     owner = np.searchsorted(bounds, begins, "right") - 1
-    line = mix(span_hash(prefix_sums(byte_values(data)), begins, ends) + owner.astype(U64) * U64(0x9E3779B97F4A7C15))
+    line = mix(hash_spans(data, begins, ends) + owner.astype(U64) * U64(0x9E3779B97F4A7C15))
     _, head = np.unique(line, return_index=True)
     dup = np.bincount(owner, minlength=texts) - np.bincount(owner[head], minlength=texts)
     repeat = np.zeros(len(words) + 1, np.int64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, release, saved, shared_dir
+from .common import chunks, release, runs, saved, session, shared_dir, trim
 from .packing import pack as _pack
 from .packing import unpack as _unpack
 from .textkit import Words, anchors, byte_values, mix, prefix_sums, span_hash
@@ -40,7 +40,7 @@ def text_key(text: Column) -> list[Column]:
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """k1, k2, text, copies, first_id of every distinct text of docs (doc_id, text), null as
     empty. Bucketed and sorted by key in the shared folder: later joins by key don't move texts."""
-    spark = docs.sparkSession
+    spark = session(docs)
     text = F.coalesce("text", F.lit(""))
     found = docs.select(*text_key(text), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"))
     found = found.groupBy(*KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
@@ -63,6 +63,34 @@ def symbols(texts: list[str | None], unit: str):
     return byte_values(words.data), words.text_at[:-1], np.diff(words.text_at) - 1
 
 
+#: Symbols of a text whose anchors are sought at once.
+SLICE = 1 << 18
+
+
+def sliced(texts: list[str | None], unit: str, length: int):
+    """Runs of about SLICE symbols: values, each text's first symbol and number of symbols, its
+    number and the place of that first symbol in it. Slices of a text overlap by length - 1
+    symbols, so every string of the length lies in one of them whole; where a run of starts
+    is cut so, its two pieces have one anchor still."""
+    if unit == "words":
+        words = Words(texts)
+        values, starts, lengths = words.hash, words.first[:-1], words.counts
+    else:
+        words = Words(texts, spans=False)
+        values, starts, lengths = words.data, words.text_at[:-1], np.diff(words.text_at) - 1
+    parts = np.maximum(1, -(-(lengths - length + 1) // SLICE))
+    text = np.repeat(np.arange(len(starts)), parts)
+    at = SLICE * runs(np.zeros(len(starts), np.int64), parts)
+    begin, n = starts[text] + at, np.minimum(lengths[text] - at, SLICE + length - 1)
+    group = np.append(0, np.cumsum(n)[:-1]) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(text)]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        if z > a:
+            low, high = begin[a], (begin + n)[a:z].max()
+            own = values[low:high]
+            yield (own if unit == "words" else byte_values(own)), begin[a:z] - low, n[a:z], text[a:z], at[a:z]
+
+
 #: Pieces that a task gathers before it sends them, and bytes of text to a bucket of anchors.
 FLUSH, BUCKET_BYTES = 1 << 18, 8 << 20
 COLUMNS = ("h", "g", *KEY, "first_id", "at", "n")
@@ -110,17 +138,17 @@ def find_pieces(texts: DataFrame, unit: str, length: int, gram: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, have = [], 0
         for b in chunks(batches):
-            values, starts, lengths = symbols(b.column(3).to_pylist(), unit)
-            text, at, n, _, h = anchors(values, starts, lengths, length, gram)
-            if len(text):
-                begin = starts[text] + at
-                g = span_hash(prefix_sums(values), begin, begin + n + length - 1)
-                own = [b.column(i).to_numpy()[text] for i in range(3)]
-                held.append([h.view(np.int64), g.view(np.int64), *own, at.astype(np.int32), n.astype(np.int32)])
-                have += len(text)
-            if have > FLUSH:
-                yield send(held)
-                held, have = [], 0
+            for values, starts, lengths, texts, offset in sliced(b.column(3).to_pylist(), unit, length):
+                part, at, n, _, h = anchors(values, starts, lengths, length, gram)
+                if len(part):
+                    begin = starts[part] + at
+                    g = span_hash(prefix_sums(values), begin, begin + n + length - 1)
+                    own = [b.column(i).to_numpy()[texts[part]] for i in range(3)]
+                    held.append([h.view(np.int64), g.view(np.int64), *own, (offset[part] + at).astype(np.int32), n.astype(np.int32)])
+                    have += len(part)
+                if have > FLUSH:
+                    yield send(held)
+                    held, have = [], 0
         if held:
             yield send(held)
 
@@ -135,6 +163,7 @@ def find_pieces(texts: DataFrame, unit: str, length: int, gram: int) -> DataFram
             again = times[back[: len(rows[0])]] > 1
             many.append([r[again] for r in rows])
         rows = [np.concatenate(x) for x in zip(*many, strict=True)] if many else [np.empty(0, k) for k in kinds]
+        trim()
         return pa.table({c: r.view(np.int64) if i == 0 else r for i, (c, r) in enumerate(zip(COLUMNS, rows, strict=True))})
 
     sent = texts.select(*KEY, "first_id", "text").mapInArrow(run, "bucket int, single binary, many binary, mark binary")
@@ -211,7 +240,7 @@ def shards(found: DataFrame, texts: DataFrame, unit: str, length: int, size: int
 
 def cut_pieces(found: DataFrame, texts: DataFrame, unit: str, length: int) -> DataFrame:
     """The content of the earliest piece of each class: h, g, size, first_id, k1, k2, at, n, data.
-    Byte pieces are bytes; word pieces are the words joined by one space."""
+    Byte pieces are bytes, word pieces the bytes from their first word to their last."""
     by_text = found.groupBy(*KEY).agg(F.collect_list(F.struct("h", "g", "size", "first_id", "at", "n")).alias("wanted"))
     rows = by_text.join(texts.select(*KEY, "text"), list(KEY)).select(*KEY, "wanted", "text")
 
@@ -220,16 +249,13 @@ def cut_pieces(found: DataFrame, texts: DataFrame, unit: str, length: int) -> Da
             wanted = b.column(2)
             flat, owner = wanted.flatten(), np.repeat(np.arange(b.num_rows), np.diff(wanted.offsets.to_numpy()))
             at, n = (flat.field(i).to_numpy() for i in (4, 5))
-            data = []
-            texts = [t.encode("utf-8", "surrogatepass") for t in b.column(3).to_pylist()]
+            begin, end = at.astype(np.int64), at.astype(np.int64) + n + length - 1
+            words = Words(b.column(3).to_pylist(), spans=unit == "words")
             if unit == "words":
-                split, last = None, -1
-                for o, a, m in zip(owner, at, n, strict=True):
-                    if o != last:
-                        split, last = texts[o].split(), o
-                    data.append(b" ".join(split[a : a + m + length - 1]))
+                begin, end = words.start[words.first[owner] + begin], words.end[words.first[owner] + end - 1]
             else:
-                data = [texts[o][a : a + m + length - 1] for o, a, m in zip(owner, at, n, strict=True)]
+                begin, end = words.text_at[owner] + begin, words.text_at[owner] + end
+            data = [words.data[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [flat.field(0), flat.field(1), flat.field(2), flat.field(3), b.column(0).take(take), b.column(1).take(take), flat.field(4), flat.field(5), pa.array(data, pa.binary())],

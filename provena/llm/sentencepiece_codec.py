@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, seg_sum
+from .common import chunks, seg_sum, session
 
 MARK = "▁"
 #: Not a character, so no text holds it.
@@ -266,7 +266,7 @@ _codecs: dict[bytes, Codec] = {}
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threads: int = 2) -> DataFrame:
     """keep, n_tokens, ids (little-endian int32s), parity and round_trip of every row."""
     with open(path or default_path(), "rb") as f:
-        data = docs.sparkSession.sparkContext.broadcast(f.read())
+        data = session(docs).sparkContext.broadcast(f.read())
     shape = docs.select(*keep).schema
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in shape)
 
@@ -277,7 +277,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: t
         if codec is None:
             _codecs.clear()
             codec = _codecs[data.value] = Codec(data.value)
-        for b in chunks(batches, "__text"):
+        for b in chunks(batches, len(keep), 1 << 20):
             ids, bounds, same, back = codec.encode(b.column(len(keep)).to_pylist())
             raw = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, "<i4"))])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(np.diff(bounds)), raw, pa.array(same), pa.array(back)], names=[*shape.names, "n_tokens", "ids", "parity", "round_trip"])
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: t
 def decode(rows: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and text of rows with ids, as encode() gives them; null ids give null."""
     with open(path or default_path(), "rb") as f:
-        data = rows.sparkSession.sparkContext.broadcast(f.read())
+        data = session(rows).sparkContext.broadcast(f.read())
     shape = rows.select(*keep).schema
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in shape)
 

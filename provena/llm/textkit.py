@@ -57,6 +57,38 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
 
 
+#: Bytes whose weighted sums are held at once.
+BLOCK = 1 << 17
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span_hash of the spans [start, end) of bytes, in any order, whose sums are formed block
+    by block: what is held beside the bytes grows with the spans alone."""
+    points = np.append(start, end)
+    order = np.argsort(points, kind="stable")
+    ranked = points[order]
+    sums = np.empty(len(points), U64)
+    inverse = np.empty(len(points), U64)
+    carry, scale, unscale = U64(0), U64(1), U64(1)
+    step, back = (U64(pow(int(x), BLOCK, 1 << 64)) for x in (_BASE, _INVERSE))
+    cuts = np.searchsorted(ranked, np.arange(0, len(data) + BLOCK, BLOCK))
+    with np.errstate(over="ignore"):
+        for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            values = _TABLE[data[k * BLOCK : (k + 1) * BLOCK]]
+            own = np.zeros(len(values) + 1, U64)
+            np.cumsum(values * _grown("b", _BASE, len(values)), out=own[1:])
+            at = ranked[a:z] - k * BLOCK
+            sums[order[a:z]] = carry + own[at] * scale
+            inverse[order[a:z]] = _grown("i", _INVERSE, BLOCK)[at] * unscale
+            carry, scale, unscale = carry + own[-1] * scale, scale * step, unscale * back
+        last = cuts[-1]
+        if last < len(ranked):  # the end of data, where that is a block's end
+            sums[order[last:]] = carry
+            inverse[order[last:]] = unscale
+    n = len(start)
+    return mix((sums[n:] - sums[:n]) * inverse[:n] + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
+
+
 def powers(n: int) -> np.ndarray:
     """The weights of a window's first n values in rolling_sums."""
     return _grown("b", _BASE, n)
@@ -81,23 +113,26 @@ class Words:
 
     data: the bytes, texts divided by a newline; start, end: each word's place in
     data; first: the index of each text's first word, with the total at the end;
-    text_at: each text's first byte, with one past the last newline at the end.
+    text_at: each text's first byte, with one past the last newline at the end. Without spans
+    only data and text_at are there.
     """
 
-    def __init__(self, texts: list[str | bytes | None], lower: bool = False):
+    def __init__(self, texts: list[str | bytes | None], lower: bool = False, spans: bool = True):
         raw = [t if isinstance(t, bytes) else b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = np.frombuffer(b"\n".join([*raw, b""]) or b"\n", np.uint8)
         if lower:
             self.data = _LOWER[self.data]
         self.text_at = np.zeros(len(raw) + 1, np.int64)
         np.cumsum([len(r) + 1 for r in raw], out=self.text_at[1:])
+        self._hash: np.ndarray | None = None
+        if not spans:
+            return
         space = _SPACE[self.data]
         edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
         if len(edge) % 2:
             edge = np.append(edge, len(self.data))
         self.start, self.end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.text_at)
-        self._hash: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -105,7 +140,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = span_hash(prefix_sums(_TABLE[self.data]), self.start, self.end)
+            self._hash = hash_spans(self.data, self.start, self.end)
         return self._hash
 
     @property

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import hashed
 from .common import runs
-from .textkit import U64, Words, byte_values, prefix_sums, span_hash
+from .textkit import U64, Words, hash_spans
 
 WINDOW, STRIDE, HIDDEN = 32, 24, 8
 LEXICON, WORD_DIM, CHAR_BITS, CHAR_DIM = 4096, 8, 12, 4
@@ -60,7 +60,7 @@ class Batch:
     def __init__(self, texts: list[str | None]):
         words = Words(texts, lower=True)
         start, end = word_spans(words)
-        value = span_hash(prefix_sums(byte_values(words.data)), start, end)
+        value = hash_spans(words.data, start, end)
         self.hash, head, self.word = np.unique(value, return_index=True, return_inverse=True)
         start, end = start[head], end[head]
         n = np.maximum(end - start - 2, 1)

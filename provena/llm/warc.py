@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from .common import local_path, saved, shared_dir
+from .common import local_path, saved, session, shared_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, refers_to string, content_length long, payload_bytes long, headers map<string,string>, payload binary"
 #: The header behind each string column.
@@ -387,12 +387,12 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     rows = pages.select(key.alias("id"), "url", html.alias("payload")).withColumn("sha1", F.sha1("payload"))
     narrow = rows.select("id", "sha1", F.octet_length("payload").alias("n"))
     first = narrow.filter(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    first = saved(pages.sparkSession, first, "repeated")
+    first = saved(session(pages), first, "repeated")
     total = narrow.count()
     hot = F.broadcast(first.filter(F.col("rows") * HOT_DIGESTS > total).drop("rows"))
     cold = narrow.join(hot, "sha1", "left_anti").join(first.drop("rows"), "sha1")
     both = narrow.join(hot, "sha1").unionByName(cold).filter("id > first").select("id", "sha1", "first")
-    later = saved(pages.sparkSession, both.groupBy("id", "sha1").agg(F.min("first").alias("first")), "revisits")
+    later = saved(session(pages), both.groupBy("id", "sha1").agg(F.min("first").alias("first")), "revisits")
     out = rows.join(later, ["id", "sha1"], "left").select(
         F.concat(F.lit("urn:page:"), F.col("id")).alias("record_id"),
         F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"),
@@ -412,7 +412,7 @@ def page_number(urn: Column) -> Column:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive pages in the shared folder and read the archives back, payloads checked
     against digests: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    spark = pages.sparkSession
+    spark = session(pages)
     register(spark)
     path = shared_dir(spark, "warc")
     archive(pages, path)

@@ -34,6 +34,32 @@ def test_suffix_dedup(spark, length, gram, most):
     assert Counter(map(tuple, got)) == suffix_brute(rows, length)
 
 
+def long_rows():
+    """Texts of several slices that share passages across the slices' borders, and repeat themselves."""
+    import random
+
+    from provena.llm.repeats import SLICE
+
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    shared, mine = say(400), say(60)
+    text = say(90_000)
+    at = SLICE - 1000
+    rows = [(1, text[:at] + shared + text[at:]), (2, say(30) + " " + shared + " " + say(5)), (3, mine + " " + say(SLICE + 50) + " " + mine)]
+    words = text.split()
+    rows.append((4, " ".join(words + words[: SLICE - 9 - len(words) % SLICE] + shared.split() + words[-3000:])))
+    return rows
+
+
+def test_long_texts(spark):
+    rows = long_rows()[:2]
+    got = suffix_dedup.dedup(frame(spark, rows)).drop("spans").collect()
+    assert Counter(map(tuple, got)) == suffix_brute(rows, 400)
+    rows = long_rows()
+    got = phrase_dedup.dedup(frame(spark, rows)).drop("spans").collect()
+    assert Counter(map(tuple, got)) == phrase_brute(rows, 20)
+
+
 def test_suffix_texts_take_clashing_names(spark):
     rows = [(1, "a" + "x" * 50), (2, "b" + "x" * 50)]
     df = spark.createDataFrame([(i, t, 7, 8, "k") for i, t in rows], "doc_id long, text string, kept int, `key` int, row string")

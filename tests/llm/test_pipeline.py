@@ -5,6 +5,7 @@ import sys
 from collections import Counter
 
 import pytest
+from test_dedup import near_brute
 from tests_llm_cases import frame, hard_rows
 
 import corpus_pipeline
@@ -36,6 +37,25 @@ def test_leaks_are_dropped_row_by_row(spark):
     assert kept(corpus_pipeline.drop_leaks, [(None, leak), (None, texts[0]), (7, leak), (7, texts[1])]) == [(7, texts[1]), (None, texts[0])]
 
 
+def test_near_duplicates_are_dropped_as_by_brute_force(spark):
+    rows = [r for r in hard_rows() if r[0] not in (25, 26)]
+    component = {i: c for i, _, c, _ in near_brute(rows, width=5)}
+    longest = max((t for _, t in rows if t), key=len)
+    rows += [(None, longest), (None, longest + " again")]  # copies of a document with an id
+    docs = frame(spark, rows).select(*corpus_pipeline.DOCUMENT)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, TABLES).collect())
+    want = Counter((i, t) for i, t in rows if (component[i] == i if i is not None else not (t or "").startswith(longest)))
+    assert got == want
+
+
+def test_languages(spark):
+    says = {"en": "the cat and the dog were in the house with the man".split(), "de": "der hund und die katze sind mit dem mann im haus".split(), "es": "el perro y los gatos estaban en la casa con un hombre".split()}
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(says[lang]) for _ in range(40)), lang) for i, lang in enumerate(list(says) * 40)] + [(900, "12 34", "en"), (901, None, "en"), (902, "", None)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.keep_language(spark, docs, TABLES).collect()} == {i for i, _, _ in rows[:-3]}
+
+
 def cut_brute(texts):
     """Texts without the passages that the stage takes: repeated 200-byte strings, joined where
     they touch, of over 50 words or 400 bytes."""

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from provena.llm import packing
+from provena.llm import packing, textkit
 from provena.llm.textkit import Words, anchors, byte_values, rolling, window_min
 
 TEXT = st.text(st.sampled_from(list("ab é\n\t　\x0bZ")), max_size=40) | st.none()
@@ -57,3 +57,54 @@ def test_packing_round_trip():
     assert all((a == b).all() for a, b in zip(cols, back))
     empty = packing.unpack(packing.pack([c[:0] for c in cols]), [np.uint64, np.int64, np.int32])
     assert all(len(x) == 0 for x in empty)
+
+
+def test_spans_are_hashed_block_by_block():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 3 * textkit.BLOCK, dtype=np.uint8)
+    start = rng.integers(0, len(data), 4000)
+    end = np.minimum(start + rng.integers(0, 900, 4000), len(data))
+    start, end = np.append(start, [0, 0, len(data), textkit.BLOCK, 5]), np.append(end, [len(data), 0, len(data), 2 * textkit.BLOCK, textkit.BLOCK])
+    whole = textkit.span_hash(textkit.prefix_sums(textkit.byte_values(data)), start, end)
+    assert (textkit.hash_spans(data, start, end) == whole).all()
+
+
+def test_a_long_text_takes_memory_in_proportion():
+    """Peaks of what one text needs at once, per byte of it."""
+    import random
+    import tracemalloc
+
+    from provena.llm import decontamination, hashed, lm_scoring, near_dedup, quality_rules, repeats, toxicity
+
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(50000)}" for _ in range(300_000))
+    slices = lambda unit, n, g: [len(textkit.anchors(v, s, m, n, g)[0]) for v, s, m, _, _ in repeats.sliced([text], unit, n)]
+    work = {
+        "rules": lambda: quality_rules.counts(textkit.Words([text])),
+        "weights": lambda: hashed.linear(textkit.Words([text]), np.zeros((4 << 15, 1), np.float32), (3, 4), 15, True, True),
+        "languages": lambda: hashed.linear(textkit.Words([text]), np.zeros((2 << 14, 15), np.float32), (2, 3), 14),
+        "network": lambda: toxicity.Batch([text]),
+        "templates": lambda: decontamination.Canonical([text]),
+        "bytes": lambda: slices("bytes", 400, 48),
+        "words": lambda: slices("words", 20, 4),
+        "sets": lambda: near_dedup.shingles([text]),
+        "tokens": lambda: lm_scoring.sequences([text]),
+    }
+    for name, run in work.items():
+        run()
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 50 * len(text) + 40e6, (name, peak / len(text))
+
+
+def test_characters_of_any_script():
+    from provena.llm import hashed
+
+    texts = ["aé日🎉b", None, "", "ab", "日本語x日本語"]
+    words = textkit.Words(texts)
+    points, at = hashed.code_points(words.data)
+    assert "".join(map(chr, points)) == "\n".join([t or "" for t in texts] + [""]) and (np.diff(at) >= 1).all()
+    (bins, bounds), _ = hashed.gram_bins(words, (3, 4), 15, chars=True)
+    assert np.diff(bounds).tolist() == [max(0, len(t or "") - 2) for t in texts] and bins[-5] == bins[-1]
