@@ -29,16 +29,18 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter and those whose language is ambiguous."""
+    """Drop texts without a letter, null and empty ones too, and those whose language is ambiguous.
+    The languages are learned from the rows of docs that have one; ids do not matter."""
     found = language_id.identify(docs, language_id.fit(docs), keep=DOCUMENT)
     return found.filter(~F.col("ambiguous")).select(*DOCUMENT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates keep the document of smallest id. Rows of one id are
-    one document; rows of null id all stay."""
-    gone = saved(spark, near_dedup.dedup(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-duplicates")
-    return docs.select(*DOCUMENT).join(gone, "doc_id", "left_anti")
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) keep the document of
+    smallest id. Rows of one id are one document; of those without an id the copies of a
+    document that has one go, all others stay. Null and empty texts are no duplicates."""
+    gone = near_dedup.dedup(docs, with_keys=True).filter(~F.col("kept")).select("doc_id", *KEY)
+    return without(docs, saved(spark, gone.distinct(), "near-duplicates"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, as little-endian int32s."""
+    """Token ids of what is left, as little-endian int32s, row by row; null and empty texts have none."""
     return sentencepiece_codec.encode(docs, keep=("doc_id", "lang", "source", "n_chars"))
 
 
@@ -67,7 +69,8 @@ STAGES = [
     ("decontamination", drop_leaks),
     ("sentencepiece", encode),
 ]
-#: The stages are learned, iterative or beyond SQL; tests compare them with brute force.
+#: The stages are learned, iterative or beyond SQL; tests hold each against a brute-force version,
+#: language identification against known languages, encoding against the original library.
 ORACLE_SQL = None
 
 
