@@ -42,6 +42,7 @@ def main(args: list[str] | None = None) -> int:
     b.add_argument("--source", action="append")
     b.add_argument("--out")
     b.add_argument("--force", action="store_true")
+    b.add_argument("--no-json", action="store_true", help="write the tables alone, not the JSON map beside them")
     b.add_argument("--quiet", action="store_true")
     sub.add_parser("ask").add_argument("words", nargs="+")
     for name in ("explain", "chain"):
@@ -66,7 +67,7 @@ def main(args: list[str] | None = None) -> int:
     store, watched = map_store.MapStore(path), tuple(c.watched_names)
     docs = read_notes(spark, folders)
     if a.what == "build":
-        done = rebuild(spark, folders, path, watched, a.force)
+        done = rebuild(spark, folders, path, watched, a.force, not a.no_json)
         note = diagnosis(folders, docs.count())
         if note:
             print(note)

@@ -24,9 +24,10 @@ from ..sources.notes import listed, read_notes
 from ..sources.shared import written
 
 
-def rebuild(spark: SparkSession, folders: list[str], path: str, watched: tuple[str, ...] = WATCHED_NAMES, force: bool = False, as_json: bool = True) -> bool:
+def rebuild(spark: SparkSession, folders: list[str], path: str, watched: tuple[str, ...] = WATCHED_NAMES, force: bool = False, as_json: bool = False) -> bool:
     """Build the map at path if its documents changed; whether it was built. as_json: also as one
-    canonical JSON file at the path."""
+    canonical JSON file at the path, which streams through the driver: for maps of a size that
+    one file is of use for."""
     store = map_store.MapStore(path)
     docs = read_notes(spark, folders)
     mark = map_store.fingerprint(docs, folders).first().asDict()

@@ -1,3 +1,5 @@
+import json
+
 from provena import cli
 from provena.sources.config import Config
 
@@ -12,6 +14,7 @@ def test_commands(spark, tmp_path, capsys):
     assert "Nothing configured" in run("score")
     Config(source_dirs=(str(notes),), map_path=str(tmp_path / "map")).write(path)
     assert "6 nodes" in run("build") and "unchanged" in run("build", "--quiet")
+    assert len(json.loads((tmp_path / "map").read_text())["nodes"]) == 6
     assert "3 of 3 samples" in run("score")
     assert "NODE rack height: 3.5 m" in run("ask", "rack", "height")
     assert "1 hop(s)\n  doc_adr_1 --caused_by--> doc_adr_2" in run("path", "ADR 1", "ADR 2")

@@ -43,12 +43,12 @@ def test_map_store_and_rebuild(spark, tmp_path):
     tree(notes, {"one.md": "# One\nrack height: 3.5 m\n- follows [[two]]", "two.md": "rack height: 4 m"})
     before = {p: (notes / p).read_bytes() for p in os.listdir(notes)}
     path = str(tmp_path / "out" / "map.json")
-    assert refresh.rebuild(spark, [str(notes)], path) and not refresh.rebuild(spark, [str(notes)], path)
+    assert refresh.rebuild(spark, [str(notes)], path, as_json=True) and not refresh.rebuild(spark, [str(notes)], path)
     store = map_store.MapStore(path)
     nodes, links = store.read(spark)
     assert nodes.count() == 6 and links.filter("relation = 'follows'").count() == 1
     first = open(path, "rb").read()
-    assert refresh.rebuild(spark, [str(notes)], path, force=True)
+    assert refresh.rebuild(spark, [str(notes)], path, force=True, as_json=True)
     assert open(path, "rb").read() == first and len(json.loads(first)["nodes"]) == 6
     nodes, links = store.read(spark)
     assert open(store.report_path).read().split("\n") == [
