@@ -64,9 +64,11 @@ class Batch:
         self.hash, head, self.word = np.unique(value, return_index=True, return_inverse=True)
         start, end = start[head], end[head]
         n = np.maximum(end - start - 2, 1)
-        at = np.minimum(runs(start, n), max(0, len(words.data) - 3))
-        data = words.data.astype(np.uint32)
-        gram = (data[at] << np.uint32(16) | data[at + 1] << np.uint32(8) | data[at + 2]) if len(at) and len(data) > 2 else np.zeros(len(at), np.uint32)
+        at, stop = runs(start, n), np.repeat(end, n)
+        gram = np.zeros(len(at), np.uint32)
+        for i in range(3):  # a shorter word is filled up, whatever stands after it
+            inside = at + i < stop
+            gram = gram << np.uint32(8) | np.where(inside, words.data[np.where(inside, at + i, 0)], 0).astype(np.uint32) if len(at) else gram
         self.gram = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS)).astype(np.int64)
         self.gram_at = np.append(0, np.cumsum(n))[: len(self.hash) + 1]
         counts = words.counts

@@ -1,10 +1,12 @@
 import random
+import re
+import string
 
 import numpy as np
 import pytest
 from tests_llm_cases import frame, hard_rows, words
 
-from provena.llm import language_id, quality_rules, toxicity
+from provena.llm import hashed, language_id, quality_rules, textkit, toxicity
 
 
 def corpus(n=240, seed=1):
@@ -117,6 +119,120 @@ def test_windows_cover_every_word():
         assert covered == set(range(n)) and len(b.window_start) >= 1
 
 
+M32, M64 = (1 << 32) - 1, (1 << 64) - 1
+
+
+def slow_hash(word):
+    """A word's hash, byte by byte."""
+    total, weight = 0, 1
+    for b in word:
+        total, weight = (total + int(textkit._TABLE[b]) * weight) & M64, (weight * 0x9E3779B97F4A7C15) & M64
+    x = (total + len(word) * 0x2545F4914F6CDD1D) & M64
+    for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ (x >> 33)) * k) & M64
+    return x ^ (x >> 33)
+
+
+def fold(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def slow_margin(weights, bias, groups):
+    """groups: a list of bins for each kind of n-gram."""
+    return bias + hashed.SCALE * sum(np.mean([weights[b].astype(float) for b in g], axis=0) for g in groups if g)
+
+
+def slow_bins(symbols, order, bits, block, base):
+    out = []
+    for k in range(len(symbols) - order + 1):
+        value = 0
+        for c in symbols[k : k + order]:
+            value = (value * base + c) & M32
+        out.append(((value * 0x9E3779B1 & M32) >> (32 - bits)) + (block << bits))
+    return out
+
+
+MANY = [t for _, t in hard_rows() if len(t or "") < 3000] + ["x", "ab", "日本 x", "Vilething! so BAD", "mnop стуф abc", "a b c d"]
+
+
+def test_languages_against_slow_decoding(spark):
+    docs, _ = tables(spark, corpus(120))
+    model = language_id.fit(docs, 40)
+    found = language_id.identify(spark.createDataFrame(list(enumerate(MANY)), "doc_id long, text string"), model).collect()
+    for r in found:
+        text = MANY[r.doc_id] or ""
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score, r.ambiguous) == ("und", 0.0, True)
+            continue
+        raw = fold(text).encode()
+        margins = slow_margin(model.weights, model.bias, [slow_bins(raw, o, language_id.BITS, i, 256) for i, o in enumerate(language_id.ORDERS)])
+        loss = [sum(np.log1p(np.exp(-m * c)) for m, c in zip(margins, code)) for code in model.code.astype(float)]
+        first, second = sorted(loss)[:2]
+        assert r.score == pytest.approx(1 / sum(np.exp(first - x) for x in loss), abs=1e-4)
+        assert r.lang_pred == model.languages[int(np.argmin(loss))] or second - first < 1e-3
+        assert r.ambiguous == (second - first < language_id.MARGIN) or abs(second - first - language_id.MARGIN) < 1e-3
+
+
+def test_quality_against_slow_scores(spark):
+    docs, labels = tables(spark, corpus(120))
+    model = quality_rules.fit(docs, labels, 60)
+    for r in quality_rules.assess(spark.createDataFrame(list(enumerate(MANY)), "doc_id long, text string"), model).collect():
+        text = MANY[r.doc_id] or ""
+        groups = [slow_bins([ord(c) for c in text], o, quality_rules.BITS, i, 0x01000193) for i, o in enumerate(quality_rules.ORDERS)]
+        groups.append([(slow_hash(w.encode()) >> (64 - quality_rules.BITS)) + (len(groups) << quality_rules.BITS) for w in words(text)])
+        margin = float(np.ravel(slow_margin(model.weights, model.bias, groups))[0])
+        assert r.quality == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))), abs=1e-4)
+
+
+def slow_logit(model, tokens):
+    """One window, step by step."""
+    p, h = model.p, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    inputs = []
+    for w in tokens:
+        row = {int(x): i + 1 for i, x in enumerate(model.lexicon)}.get(slow_hash(w), 0)
+        grams = [(w + b"\0\0")[k : k + 3] for k in range(max(1, len(w) - 2))]
+        chars = [p["char"][(int.from_bytes(g, "big") * 0x9E3779B1 & M32) >> (32 - toxicity.CHAR_BITS)] for g in grams]
+        inputs.append(np.concatenate([p["word"][row], np.mean(chars, axis=0)]).astype(float))
+    states = np.zeros((max(1, len(inputs)), 2 * h))
+    for side in (0, 1):
+        state = np.zeros(h)
+        for t in range(len(inputs)) if side == 0 else range(len(inputs) - 1, -1, -1):
+            g = inputs[t] @ p[f"w{side}"] + p[f"b{side}"]
+            z, r = sigmoid(g[:h] + state @ p[f"u{side}"][:, :h]), sigmoid(g[h : 2 * h] + state @ p[f"u{side}"][:, h:])
+            state = (1 - z) * state + z * np.tanh(g[2 * h :] + (r * state) @ p[f"v{side}"])
+            states[t, side * h : (side + 1) * h] = state
+    weight = np.exp(states @ p["attend"])
+    return float((weight / weight.sum()) @ states @ p["out"] + p["bias"][0])
+
+
+def test_toxicity_against_slow_network(spark):
+    docs, labels = tables(spark, corpus(120))
+    model = toxicity.fit(docs, labels, 50)
+    for r in toxicity.score(spark.createDataFrame(list(enumerate(MANY)), "doc_id long, text string"), model).collect():
+        tokens = [w.strip(string.punctuation.encode()) or w for w in (w.encode() for w in words(MANY[r.doc_id], fold=True))]
+        windows = [tokens[a : a + toxicity.WINDOW] for a in range(0, max(1, len(tokens) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE)]
+        logit = max(slow_logit(model, w) for w in windows)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * logit + model.offset))), abs=1e-3)
+        assert r.predicted == (r.score >= 0.5)
+
+
+def test_a_score_does_not_depend_on_the_batch(spark):
+    docs, labels = tables(spark, corpus(60))
+    model = toxicity.fit(docs, labels, 30)
+    alone = [float(toxicity.text_logits(model, [t])[0]) for t in MANY]
+    assert toxicity.text_logits(model, MANY).tolist() == pytest.approx(alone, abs=1e-4)
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    rows = [(i, "x" * 1000) for i in range(40)] + [(100, "y" * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows] + [(3, 1), (3, 0), (3, 0)], "doc_id long, label int")
+    got = hashed.training_rows(docs, labels, 20, 5000).collect()
+    assert sorted((r.label, len(r.text)) for r in got) == [(0, 1000)] * 5 + [(1, 9000)]
+    assert len(hashed.training_rows(docs, labels, 20).collect()) == 21
+
+
 def test_gradients():
     """Backpropagation against differences of the loss."""
     rng = np.random.default_rng(3)
