@@ -122,6 +122,9 @@ def links(texts: DataFrame, marks: DataFrame, width: int = WIDTH, percent: int =
     spark = session(texts)
     rows = marks.select("first_id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("first_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written first, as other sides of joins on buckets below: a join that shares its stage with an
+    # aggregation is not split where a bucket is large
+    shared = saved(spark, shared, "shared")
     members = saved(spark, rows.join(shared, "bucket"), "buckets")
     nodes = members.select("first_id").distinct()
     wanted = marks.select(*KEY, "first_id").join(nodes, "first_id", "left_semi").select(*KEY)
@@ -133,7 +136,9 @@ def links(texts: DataFrame, marks: DataFrame, width: int = WIDTH, percent: int =
     def apart(found: DataFrame) -> DataFrame:
         """Members, with labels, of the buckets that hold more than one component."""
         own = members.join(components(found).withColumnRenamed("node", "first_id"), "first_id", "left").select("bucket", "first_id", F.coalesce("label", "first_id").alias("label"))
+        own = saved(spark, own, "labelled")
         mixed = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+        mixed = saved(spark, mixed, "mixed")
         return saved(spark, own.join(mixed, "bucket"), "apart")
 
     own = apart(found)

@@ -177,11 +177,13 @@ PIECE = ("first_id", *KEY, "at")
 def classes(pieces: DataFrame, length: int) -> DataFrame:
     """One row for each class of equal pieces of anchors found twice or more: its size, its
     earliest piece (by id, key and place), its symbols, and the anchor's number of classes."""
+    spark = pieces.sparkSession
     first = F.min(F.struct(*PIECE)).alias("first")
-    own = pieces.groupBy("h", "g").agg(F.sum("size").alias("size"), first, F.first("n").alias("n"))
+    # both sides of the join are written: Spark splits a skewed join only where no aggregation shares its stage
+    own = saved(spark, pieces.groupBy("h", "g").agg(F.sum("size").alias("size"), first, F.first("n").alias("n")), "classes")
     anchor = own.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum("size").alias("pieces"), F.sum(F.col("n") + (length - 1)).alias("symbols")).filter("pieces > 1")
-    out = own.join(anchor.drop("pieces"), "h").select("h", "g", "size", "first.*", "n", "classes", "symbols")
-    return saved(pieces.sparkSession, out, "classes")
+    anchor = saved(spark, anchor.drop("pieces"), "anchors")
+    return saved(spark, own.join(anchor, "h").select("h", "g", "size", "first.*", "n", "classes", "symbols"), "classes")
 
 
 def judged(pieces: DataFrame, texts: DataFrame, unit: str, length: int, gram: int, most: int, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
