@@ -15,8 +15,9 @@ of each holds a common shingle, whatever order decides what is rare, so document
 none with another component cannot link. The rest is compared in blocks (see rest). Pairs
 already connected add nothing to components.
 
-Equal texts are one node. Rows with equal ids are one document. Null ids count as one
-document after all others, with a null component_id when they are alone.
+Equal texts are one node. Rows with equal ids are one document. Of rows without an id each
+text is a document of its own, after all others; its component_id is null where no document
+with an id is in the component, and then the one first by text key is kept.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ WIDTH, PERMUTATIONS, ROWS, PERCENT = 5, 120, 6, 80
 SLOT_BITS, BLOCK_BITS = 20, 13
 #: Bytes of text in a block of the last comparison.
 BLOCK_BYTES = 2 << 20
-_MAX = (1 << 63) - 1
+#: What distinct_texts has for a null id, and the first of the numbers that stand for such texts here.
+_MAX, _NONE = (1 << 63) - 1, 3 << 61
 
 
 def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +157,10 @@ def links(texts: DataFrame, marks: DataFrame, width: int = WIDTH, percent: int =
 
 
 def in_play(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of rows (first_id, label, text) those that may link with another label, with their group:
-    grp, label, first_id, text. Labels that share a shingle among the rarest that a link must
-    have one of are in one group. How rare a shingle is comes from a table of 2 ** SLOT_BITS
-    counts; any order that is the same for all documents makes the filter exact."""
+    """Of rows (grp, label, first_id, text) those that may link with another label of their group,
+    in finer groups: labels of one group that share a shingle among the rarest that a link must
+    have one of. How rare a shingle is comes from a table of 2 ** SLOT_BITS counts; any order
+    that is the same for all documents makes the filter exact."""
     spark = session(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,33 +186,39 @@ def in_play(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            values, bounds = shingles(b.column(2).to_pylist(), width)
+            values, bounds = shingles(b.column(3).to_pylist(), width)
             size = np.diff(bounds)
             owner = np.repeat(np.arange(b.num_rows), size)
+            group = mix(b.column(0).to_numpy().astype(U64))
             order = np.lexsort((values, shared.value[(values >> U64(64 - SLOT_BITS)).astype(np.int64)], owner))
             # a link has an intersection of percent of either set at least
             prefix = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
             at = order[runs(bounds[:-1], prefix)]
             take = pa.array(owner[at])
-            yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), b.column(0).take(take), b.column(1).take(take)], names=["token", "first_id", "label"])
+            token = mix(values[at] ^ group[owner[at]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), b.column(1).take(take), b.column(2).take(take)], names=["token", "first_id", "label"])
 
-    tokens = saved(spark, rows.select("first_id", "label", "text").mapInArrow(rare, "token long, first_id long, label long"), "rare")
+    tokens = saved(spark, rows.select("grp", "first_id", "label", "text").mapInArrow(rare, "token long, first_id long, label long"), "rare")
     mixed = tokens.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a < z").drop("z")
     met = saved(spark, tokens.join(mixed, "token").select("first_id", "label", "a").distinct(), "met")
     groups = components(met.filter("a < label").select("a", F.col("label").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("grp"))
-    return rows.join(met.select("first_id").distinct(), "first_id").join(groups, "label").select("grp", "label", "first_id", "text")
+    return rows.drop("grp").join(met.select("first_id").distinct(), "first_id").join(groups, "label").select("grp", "label", "first_id", "text")
 
 
 def rest(own: DataFrame, chosen: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between members (first_id, label) of buckets that hold several components.
 
-    What the prefix filter leaves goes to blocks of bounded size by group, and every two blocks
-    of a group meet once; small groups share a block of their own. Inside, posting lists count
+    Components that meet in a bucket form a group. What the prefix filter leaves of it goes to
+    blocks of bounded size, and every two blocks of a group meet once; small groups share a block of their own. Inside, posting lists count
     the intersections of the texts outside a group's largest component with all others of a
     size that can link: only links come out, not the pairs compared.
     """
     spark = session(own)
-    rows = saved(spark, own.select("first_id", "label").distinct().join(chosen, "first_id"), "unconnected")
+    least = own.groupBy("bucket").agg(F.min("label").alias("a"))
+    meet = own.join(least, "bucket").filter("a < label").select("a", F.col("label").alias("b")).distinct()
+    groups = components(meet).select(F.col("node").alias("label"), F.col("label").alias("grp"))
+    rows = own.select("first_id", "label").distinct().join(groups, "label").join(chosen, "first_id")
+    rows = saved(spark, rows.select("grp", "label", "first_id", "text"), "unconnected")
     rows = saved(spark, in_play(rows, width, percent), "rest")
     sizes = rows.groupBy("grp").agg(F.sum(F.octet_length("text") + 64).alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
@@ -269,11 +277,13 @@ def dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, permutati
     the two longs of its text key, which tell rows of one id or of none apart."""
     spark = session(docs)
     docs = docs.select("doc_id", "text")
-    texts = distinct_texts(docs)
+    nameless = F.lit(_NONE) + F.col("k1").bitwiseAND(F.lit((1 << 61) - 1))
+    texts = distinct_texts(docs).withColumn("first_id", F.when(F.col("first_id") == _MAX, nameless).otherwise(F.col("first_id")))
     marks = saved(spark, signatures(texts, width, permutations, rows), "signatures")
     found = components(links(texts, marks, width, percent)).withColumnRenamed("node", "first_id")
-    found = marks.select(*KEY, "first_id", "n_shingles").join(found, "first_id", "left").select(*KEY, "n_shingles", F.coalesce("label", "first_id").alias("label"))
+    found = marks.select(*KEY, "first_id", "n_shingles").join(found, "first_id", "left").select(*KEY, "n_shingles", "first_id", F.coalesce("label", "first_id").alias("label"))
     out = docs.select("doc_id", *text_key(F.coalesce("text", F.lit("")))).join(found, list(KEY), "left")
     own = F.col("doc_id").cast("long")
-    component = F.when(F.col("n_shingles") == 0, own).otherwise(F.nullif("label", F.lit(_MAX)))
-    return out.select("doc_id", *(KEY if with_keys else ()), "n_shingles", component.alias("component_id")).withColumn("kept", own.eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("n_shingles") == 0, own).when(F.col("label") < _NONE, F.col("label"))
+    kept = F.when(own.isNull() & (F.col("n_shingles") > 0), (F.col("first_id") == F.col("label")) & (F.col("label") >= _NONE)).otherwise(own.eqNullSafe(component))
+    return out.select("doc_id", *(KEY if with_keys else ()), "n_shingles", component.alias("component_id"), kept.alias("kept"))

@@ -201,10 +201,12 @@ def test_half_alike_texts_are_not_compared(spark):
     marks = near_dedup.signatures(texts, 2)
     buckets = marks.selectExpr("first_id", "explode(bands) as bucket").groupBy("bucket").count()
     assert buckets.filter("count > 1").agg({"count": "sum"}).first()[0] > 2000
-    own = texts.selectExpr("first_id", "first_id as label", "text")
+    own = texts.selectExpr("0 as grp", "first_id as label", "first_id", "text")
     assert near_dedup.in_play(own, 2, 80).count() == 0
-    again = own.union(own.filter("first_id < 3").selectExpr("first_id + 5000", "label + 5000", "concat(text, ' more')"))
+    again = own.union(own.filter("first_id < 3").selectExpr("0", "label + 5000", "first_id + 5000", "concat(text, ' more')"))
     assert sorted(r.first_id for r in near_dedup.in_play(again, 2, 80).collect()) == [0, 1, 2, 5000, 5001, 5002]
+    apart = again.selectExpr("if(first_id >= 5000, 1, 0) as grp", "label", "first_id", "text")
+    assert near_dedup.in_play(apart, 2, 80).count() == 0
     assert near_dedup.links(texts, marks, 2).count() == 0
 
 

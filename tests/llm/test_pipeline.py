@@ -42,9 +42,12 @@ def test_near_duplicates_are_dropped_as_by_brute_force(spark):
     component = {i: c for i, _, c, _ in near_brute(rows, width=5)}
     longest = max((t for _, t in rows if t), key=len)
     rows += [(None, longest), (None, longest + " again")]  # copies of a document with an id
+    alone = " ".join(f"own{i}" for i in range(90))
+    rows += [(None, alone), (None, alone + " more")]  # of two without one, one stays
     docs = frame(spark, rows).select(*corpus_pipeline.DOCUMENT)
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, TABLES).collect())
-    want = Counter((i, t) for i, t in rows if (component[i] == i if i is not None else not (t or "").startswith(longest)))
+    assert sum(got.pop((None, t), 0) for t in (alone, alone + " more")) == 1
+    want = Counter((i, t) for i, t in rows if (component[i] == i if i is not None else not (t or "").startswith((longest, alone))))
     assert got == want
 
 
