@@ -63,7 +63,7 @@ def saved(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 
 
 #: Seconds between collections on the driver, and when the last one was.
-RELEASE_S = 2.0
+RELEASE_S = 0.25
 _released = [0.0]
 
 

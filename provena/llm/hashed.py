@@ -84,7 +84,7 @@ def linear(words: Words, weights: np.ndarray, orders: tuple[int, ...], bits: int
     return total * SCALE
 
 
-#: Rows of a sample up to which its ids are broadcast; larger ones (very many labels) are joined.
+#: Rows of a table of labels or of a sample's ids up to which it is broadcast; larger ones are joined.
 BROADCAST_ROWS = 100_000
 OVERSAMPLE = 8
 #: Bytes of text that the rows of one label have together, but for one row.
@@ -105,7 +105,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("place", place)
     share = known.groupBy("label").agg((F.lit(float((1 << 40) * OVERSAMPLE * most)) / F.count(F.lit(1))).alias("cut"))
-    low = known.join(share, "label").filter("place < cut")
+    # broadcast behind a count: planned as a shuffle it would deal all ids by their label first
+    share = saved(spark, share, "shares")
+    low = known.join(F.broadcast(share) if share.count() <= BROADCAST_ROWS else share, "label").filter("place < cut")
     order = Window.partitionBy("label").orderBy("place", "doc_id")
     ranked = low.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "label", "place")
     chosen = saved(spark, ranked, "sample")
