@@ -35,7 +35,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Distinct words that a worker keeps encoded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
 
