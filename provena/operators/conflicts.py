@@ -18,6 +18,9 @@ _UNIT = "|".join(UNITS)
 VALUE = rf"{NUMBER_BEFORE}({NUMBER}){WS}*({_UNIT}){UNIT_AFTER}"
 PAIR = rf"({PAIR_NAME}){WS}*[:=]{WS}*({PAIR_NUMBER}){WS}*({_UNIT}){UNIT_AFTER}"
 
+#: What every label with an observation holds; so does its key, whatever its letter case.
+HOLDS_VALUE = rf"(?iu)\p{{Nd}}{WS}*(?:{_UNIT})"
+
 
 def name_of(c: Column) -> Column:
     return F.lower(collapse(c))

@@ -7,6 +7,7 @@ orders nodes of equal id. Nodes and links are bags; rows of equal ids stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,10 @@ def name_id(key: Column) -> Column:
     return F.concat(F.lit("name_"), F.replace(key, F.lit(" "), F.lit("_")))
 
 
+def unwritten(rows: DataFrame, label: str) -> DataFrame:
+    return rows
+
+
 @dataclass
 class Pieces:
     documents: DataFrame
@@ -40,9 +45,10 @@ class Pieces:
     links: DataFrame
 
 
-def parse(notes: DataFrame) -> Pieces:
+def parse(notes: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = written) -> Pieces:
     """Documents, and the pieces of each, tagged with its doc_id, path and order. Every document
-    is parsed once, to a table of arrays that the three kinds of pieces are read from."""
+    is parsed once, to a table of arrays that the three kinds of pieces are read from; where few
+    rows of one kind are wanted, `keep` can be `unwritten`."""
     rows = notes.select(F.struct(F.col("src_ord").alias("s"), document_order(F.col("rel_path")).alias("p")).alias("ord"), F.col("rel_path").alias("path"), "text")
     rows = rows.withColumn("name", stem(F.col("path"))).withColumn("key", title_key(F.col("name"))).withColumn("doc_id", document_id(F.col("key")))
     is_html = F.lit(False)
@@ -51,14 +57,14 @@ def parse(notes: DataFrame) -> Pieces:
     tagged = rows.select("doc_id", "path", "ord", "text")
     key = ["doc_id", "path", "ord"]
     web = html.parsed(tagged.filter(is_html)).select(*key, *html.without_tags())
-    table = written(markdown.parsed(tagged.filter(~is_html)).unionByName(web), "parsed")
+    table = keep(markdown.parsed(tagged.filter(~is_html)).unionByName(web), "parsed")
     of = lambda piece, *fields: markdown.rows_of(table, piece).select(*key, "idx", "line", *fields)
     return Pieces(rows.select(*key, "name", "key"), of("sections", "title"), of("statements", "statement"), of("links", "target", "relation"))
 
 
 def key_dictionary(documents: DataFrame) -> DataFrame:
-    """key -> doc_id; the last document of a key wins."""
-    return documents.groupBy("key").agg(F.max_by("doc_id", "ord").alias("to_id"))
+    """key -> doc_id, which its key alone gives."""
+    return documents.select("key").distinct().withColumn("to_id", document_id(F.col("key")))
 
 
 def resolve(pieces: Pieces) -> DataFrame:
@@ -72,8 +78,9 @@ def _node(id_: Column, label: str, kind: str, path: Column, line: Column, phase:
     return [id_.alias("id"), F.col(label).alias("label"), F.lit(kind).alias("kind"), path.alias("source_file"), line.cast("int").alias("source_location"), ins.alias("ins")]
 
 
-def nodes(pieces: Pieces) -> DataFrame:
-    """id, label, kind, source_file, source_location, ins."""
+def nodes(pieces: Pieces, keep: Callable[[DataFrame, str], DataFrame] = unwritten) -> DataFrame:
+    """id, label, kind, source_file, source_location, ins. All but names without a document,
+    which go through `keep`, are read from the documents with no exchange."""
     c = F.col
     documents = pieces.documents.select(*_node(c("doc_id"), "name", "document", c("path"), F.lit(1), 0, 0, c("ord"), F.lit(0)))
     sections = pieces.sections.select(*_node(F.concat("doc_id", F.lit("_s"), "idx"), "title", "section", c("path"), c("line"), 1, 0, c("ord"), c("idx")))
@@ -81,7 +88,24 @@ def nodes(pieces: Pieces) -> DataFrame:
     lost = resolve(pieces).filter(~c("found"))
     first = lost.groupBy("key").agg(F.min_by("target", F.struct("ord", "idx")).alias("target"), F.min(F.struct("ord", "idx")).alias("at"))
     names = first.select(*_node(name_id(c("key")), "target", "name_only", F.lit(""), F.lit(None), 1, 2, c("at.ord"), c("at.idx")))
-    return documents.unionByName(sections).unionByName(statements).unionByName(names)
+    return documents.unionByName(sections).unionByName(statements).unionByName(keep(names, "names"))
+
+
+def matching(notes: DataFrame, pattern: str) -> DataFrame:
+    """nodes(parse(notes)) whose label matches pattern, without a table of all nodes.
+
+    pattern must match a text's key where it matches the text, so it may ask for no letter case
+    and no kind of white space. Markdown labels are parts of their document's text: documents
+    without a match are not parsed. A missing name and the documents it could name share a key,
+    so keys without a match take no part in the join."""
+    web = F.lit(False)
+    for ending in HTML_SUFFIXES:
+        web = web | F.col("rel_path").endswith(ending)
+    c, named = F.col, parse(notes.withColumn("text", F.lit("")), unwritten).documents.filter(F.col("key").rlike(pattern))
+    all_ = parse(notes.filter(web | c("text").rlike(pattern)), unwritten)
+    links = all_.links.filter(title_key(c("target")).rlike(pattern))
+    found = Pieces(named, all_.sections.filter(c("title").rlike(pattern)), all_.statements.filter(c("statement").rlike(pattern)), links)
+    return nodes(found).filter(c("label").rlike(pattern))
 
 
 def suppress_mentions(links: DataFrame) -> DataFrame:
@@ -92,16 +116,41 @@ def suppress_mentions(links: DataFrame) -> DataFrame:
     return named.unionByName(lone.select("source", "target", "relation"))
 
 
-def all_links(pieces: Pieces) -> DataFrame:
-    """source, target, relation before mentions are dropped."""
+def part_links(pieces: Pieces) -> DataFrame:
+    """Sections and statements, each with its document."""
     part = F.lit("part_of").alias("relation")
     own = [p.select(F.concat("doc_id", F.lit(tag), "idx").alias("source"), F.col("doc_id").alias("target"), part) for p, tag in ((pieces.sections, "_s"), (pieces.statements, "_t"))]
-    named = resolve(pieces).select(F.col("doc_id").alias("source"), F.col("to_id").alias("target"), F.coalesce("relation", F.lit("mentions")).alias("relation"))
-    return own[0].unionByName(own[1]).unionByName(named)
+    return own[0].unionByName(own[1])
+
+
+def named_links(pieces: Pieces) -> DataFrame:
+    """The links that documents write, before mentions are dropped."""
+    return resolve(pieces).select(F.col("doc_id").alias("source"), F.col("to_id").alias("target"), F.coalesce("relation", F.lit("mentions")).alias("relation"))
+
+
+def all_links(pieces: Pieces) -> DataFrame:
+    """source, target, relation before mentions are dropped."""
+    return part_links(pieces).unionByName(named_links(pieces))
+
+
+def kept_links(pieces: Pieces) -> DataFrame:
+    """links(pieces) but for part_of links of sections and statements, written out.
+
+    A part_of link stands between the ends of a mention only where the mentioning document's
+    own id reads as that of a piece of the other, as does `a_s0` of `a`. Such mentions, few if
+    any, are looked up among the pieces; all others meet written links alone."""
+    named = written(named_links(pieces), "named")
+    odd = (F.col("relation") == "mentions") & F.col("source").startswith(F.col("target")) & F.col("source").rlike(r"_[st][0-9]+\z")
+    asked = written(named.filter(odd).select("source", "target").distinct(), "odd")
+    part = part_links(pieces).join(asked, ["source", "target"], "left_semi") if not asked.isEmpty() else None
+    if part is None:
+        return written(suppress_mentions(named), "links")
+    every = suppress_mentions(named.unionByName(part.withColumn("relation", F.lit("\0part_of"))))
+    return written(every.filter(F.col("relation") != "\0part_of"), "links")
 
 
 def links(pieces: Pieces) -> DataFrame:
-    return suppress_mentions(all_links(pieces))
+    return part_links(pieces).unionByName(kept_links(pieces))
 
 
 def ordered_nodes(rows: DataFrame) -> DataFrame:

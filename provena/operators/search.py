@@ -29,7 +29,9 @@ def tokens(c):
 def seeds(nodes: DataFrame, question: str, count: int = SEEDS) -> DataFrame:
     """id, label, score, label_tokens and seed_rank (from 1) of the best nodes."""
     asked = tokens(F.lit(question))
-    rows = nodes.withColumn("own", tokens(F.col("label"))).withColumn("score", F.size(F.array_intersect("own", asked))).filter("score > 0")
+    # a token of both is a part of the label, which is cheaper to see than tokens are to cut out
+    held = F.exists(asked, lambda t: F.contains(F.lower("label"), t))
+    rows = nodes.filter(held).withColumn("own", tokens(F.col("label"))).withColumn("score", F.size(F.array_intersect("own", asked))).filter("score > 0")
     top = rows.withColumn("label_tokens", F.size("own")).orderBy(F.desc("score"), "label_tokens", "id", "ins").limit(count)
     # at most `count` rows, so one partition is enough to number them
     order = Window.orderBy(F.desc("score"), "label_tokens", "id", "ins")
@@ -37,11 +39,11 @@ def seeds(nodes: DataFrame, question: str, count: int = SEEDS) -> DataFrame:
 
 
 def undirected(links: DataFrame) -> DataFrame:
-    """id, next, relation, e, forward: every link both ways."""
+    """id, next, relation, e, forward: every link both ways, repeated ones too."""
     e = edge_order(F.col("source"), F.col("target"), F.col("relation")).alias("e")
     there = links.select(F.col("source").alias("id"), F.col("target").alias("next"), "relation", e, F.lit(True).alias("forward"))
     back = links.select(F.col("target").alias("id"), F.col("source").alias("next"), "relation", e, F.lit(False).alias("forward"))
-    return there.unionByName(back).distinct()
+    return there.unionByName(back)
 
 
 def neighbourhood(starts: DataFrame, links: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -66,7 +68,9 @@ def answer(nodes: DataFrame, links: DataFrame, question: str, budget: int = ANSW
     reading order are enough to fill the budget and to see whether it was: only those, a
     distributed top-k, meet in one window.
     """
-    found = neighbourhood(seeds(nodes, question), links).join(last_by_id(nodes), "id")
+    found = neighbourhood(written(seeds(nodes, question), "seeds"), links)
+    own = written(nodes.join(found.select("id"), "id", "left_semi"), "near")
+    found = found.join(last_by_id(own), "id")
     first = found.orderBy("level", "rank", "id").limit(budget + 1)
     order = Window.orderBy("level", "rank", "id")
     size = F.greatest(F.length("label"), F.lit(1))
@@ -112,7 +116,7 @@ def shortest_path(nodes: DataFrame, links: DataFrame, a: str, b: str, hops: int
     first in link order; empty beyond `hops`."""
     edges = undirected(links)
     front = _named(nodes, a).select(F.lit("q").alias("start"), "id", F.expr("cast(array() as array<struct<s:string,t:string,r:string>>)").alias("rank"))
-    goal = _named(nodes, b)
+    front, goal = written(front, "start"), written(_named(nodes, b), "goal")
     reached, seen = front.withColumn("level", F.lit(0)), front
     for level in range(1, hops + 1):
         front = expand(front, seen, edges).select("start", "id", "rank")

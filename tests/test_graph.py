@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from provena.operators import chain, components, graph, score, search
+from provena.operators import chain, components, conflicts, graph, score, search
 from provena.operators.graph import document_order
 
 
@@ -154,3 +154,36 @@ def test_search(spark):
     assert search.shortest_path(nodes, links, "tray", "none").count() == 0
     assert {(r.source, r.direction) for r in search.explain(nodes, links, "Rack").collect()} == {("doc_rack_t0", "in"), ("doc_tray", "in"), ("doc_other", "in")}
     assert "NODE Tray width is 600 mm" in search.render(search.answer(nodes, links, "tray width"))
+
+
+MATCHED = [
+    (0, "a.md", "# 5 m\nthe width is 3 MB\nnothing\n[[Depth 7  KB]] [[none]] [[5 mm]]"),
+    (0, "5 mm.md", "no value\n- 9 kMs"),
+    (1, "b.html", "<h1>6&#32;%</h1><p>7 <b>mm</b></p><p>8 dm</p>"),
+    (1, "c.md", "[[depth 7 kb]] and 12 GB"),
+    (2, "d.md", ""),
+    (2, "e.md", None),
+]
+
+
+def test_matching_nodes_are_those_of_the_map(spark):
+    notes = spark.createDataFrame(MATCHED, "src_ord int, rel_path string, text string")
+    pattern = conflicts.HOLDS_VALUE
+    want = graph.nodes(graph.parse(notes)).filter(F.col("label").rlike(pattern))
+    got = graph.matching(notes, pattern)
+    key = lambda r: repr(r)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    assert {r.label for r in got.collect()} == {"5 m", "the width is 3 MB", "[[Depth 7  KB]] [[none]] [[5 mm]]", "Depth 7  KB", "5 mm", "6 %", "7 mm", "9 kMs", "[[depth 7 kb]] and 12 GB"}
+
+
+def test_mentions_from_a_note_named_as_a_piece(spark):
+    rows = [(0, "a.md", "# T\nx\n[[a s0]]"), (0, "a s0.md", "[[a]] [[b]]"), (0, "a s5.md", "[[a]]"), (0, "b.md", "[[a]]\n- covers [[a]]")]
+    pieces = graph.parse(spark.createDataFrame(rows, "src_ord int, rel_path string, text string"))
+    got = sorted(graph.links(pieces).collect())
+    assert got == sorted(graph.suppress_mentions(graph.all_links(pieces)).collect())
+    assert ("doc_a_s0", "doc_a", "mentions") not in got and ("doc_a_s0", "doc_b", "mentions") in got and ("doc_a_s5", "doc_a", "mentions") in got
+
+
+def test_a_path_and_its_links_take_no_distinct_of_all_links(spark):
+    links = spark.createDataFrame([("a", "b", "r"), ("a", "b", "r"), ("b", "c", "r")], "source string, target string, relation string")
+    assert "Exchange" not in search.undirected(links)._jdf.queryExecution().executedPlan().toString()
