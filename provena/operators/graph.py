@@ -18,6 +18,8 @@ from ..schema import HTML_SUFFIXES
 from ..sources.shared import written
 from . import html, markdown
 
+KEY = ["doc_id", "path", "ord"]
+
 
 def document_order(path: Column) -> Column:
     """A sortable key: files of a folder come before those of its sub-folders."""
@@ -45,21 +47,29 @@ class Pieces:
     links: DataFrame
 
 
-def parse(notes: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = written) -> Pieces:
-    """Documents, and the pieces of each, tagged with its doc_id, path and order. Every document
-    is parsed once, to a table of arrays that the three kinds of pieces are read from; where few
-    rows of one kind are wanted, `keep` can be `unwritten`."""
+def _tagged(notes: DataFrame) -> DataFrame:
     rows = notes.select(F.struct(F.col("src_ord").alias("s"), document_order(F.col("rel_path")).alias("p")).alias("ord"), F.col("rel_path").alias("path"), "text")
     rows = rows.withColumn("name", stem(F.col("path"))).withColumn("key", title_key(F.col("name"))).withColumn("doc_id", document_id(F.col("key")))
+    return rows.select("doc_id", "path", "ord", "text", "name", "key")
+
+
+def parsed(notes: DataFrame) -> DataFrame:
+    """doc_id, path and ord of every document with the arrays sections, statements and links."""
     is_html = F.lit(False)
     for ending in HTML_SUFFIXES:
         is_html = is_html | F.col("path").endswith(ending)
-    tagged = rows.select("doc_id", "path", "ord", "text")
-    key = ["doc_id", "path", "ord"]
-    web = html.parsed(tagged.filter(is_html)).select(*key, *html.without_tags())
-    table = keep(markdown.parsed(tagged.filter(~is_html)).unionByName(web), "parsed")
-    of = lambda piece, *fields: markdown.rows_of(table, piece).select(*key, "idx", "line", *fields)
-    return Pieces(rows.select(*key, "name", "key"), of("sections", "title"), of("statements", "statement"), of("links", "target", "relation"))
+    tagged = _tagged(notes).drop("name", "key")
+    web = html.parsed(tagged.filter(is_html)).select(*KEY, *html.without_tags())
+    return markdown.parsed(tagged.filter(~is_html)).unionByName(web)
+
+
+def parse(notes: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = written) -> Pieces:
+    """Documents, and the pieces of each, tagged with its doc_id, path and order. Every document
+    is parsed once, to a table of arrays that the three kinds of pieces are read from; where few
+    rows of one kind are wanted, `keep` can be `unwritten`."""
+    table = keep(parsed(notes), "parsed")
+    of = lambda piece, *fields: markdown.rows_of(table, piece).select(*KEY, "idx", "line", *fields)
+    return Pieces(_tagged(notes).select(*KEY, "name", "key"), of("sections", "title"), of("statements", "statement"), of("links", "target", "relation"))
 
 
 def key_dictionary(documents: DataFrame) -> DataFrame:

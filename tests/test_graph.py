@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from provena.operators import chain, components, conflicts, graph, score, search
+from provena.operators import chain, components, conflicts, graph, outline, score, search
 from provena.operators.graph import document_order
+from provena.plans import corpus, queries
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def notes(spark, *rows):
@@ -187,3 +190,51 @@ def test_mentions_from_a_note_named_as_a_piece(spark):
 def test_a_path_and_its_links_take_no_distinct_of_all_links(spark):
     links = spark.createDataFrame([("a", "b", "r"), ("a", "b", "r"), ("b", "c", "r")], "source string, target string, relation string")
     assert "Exchange" not in search.undirected(links)._jdf.queryExecution().executedPlan().toString()
+
+
+OUTLINED = [
+    (0, "a.md", "# T\nx\n[[a s0]] [[q r]] [[q_r]]\n- covers [[lost one]]\nsee [[lost one]]"),
+    (0, "a s0.md", "[[a]] [[b]]"),
+    (0, "a s5.md", ""),
+    (1, "u v.md", "one"),
+    (1, "u_v.md", "# two\n\nthree"),
+    (1, "x/b.md", "[[a]]\n- covers [[a]]\n- part_of [[c]]"),
+    (1, "y/b.md", "# U\n[[a]] [[Lost  One]] [[lost_one]]\n5 m"),
+    (2, "c.md", "\n".join(f"[[n {i}]]" for i in range(9))),
+    (2, "d.html", "<h1>T</h1><p>x</p><a href='n 3'>b</a><a href='e'>b</a>"),
+    (2, "e t0.md", ""),
+    (2, "e.md", "alone with its name"),
+    (3, "me.md", None),
+    (3, "only.md", "---\nx\n---\n"),
+    (3, None, "text"),
+]
+
+
+@pytest.mark.parametrize("rows, run_keys", [(OUTLINED, 1), ([], 4)])
+def test_outline_scores_as_the_whole_graph(spark, rows, run_keys):
+    notes = spark.createDataFrame(rows, "src_ord int, rel_path string, text string").coalesce(2)
+    pieces, o = graph.parse(notes), outline.of(notes, run_keys=run_keys)
+    nodes, links = graph.nodes(pieces, components.written).cache(), graph.links(pieces)
+    got, want = score.outline_metrics(o), score.metrics(nodes, links)
+    assert got.dtypes == want.dtypes and got.collect() == want.collect()
+    key = lambda r: repr(r)
+    labels = score.component_labels(nodes, links).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    assert sorted(score.outline_components(o).collect(), key=key) == sorted(labels.collect(), key=key)
+    assert sorted(score.outline_isolated(o).collect(), key=key) == sorted(score.isolated(nodes, links).collect(), key=key)
+
+
+def shuffled(spark, make):
+    """Rows that the stages of make() put through exchanges."""
+    sc = spark.sparkContext
+    store = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    rows = lambda: {s.apply(i).stageId(): s.apply(i).shuffleWriteRecords() for s in [store()] for i in range(s.size())}
+    before = set(rows())
+    make()
+    return sum(n for stage, n in rows().items() if stage not in before)
+
+
+@pytest.mark.parametrize("name", ["score_metrics"])
+def test_scores_shuffle_documents_not_their_pieces(spark, monkeypatch, name):
+    documents = sum(spark.read.parquet(f"{SMALL}/{table}.parquet").count() for table in corpus.TABLES)
+    monkeypatch.setattr(queries, "_maps", {})
+    assert shuffled(spark, lambda: queries.QUERIES[name](spark, SMALL).collect()) < 8 * documents
