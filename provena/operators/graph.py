@@ -53,14 +53,19 @@ def _tagged(notes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "path", "ord", "text", "name", "key")
 
 
-def parsed(notes: DataFrame) -> DataFrame:
-    """doc_id, path and ord of every document with the arrays sections, statements and links."""
+def parsed(notes: DataFrame, lines: bool = False) -> DataFrame:
+    """doc_id, path and ord of every document with the arrays sections, statements and links, on
+    request also its lines (ls: line, raw)."""
     is_html = F.lit(False)
     for ending in HTML_SUFFIXES:
         is_html = is_html | F.col("path").endswith(ending)
     tagged = _tagged(notes).drop("name", "key")
-    web = html.parsed(tagged.filter(is_html)).select(*KEY, *html.without_tags())
-    return markdown.parsed(tagged.filter(~is_html)).unionByName(web)
+    web = tagged.filter(is_html)
+    web = html.parsed(web.withColumn("whole", F.col("text")) if lines else web)
+    if lines:
+        web = markdown.with_lines(web.withColumnRenamed("whole", "text"))
+    web = web.select(*KEY, *(["ls"] if lines else []), *html.without_tags())
+    return markdown.parsed(tagged.filter(~is_html), lines).unionByName(web)
 
 
 def parse(notes: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = written) -> Pieces:

@@ -72,10 +72,11 @@ def _links() -> Column:
     return F.flatten(F.transform(held, of))
 
 
-def parsed(docs: DataFrame) -> DataFrame:
-    """key columns with the arrays sections, statements and links: every line is read once."""
+def parsed(docs: DataFrame, lines: bool = False) -> DataFrame:
+    """key columns with the arrays sections, statements and links, on request also the lines
+    (ls): every line is read once."""
     rows = with_lines(docs)
-    keys = [c for c in rows.columns if c != "ls"]
+    keys = [c for c in rows.columns if c != "ls" or lines]
     return rows.select(*keys, _sections().alias("sections"), _statements().alias("statements"), _links().alias("links"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from provena.operators import chain, components, conflicts, graph, outline, score, search
+from provena.operators import chain, components, conflicts, graph, markdown, outline, score, search
 from provena.operators.graph import document_order
 from provena.plans import corpus, queries
 
@@ -238,3 +238,24 @@ def test_scores_shuffle_documents_not_their_pieces(spark, monkeypatch, name):
     documents = sum(spark.read.parquet(f"{SMALL}/{table}.parquet").count() for table in corpus.TABLES)
     monkeypatch.setattr(queries, "_maps", {})
     assert shuffled(spark, lambda: queries.QUERIES[name](spark, SMALL).collect()) < 8 * documents
+
+
+VERIFIED = [(0, "f.md", "---\nx: 1\n---\n- one\n# T\n  two 2"), (0, "g.html", "---\n<p>in front</p>\n---\n<p>on <b>one</b> line</p>\n<p>plain</p>"), (0, "h.md", "\u3000wide\u3000"), (0, "i.md", None)]
+TWICE = [(1, "w/n.md", "same\nhere"), (1, "w/n.md", "same\nthere"), (1, "w/n.md", "")]
+
+
+@pytest.mark.parametrize("rows, joins", [(OUTLINED + VERIFIED, False), (OUTLINED + VERIFIED + TWICE, True)])
+def test_notes_are_verified_in_their_rows(spark, rows, joins):
+    notes = spark.createDataFrame(rows, "src_ord int, rel_path string, text string")
+    lines = markdown.with_lines(notes.select(F.col("rel_path").alias("source_file"), "text")).select("source_file", F.explode("ls").alias("s")).select("source_file", F.col("s.line").alias("source_location"), "s.raw")
+    want = score.verify(graph.nodes(graph.parse(notes)).filter("kind = 'statement'"), lines).drop("label")
+    got = score.verify_notes(notes)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    assert {r.verified for r in got.collect()} == {True, False}
+    assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == joins
+
+
+def test_verify_samples_shuffles_paths_alone(spark, monkeypatch):
+    documents = sum(spark.read.parquet(f"{SMALL}/{table}.parquet").count() for table in corpus.TABLES)
+    monkeypatch.setattr(queries, "_maps", {})
+    assert shuffled(spark, lambda: queries.QUERIES["verify_samples"](spark, SMALL).collect()) <= 2 * documents
