@@ -5,10 +5,11 @@ it never is the least id of a component and adds nothing to what is connected. C
 and counts of nodes and links, come from documents and names alone:
 
 - `of` writes one row a document.
-- `points` are the ids of documents and names. Documents are read in order, and what a run of
-  them connects is found in the worker that reads them, so that an exchange gets one row for
-  each key of a run, not one for each link. A run holds a bounded number of keys, whose place
-  (`at`) is any key of their connected set; keys that several runs hold join those sets.
+- `points` are the ids of documents and names. Documents are sorted by key, in whatever order
+  they lie, as names that link to each other often begin alike. What a run of them connects is
+  found in the worker that reads them, so that an exchange gets one row for each key of a run,
+  not one for each link. A run holds a bounded number of keys, and each key but null the number of
+  its connected set (`at`); keys that several runs hold join those sets.
 - A document may be named as a piece of another is, as `a s0` of `a`: such ids are one node.
 """
 
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ from . import components, graph
 
 #: Keys, and characters of keys, that a worker connects at once.
 RUN_KEYS, RUN_CHARS = 200_000, 16 << 20
-_RUN = "key string, own boolean, sections int, statements int, linked boolean, at string"
-_ARROW = pa.schema([("key", pa.string()), ("own", pa.bool_()), ("sections", pa.int32()), ("statements", pa.int32()), ("linked", pa.bool_()), ("at", pa.string())])
+_RUN = "key string, own boolean, sections int, statements int, linked boolean, at long"
+_ARROW = pa.schema([("key", pa.string()), ("own", pa.bool_()), ("sections", pa.int32()), ("statements", pa.int32()), ("linked", pa.bool_()), ("at", pa.int64())])
+#: Sets are numbered by the partition and their place in it.
+_PART = 1 << 40
 
 
 @dataclass
@@ -55,20 +59,21 @@ def of(notes: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = written,
 
 
 def _runs(run_keys: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    run = _Run()
+    run = _Run(TaskContext.get().partitionId() * _PART)
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             run.add(*row)
             if len(run.keys) >= run_keys or run.chars >= RUN_CHARS:
                 yield from run.rows()
-                run = _Run()
+                run = _Run(run.first + len(run.keys))
     yield from run.rows()
 
 
 class _Run:
     """Keys of some documents in a row, as trees of what is connected."""
 
-    def __init__(self) -> None:
+    def __init__(self, first: int) -> None:
+        self.first = first
         self.place: dict[str | None, int] = {}
         self.keys: list[str | None] = []
         self.up: list[int] = []
@@ -113,15 +118,22 @@ class _Run:
                 [p[0] if p else 0 for p in own],
                 [p[1] if p else 0 for p in own],
                 [self.linked[i] == 1 for i in span],
-                [self.keys[self.top(i)] for i in span],
+                [None if self.keys[i] is None else self.first + self.top(i) for i in span],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
+def in_key_order(documents: DataFrame) -> DataFrame:
+    """Keys of documents and of their links, sorted. Their places keep documents of one key from
+    having to meet in one task, and make the order the same whenever a task runs again."""
+    rows = bounded(documents).select("key", "sections", "statements", F.transform("links", lambda x: x["key"]).alias("links"), F.monotonically_increasing_id().alias("n"))
+    return rows.repartitionByRange("key", "n").sortWithinPartitions("key", "n").drop("n")
+
+
 def _points(documents: DataFrame, keep: Callable[[DataFrame, str], DataFrame], run_keys: int) -> tuple[DataFrame, DataFrame]:
     """Two keys have one id if they differ in blanks and underscores alone, and both or neither
     are a document's. Both aggregations run on one exchange, by what the ids are made of."""
-    runs = bounded(documents).select("key", "sections", "statements", F.transform("links", lambda x: x["key"]).alias("links")).mapInArrow(partial(_runs, run_keys), _RUN)
+    runs = in_key_order(documents).mapInArrow(partial(_runs, run_keys), _RUN)
     most = [F.max(c).alias(c) for c in ("sections", "statements", "linked")]
     by_key = runs.withColumn("tail", F.replace("key", F.lit(" "), F.lit("_"))).repartition("tail").groupBy("tail", "key").agg(F.max("own").alias("found"), *most, F.collect_set("at").alias("at"))
     by_id = by_key.groupBy("tail", "found").agg(F.count(F.lit(1)).alias("keys"), *most, F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))

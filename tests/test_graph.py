@@ -223,6 +223,20 @@ def test_outline_scores_as_the_whole_graph(spark, rows, run_keys):
     assert sorted(score.outline_isolated(o).collect(), key=key) == sorted(score.isolated(nodes, links).collect(), key=key)
 
 
+def test_links_of_scattered_documents_meet_in_a_run(spark):
+    rows = [(0, f"n {i:03}.md", f"[[n {i - 1:03}]]" if i % 20 else "") for i in range(400)]
+    random.Random(3).shuffle(rows)
+    kept = {}
+
+    def keep(df, label):
+        kept[label] = components.written(df, label)
+        return kept[label]
+
+    o = outline.of(spark.createDataFrame(rows, "src_ord int, rel_path string, text string").repartition(4), keep, run_keys=50)
+    assert kept["points"].filter(F.size("at") > 1).count() <= 20
+    assert sorted(score.outline_components(o).collect()) == [(f"doc_n_{i:03}", 39) for i in range(0, 400, 20)]
+
+
 def shuffled(spark, make):
     """Rows that the stages of make() put through exchanges."""
     sc = spark.sparkContext
