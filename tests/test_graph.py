@@ -235,6 +235,8 @@ def test_links_of_scattered_documents_meet_in_a_run(spark):
     o = outline.of(spark.createDataFrame(rows, "src_ord int, rel_path string, text string").repartition(4), keep, run_keys=50)
     assert kept["points"].filter(F.size("at") > 1).count() <= 20
     assert sorted(score.outline_components(o).collect()) == [(f"doc_n_{i:03}", 39) for i in range(0, 400, 20)]
+    row = score.hints(score.outline_metrics(o)).first()
+    assert row.components == 20 and "many separate components" in row.hints
 
 
 def shuffled(spark, make):
