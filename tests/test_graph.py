@@ -256,6 +256,32 @@ def test_scores_shuffle_documents_not_their_pieces(spark, monkeypatch, name):
     assert shuffled(spark, lambda: queries.QUERIES[name](spark, SMALL).collect()) < 8 * documents
 
 
+def test_mentions_are_dropped_in_their_rows(spark):
+    """Neither links nor keys of documents go through an exchange to count mentions, but those of
+    documents that share their id or write a key in two ways."""
+    rows = [(0, f"n {i:03}.md", f"[[n {i - 1:03}]] [[N {i - 1:03}]] [[lost {i}]]\n- covers [[lost {i - i % 2}]]") for i in range(300)]
+    for more, most in (([], 20), (OUTLINED, 150)):
+        notes = spark.createDataFrame(rows + more, "src_ord int, rel_path string, text string").coalesce(2)
+        pieces, o = graph.parse(notes), outline.of(notes)
+        o.points.count()
+        got = []
+        assert shuffled(spark, lambda: got.extend(outline.kept_mentions(o).collect())) < most
+        assert got[0].mentions == graph.suppress_mentions(graph.all_links(pieces)).filter("relation = 'mentions'").count()
+
+
+def test_mentions_of_any_links_are_counted_as_in_the_whole_graph(spark):
+    rng = random.Random(5)
+    names = ["a", "a s0", "a_s0", "a t1", "b c", "b_c", "d", "lost e", "lost_e", "lost f", "part"]
+    for _ in range(3):
+        rows = []
+        for name in names[:7] + rng.choices(names[:7], k=4):
+            links = [f"- {rng.choice(['covers', 'part_of', 'mentions'])} [[{rng.choice(names)}]]" if rng.random() < 0.4 else f"see [[{rng.choice(names)}]]" for _ in range(8)]
+            rows.append((0, f"{rng.randrange(99)}/{name}.md", "\n".join(["# T", *links])))
+        notes = spark.createDataFrame(rows, "src_ord int, rel_path string, text string").coalesce(2)
+        want = graph.suppress_mentions(graph.all_links(graph.parse(notes))).filter("relation = 'mentions'").count()
+        assert outline.kept_mentions(outline.of(notes)).first().mentions == want > 0
+
+
 VERIFIED = [(0, "f.md", "---\nx: 1\n---\n- one\n# T\n  two 2"), (0, "g.html", "---\n<p>in front</p>\n---\n<p>on <b>one</b> line</p>\n<p>plain</p>"), (0, "h.md", "\u3000wide\u3000"), (0, "i.md", None)]
 TWICE = [(1, "w/n.md", "same\nhere"), (1, "w/n.md", "same\nthere"), (1, "w/n.md", "")]
 
