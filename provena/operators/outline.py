@@ -142,7 +142,7 @@ def _points(documents: DataFrame, keep: Callable[[DataFrame, str], DataFrame], r
 
     first = lambda c: F.get(c, F.lit(0))
     part = lambda i: F.regexp_extract("tail", r"(?s)\A(.*)_([st])(0|[1-9][0-9]{0,8})\z", i)
-    odd = found.filter(F.col("found") & (part(3) != "")).select("tail", part(1).alias("of"), part(2).alias("kind"), part(3).cast("int").alias("idx"), first("at").alias("a"))
+    odd = keep(found.filter(F.col("found") & (part(3) != "")).select("tail", part(1).alias("of"), part(2).alias("kind"), part(3).cast("int").alias("idx"), first("at").alias("a")), "odd")
     whole = found.filter("found").select(F.col("tail").alias("of"), "sections", "statements", first("at").alias("b"))
     nested = keep(odd.join(whole, "of").filter(F.col("idx") < F.when(F.col("kind") == "s", F.col("sections")).otherwise(F.col("statements"))).select("tail", "of", "a", "b"), "nested")
 

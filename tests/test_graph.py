@@ -282,6 +282,16 @@ def test_mentions_of_any_links_are_counted_as_in_the_whole_graph(spark):
         assert outline.kept_mentions(outline.of(notes)).first().mentions == want > 0
 
 
+def test_documents_are_not_shuffled_to_find_pieces_among_them(spark):
+    notes = spark.range(20000).selectExpr("0 as src_ord", "concat('n ', id, '.md') as rel_path", "concat('[[n ', id - id % 20, ']]') as text")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "5000")
+    try:
+        assert 40_000 <= shuffled(spark, lambda: outline.of(notes)) < 50_000
+    finally:
+        spark.conf.unset(key)
+
+
 VERIFIED = [(0, "f.md", "---\nx: 1\n---\n- one\n# T\n  two 2"), (0, "g.html", "---\n<p>in front</p>\n---\n<p>on <b>one</b> line</p>\n<p>plain</p>"), (0, "h.md", "\u3000wide\u3000"), (0, "i.md", None)]
 TWICE = [(1, "w/n.md", "same\nhere"), (1, "w/n.md", "same\nthere"), (1, "w/n.md", "")]
 
