@@ -35,6 +35,11 @@ def name_id(key: Column) -> Column:
     return F.concat(F.lit("name_"), F.replace(key, F.lit(" "), F.lit("_")))
 
 
+def is_document(id_: str) -> Column:
+    """Of an end of a link that documents write: whether it is a document's id, or else a name's."""
+    return F.col(id_).startswith("doc_")
+
+
 def unwritten(rows: DataFrame, label: str) -> DataFrame:
     return rows
 
@@ -96,14 +101,24 @@ def _node(id_: Column, label: str, kind: str, path: Column, line: Column, phase:
 def nodes(pieces: Pieces, keep: Callable[[DataFrame, str], DataFrame] = unwritten) -> DataFrame:
     """id, label, kind, source_file, source_location, ins. All but names without a document,
     which go through `keep`, are read from the documents with no exchange."""
+    return _document_nodes(pieces.documents).unionByName(_piece_nodes(pieces)).unionByName(keep(_name_nodes(pieces), "names"))
+
+
+def _document_nodes(documents: DataFrame) -> DataFrame:
+    c = F.col
+    return documents.select(*_node(c("doc_id"), "name", "document", c("path"), F.lit(1), 0, 0, c("ord"), F.lit(0)))
+
+
+def _piece_nodes(pieces: Pieces) -> DataFrame:
     c = F.col
-    documents = pieces.documents.select(*_node(c("doc_id"), "name", "document", c("path"), F.lit(1), 0, 0, c("ord"), F.lit(0)))
     sections = pieces.sections.select(*_node(F.concat("doc_id", F.lit("_s"), "idx"), "title", "section", c("path"), c("line"), 1, 0, c("ord"), c("idx")))
-    statements = pieces.statements.select(*_node(F.concat("doc_id", F.lit("_t"), "idx"), "statement", "statement", c("path"), c("line"), 1, 1, c("ord"), c("idx")))
-    lost = resolve(pieces).filter(~c("found"))
+    return sections.unionByName(pieces.statements.select(*_node(F.concat("doc_id", F.lit("_t"), "idx"), "statement", "statement", c("path"), c("line"), 1, 1, c("ord"), c("idx"))))
+
+
+def _name_nodes(pieces: Pieces) -> DataFrame:
+    c, lost = F.col, resolve(pieces).filter(~F.col("found"))
     first = lost.groupBy("key").agg(F.min_by("target", F.struct("ord", "idx")).alias("target"), F.min(F.struct("ord", "idx")).alias("at"))
-    names = first.select(*_node(name_id(c("key")), "target", "name_only", F.lit(""), F.lit(None), 1, 2, c("at.ord"), c("at.idx")))
-    return documents.unionByName(sections).unionByName(statements).unionByName(keep(names, "names"))
+    return first.select(*_node(name_id(c("key")), "target", "name_only", F.lit(""), F.lit(None), 1, 2, c("at.ord"), c("at.idx")))
 
 
 def matching(notes: DataFrame, pattern: str) -> DataFrame:
@@ -113,9 +128,7 @@ def matching(notes: DataFrame, pattern: str) -> DataFrame:
     and no kind of white space. Markdown labels are parts of their document's text: documents
     without a match are not parsed. A missing name and the documents it could name share a key,
     so keys without a match take no part in the join."""
-    web = F.lit(False)
-    for ending in HTML_SUFFIXES:
-        web = web | F.col("rel_path").endswith(ending)
+    web = _web()
     c, named = F.col, parse(notes.withColumn("text", F.lit("")), unwritten).documents.filter(F.col("key").rlike(pattern))
     all_ = parse(notes.filter(web | c("text").rlike(pattern)), unwritten)
     links = all_.links.filter(title_key(c("target")).rlike(pattern))
@@ -168,6 +181,45 @@ def links(pieces: Pieces) -> DataFrame:
     return part_links(pieces).unionByName(kept_links(pieces))
 
 
+def _web() -> Column:
+    found = F.lit(False)
+    for ending in HTML_SUFFIXES:
+        found = found | F.col("rel_path").endswith(ending)
+    return found
+
+
+def relation_links(notes: DataFrame, relations: tuple[str, ...]) -> DataFrame:
+    """The links of links(parse(notes)) with one of these relations.
+
+    relations hold neither mentions, which others suppress, nor part_of, which pieces have. Only
+    markdown writes others, so nothing else is parsed, and of that no more than lines with links."""
+    rows = markdown.relations(_tagged(notes.filter(~_web())).select("doc_id", "text")).filter(F.col("relation").isin(*relations))
+    ends = rows.select(F.col("doc_id").alias("source"), title_key(F.col("target")).alias("key"), "relation")
+    ends = ends.join(key_dictionary(_tagged(notes)), "key", "left")
+    return ends.select("source", F.coalesce("to_id", name_id(F.col("key"))).alias("target"), "relation")
+
+
+def looked_up(notes: DataFrame, ids: DataFrame) -> DataFrame:
+    """last_by_id(nodes(parse(notes))) of all documents, and of ids (column id) that others have.
+
+    A name's id tells that it is one, and a piece's ends with its number; only where such ids are
+    asked for, links are read for the names and documents parsed whose pieces could have them."""
+    c = F.col
+    piece = r"(?s)\A(.*)_[st](?:0|[1-9][0-9]*)\z"
+    asked = written(ids.filter(~is_document("id") | c("id").rlike(piece)).select("id").distinct(), "asked")
+    names, pieces = asked.filter(~is_document("id")), asked.filter(is_document("id"))
+    rows = _document_nodes(_tagged(notes))
+    if not names.isEmpty():
+        all_ = parse(notes, unwritten)
+        all_.links = all_.links.withColumn("id", name_id(title_key(c("target")))).join(names, "id", "left_semi").drop("id")
+        rows = rows.unionByName(_name_nodes(all_))
+    if not pieces.isEmpty():
+        owners = pieces.select(F.regexp_extract("id", piece, 1).alias("of")).distinct()
+        whole = parse(notes.withColumn("of", document_id(title_key(stem(c("rel_path"))))).join(owners, "of", "left_semi").drop("of"), unwritten)
+        rows = rows.unionByName(_piece_nodes(whole).join(pieces, "id", "left_semi"))
+    return last_by_id(rows)
+
+
 def ordered_nodes(rows: DataFrame) -> DataFrame:
     """Canonical order: by id, rows of one id as they were made."""
     return rows.orderBy("id", "ins").drop("ins")

@@ -20,6 +20,10 @@ HEADING = rf"(?d)^(#{{1,6}}){WS}+(.*{NOT_WS}){WS}*$"
 ITEM = rf"(?d)^{WS}*[-*]{WS}+(.*{NOT_WS}){WS}*$"
 RELATION = rf"(?d)^{WS}*[-*]{WS}+({LETTER}{WORD}*){WS}+{TARGET}{WS}*$"
 FENCE = "---"
+# A first line that is a fence, and all from there to the end of the next line that is one
+_FENCED = rf"[{WS}&&[^\n]]*{FENCE}[{WS}&&[^\n]]*(?:\n|\z)"
+OPENS = rf"\A{_FENCED}"
+FRONT = rf"(?s){OPENS}(?:.*?\n)??{_FENCED}"
 
 
 def _lines(text: Column) -> Column:
@@ -96,6 +100,18 @@ def statements(docs: DataFrame) -> DataFrame:
     return rows_of(parsed(docs), "statements")
 
 
+def relations(docs: DataFrame) -> DataFrame:
+    """key columns, target and relation of links(docs) that have a relation, in any order.
+
+    Without line numbers no array is needed but that of the lines: front matter is cut from the
+    text. No heading is a relation, as an item opens with - or *."""
+    keys = [c for c in docs.columns if c != "text"]
+    body = F.when(F.col("text").rlike(FRONT), F.regexp_replace("text", FRONT, "")).when(~F.col("text").rlike(OPENS), F.col("text"))
+    lines = docs.filter(F.contains("text", F.lit("[["))).select(*keys, F.explode(F.split(body, "\n", -1)).alias("raw"))
+    found = lines.filter(F.contains("raw", F.lit("[["))).filter(F.col("raw").rlike(RELATION))
+    return found.select(*keys, strip(F.regexp_extract("raw", RELATION, 2)).alias("target"), canonical_relation(F.regexp_extract("raw", RELATION, 1)).alias("relation"))
+
+
 def links(docs: DataFrame) -> DataFrame:
     """key columns, idx (from 0), line, target, relation (null for a mention) of every link."""
     return rows_of(parsed(docs), "links")

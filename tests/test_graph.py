@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provena.operators import chain, components, conflicts, graph, markdown, outline, score, search
 from provena.operators.graph import document_order
 from provena.plans import corpus, queries
+from provena.schema import CAUSE_RELATIONS, NEARBY_RELATIONS
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -311,3 +312,57 @@ def test_verify_samples_shuffles_paths_alone(spark, monkeypatch):
     documents = sum(spark.read.parquet(f"{SMALL}/{table}.parquet").count() for table in corpus.TABLES)
     monkeypatch.setattr(queries, "_maps", {})
     assert shuffled(spark, lambda: queries.QUERIES["verify_samples"](spark, SMALL).collect()) <= 2 * documents
+
+
+WALKED = [
+    (0, "a.md", "# T\nx\n- caused_by [[a s0]]\n- led_to [[Lost  One]]\n- caused [[q_r]]\n* supersedes [[b|the b]]\nsee [[b]]\n- mentions [[b]]\n- 대체함 [[c]]"),
+    (0, "a s0.md", "- caused_by [[a]]\n- caused_by [[b]]\n- causes [[b]]\n- extends [[a s0]]\n- extends [[e t0]]"),
+    (0, "a s00.md", "---\nk: [[b]]\n- caused_by [[b]]\n --- \n- caused_by [[a s0]]\n　- led_to　[[ a T0 ]]　"),
+    (1, "a t0.md", "\x0b---\t\r\n- caused_by [[b]]"),
+    (1, "u v.md", "---\n---\n- follows [[u_v]]\n# - follows [[b]]\n- follows [[b]] and more"),
+    (1, "u_v.md", "--- \n---x\n- follows [[b]]\n---\r\n- follows [[q r]]\r\n- follows [[b]]\n---\n- causes [[a]]"),
+    (1, "x/b.md", "\n---\n- led_to [[c]]\n---\n- led_to [[lost_one]]\n- part_of [[c]]\n- led_to [[none.md]]\n- led_to []]"),
+    (1, "y/b.md", "# U\n[[Lost  one]] [[lost_one]]\n- caused_by [[d]]\n- caused_by [[b]]\n- 2x [[b]]\n-caused_by [[b]]"),
+    (2, "c.md", "- caused_by [[a/s0]]\n- caused_by [[A: S0]]\n- corrects [[lost one]]\n- 정정 [[u V]]"),
+    (2, "d.html", "<h1>T</h1><p>- caused_by [[b]]</p><a href='lost one'>b</a><a href='e'>b</a>"),
+    (2, "e.md", "x\n- caused_by [[b]]\n---"),
+    (2, "e t0.md", "---"),
+    (3, "me.md", None),
+    (3, None, "- caused_by [[b]]"),
+]
+
+
+def test_chains_read_from_notes_are_those_of_the_map(spark):
+    """Ids of names, of pieces and of several documents, front matter of every kind, and random links."""
+    rng = random.Random(7)
+    names = ["a", "a s0", "a_s0", "a t1", "b c", "b_c", "d", "lost e", "lost_e", "lost f"]
+    drawn = []
+    for name in names[:7] + rng.choices(names[:7], k=4):
+        links = [f"- {rng.choice(['causes', 'led_to', 'follows', '후속', '참고'])} [[{rng.choice(names)}]]" for _ in range(3)]
+        drawn.append((rng.randrange(2), f"{rng.randrange(99)}/{name}.md", "\n".join(["# T", *links])))
+    for rows in (WALKED + drawn,):
+        notes = spark.createDataFrame(rows, "src_ord int, rel_path string, text string").coalesce(2)
+        pieces = graph.parse(notes)
+        nodes, links = graph.nodes(pieces).cache(), graph.links(pieces).cache()
+        relations = (*CAUSE_RELATIONS, *NEARBY_RELATIONS)
+        ends = graph.relation_links(notes, relations)
+        assert sorted(ends.collect()) == sorted(links.filter(F.col("relation").isin(*relations)).collect())
+        steps = chain.steps(ends)
+        found = queries._chains(steps)
+        got = chain.described(found, graph.looked_up(notes, steps.select(F.col("next").alias("id"))))
+        starts = nodes.filter("kind = 'document'").select(F.col("id").alias("start")).distinct()
+        want = chain.decorated(chain.chains(starts, links), nodes).select(got.columns)
+        assert sorted(got.collect()) == sorted(want.collect())
+        assert bool(rows) == (got.filter("id like 'name_%' and label <> id").count() > 0) == (got.filter("id = 'doc_a_s0' and label = 'T'").count() > 0)
+
+
+def test_chains_shuffle_neither_mentions_nor_pieces(spark, monkeypatch):
+    """Of documents with 60 statements and mentions each, no more than their ids and relations go through an exchange."""
+    text = "concat('- caused_by [[n ', id - 1, ']]', repeat(concat('\\nsee [[n ', id, ']]'), 60))"
+    notes = spark.range(1, 301).selectExpr("0 as src_ord", "concat('n ', id, '.md') as rel_path", f"{text} as text")
+    monkeypatch.setattr(queries, "_maps", {})
+    monkeypatch.setattr(queries, "notes", lambda *_: notes)
+    for name, rows in (("chain_decorated", 2 * (299 + 298 + 297) + 3), ("chain_led_to", 299 + 298 + 297)):
+        got = []
+        assert shuffled(spark, lambda query=queries.QUERIES[name]: got.extend(query(spark, SMALL).collect())) < 300 * 40
+        assert len(got) == rows
